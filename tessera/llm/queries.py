@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact, mixing
+from tessera.llm import exact, mixing, simhash
 from tessera.llm.common import table
 
 
@@ -14,5 +14,9 @@ def op7_exact_dedup(spark, sf_dir):
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_mixing, op7_exact_dedup)}
+def op9_simhash(spark, sf_dir):
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_mixing, op7_exact_dedup, op9_simhash)}
 ORACLE_SQL = {"op5_mixing": mixing.ORACLE, "op7_exact_dedup": exact.ORACLE}
