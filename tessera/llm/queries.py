@@ -2,8 +2,21 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact, mixing, simhash
-from tessera.llm.common import table
+from tessera.llm import exact, mixing, packing, simhash, token_files
+from tessera.llm.common import fresh_path, table
+
+
+def tokenizer_path(name):
+    """A public tokenizer file; the files are installed beside Python and not part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_files(spark, sf_dir):
+    path = fresh_path(spark, "op4-token-files")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), "words")
+    return token_files.read_token_files(spark, path)
 
 
 def op5_mixing(spark, sf_dir):
@@ -18,5 +31,9 @@ def op9_simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_mixing, op7_exact_dedup, op9_simhash)}
+def op10_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), "bytes")
+
+
+QUERIES = {f.__name__: f for f in (op4_token_files, op5_mixing, op7_exact_dedup, op9_simhash, op10_packing)}
 ORACLE_SQL = {"op5_mixing": mixing.ORACLE, "op7_exact_dedup": exact.ORACLE}
