@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact, mixing, packing, simhash, token_files
+from tessera.llm import exact, mixing, packing, simhash, substring, token_files
 from tessera.llm.common import fresh_path, table
 
 
@@ -13,6 +13,10 @@ def tokenizer_path(name):
     return public_tokenizers.path(name)
 
 
+def op3_substring(spark, sf_dir):
+    return substring.digest(substring.drop_repeats(table(spark, sf_dir, "documents")))
+
+
 def op4_token_files(spark, sf_dir):
     path = fresh_path(spark, "op4-token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), "words")
@@ -35,5 +39,5 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), "bytes")
 
 
-QUERIES = {f.__name__: f for f in (op4_token_files, op5_mixing, op7_exact_dedup, op9_simhash, op10_packing)}
+QUERIES = {f.__name__: f for f in (op3_substring, op4_token_files, op5_mixing, op7_exact_dedup, op9_simhash, op10_packing)}
 ORACLE_SQL = {"op5_mixing": mixing.ORACLE, "op7_exact_dedup": exact.ORACLE}
