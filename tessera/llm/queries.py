@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact, mixing, packing, simhash, substring, token_files
+from tessera.llm import chat, exact, lines, mixing, packing, simhash, substring, token_files
 from tessera.llm.common import fresh_path, table
 
 
@@ -13,6 +13,14 @@ def tokenizer_path(name):
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark, sf_dir):
+    return lines.drop_boilerplate(table(spark, sf_dir, "pages"))
+
+
+def op2_chat(spark, sf_dir):
+    return chat.read_back(chat.windows(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
 def op3_substring(spark, sf_dir):
     return substring.digest(substring.drop_repeats(table(spark, sf_dir, "documents")))
 
@@ -39,5 +47,5 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), "bytes")
 
 
-QUERIES = {f.__name__: f for f in (op3_substring, op4_token_files, op5_mixing, op7_exact_dedup, op9_simhash, op10_packing)}
-ORACLE_SQL = {"op5_mixing": mixing.ORACLE, "op7_exact_dedup": exact.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat, op3_substring, op4_token_files, op5_mixing, op7_exact_dedup, op9_simhash, op10_packing)}
+ORACLE_SQL = {"op1_line_dedup": lines.ORACLE, "op2_chat": chat.ORACLE, "op5_mixing": mixing.ORACLE, "op7_exact_dedup": exact.ORACLE}
