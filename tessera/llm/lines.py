@@ -38,7 +38,7 @@ def lines_of(html: Column) -> Column:
 
 
 def drop_boilerplate(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", max_ratio: float = 0.3, min_pages: int = 5
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", max_ratio: float = 0.05, min_pages: int = 20
 ) -> DataFrame:
     """One row for each row of pages: page_id, host, n_lines, n_dropped, text (the lines that stay, joined by newlines).
 
@@ -79,9 +79,9 @@ c AS (SELECT r, page_id, host, replace(replace(replace(replace(replace(replace(t
     '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS t FROM b),
 d AS (SELECT r, page_id, host, list_filter(string_split(trim(
     regexp_replace(regexp_replace(t, '[\x20\x09\x0B\x0C\x0D]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' '), chr(10)), lambda x: x <> '') AS lines FROM c),
-h AS (SELECT host, count(*) AS pages FROM d WHERE host <> '' GROUP BY host HAVING count(*) >= 5),
+h AS (SELECT host, count(*) AS pages FROM d WHERE host <> '' GROUP BY host HAVING count(*) >= 20),
 l AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM d WHERE host <> '') GROUP BY host, line),
-x AS (SELECT l.host, list(line) AS drops FROM l JOIN h USING (host) WHERE n > 1 AND n > pages * 0.3 GROUP BY l.host),
+x AS (SELECT l.host, list(line) AS drops FROM l JOIN h USING (host) WHERE n > 1 AND n > pages * 0.05 GROUP BY l.host),
 k AS (SELECT page_id, d.host, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(drops, []), x)) AS kept FROM d LEFT JOIN x USING (host))
 SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped, array_to_string(kept, chr(10)) AS text FROM k
 """
