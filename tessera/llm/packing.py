@@ -25,7 +25,7 @@ K1, B = 1.2, 0.75
 
 
 class Bm25Index:
-    """An inverted index over documents given as arrays of term numbers."""
+    """An inverted index over documents given as arrays of term numbers (hashes: only their equality counts)."""
 
     def __init__(self, terms: list[np.ndarray]):
         self.n = len(terms)
@@ -54,7 +54,7 @@ class Bm25Index:
         if not total:
             return np.zeros(self.n)
         posting = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes - self.begins[at], sizes)
-        return np.bincount(self.doc[posting], self.weight[posting], self.n)
+        return np.bincount(self.doc[posting], self.weight[posting], self.n).round(9)
 
 
 class Packer:
@@ -170,8 +170,7 @@ def pack(
                 for doc_id, (ids, pieces) in zip(part.column(0).to_pylist(), encoder.encode(texts)):
                     doc_ids.append(doc_id)
                     tokens.append(np.append(ids, np.uint32(END_ID)))
-                    numbers = encoder.terms
-                    terms.append(np.array([numbers[p] for p in pieces], np.int64) if pieces is not None else -1 - ids.astype(np.int64))
+                    terms.append(np.fromiter(map(hash, pieces), np.int64, len(pieces)) if pieces is not None else ids.astype(np.int64))
                 chars += sum(map(len, texts))
                 if len(tokens) >= shard_docs or chars >= shard_chars:
                     yield shard()
@@ -179,7 +178,6 @@ def pack(
                     carried = {d: carried[d] if d < base else (doc_ids[d - base], tokens[d - base]) for d in keep}
                     base, chars = base + len(tokens), 0
                     doc_ids, tokens, terms = [], [], []
-                    encoder.trim()
         if tokens:
             yield shard()
         if packer.open:

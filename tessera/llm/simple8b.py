@@ -21,16 +21,22 @@ def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> tuple[np.ndarray, np.
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     left = np.minimum(block_ids - at % block_ids, n - at)
-    selector = np.zeros(n, np.int64)
+    selector = np.zeros(n, np.int8)
     for s in range(len(COUNTS), 0, -1):  # fewest ids first, so that the most win
         count = COUNTS[s - 1]
-        wide = ids >> np.uint64(60 // count) != 0
-        # how far the next id is that is too wide
-        far = np.where(wide, at, n)
+        wide = np.flatnonzero(ids >> np.uint64(60 // count))
+        if n - len(wide) < count:
+            continue
+        if not len(wide):
+            selector[left >= count] = s
+            continue
+        far = np.full(n, n, np.int32)  # where the next id is that is too wide
+        far[wide] = wide
         far = np.minimum.accumulate(far[::-1])[::-1] - at
         selector[(far >= count) & (left >= count)] = s
+    selector = selector.astype(np.int64)
     step = np.maximum(_COUNT[selector], 1).tolist()
     starts, i = [], 0
     while i < n:

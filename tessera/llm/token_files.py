@@ -64,7 +64,6 @@ def encode_documents(
                         yield flush()
                         number, before = number + 1, before + size
                         held, held_docs, size = [], [], 0
-                encoder.trim()
         if held:
             yield flush()
 

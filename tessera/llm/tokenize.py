@@ -23,17 +23,35 @@ _SPACED = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
 _WIDE_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
+#: A piece of one letter run (after a space, for "bytes") with other ASCII signs behind it. Letters of Latin-1 are in
+#: composed form already and have one lower-case form, so the library's normalizer does to them what str.lower does.
+_LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_PLAIN = re.compile(f"( ?[{_LETTERS}]+)([!-/:-@\\[-`{{-~]*)")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letters that byte-level files write for bytes: printable ones as they are, the others from 256 on, in order."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in kept]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
+_SPACE = chr(_BYTE_LETTERS[32])
+
+
 class CachedTokenizer:
-    """One for each Python worker. The cache holds at most `room` pieces and is emptied by trim()."""
+    """One for each Python worker. The cache keeps the first `room` pieces it meets: the frequent ones are among them."""
 
-    def __init__(self, path: str, kind: str, room: int = 400_000):
+    def __init__(self, path: str, kind: str, room: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.kind, self.room = kind, room
         self.ids: dict[str | bytes, bytes] = {}
-        self.terms: dict[str | bytes, int] = {}
+        self.runs: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list | None:
         """None: encode the text whole."""
@@ -45,33 +63,65 @@ class CachedTokenizer:
             return None
         return _SPACED.findall(text)
 
-    def _learn(self, fresh: list) -> None:
-        strings = [x.decode() if isinstance(x, bytes) else x for x in fresh]
-        for piece, found in zip(fresh, self.library.encode_batch_fast(strings, add_special_tokens=False)):
-            self.ids[piece] = array("I", found.ids).tobytes()
-            self.terms[piece] = len(self.terms)
+    def _run(self, letters: str) -> bytes:
+        """The ids of one letter run, by the library's model: it is a single pre-token."""
+        if self.kind == "words":
+            letters = letters.lower()
+        found = self.runs.get(letters)
+        if found is None:
+            if letters.isascii():
+                spelled = letters.replace(" ", _SPACE)
+            else:
+                spelled = letters.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            found = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+            if len(self.runs) < self.room // 4:
+                self.runs[letters] = found
+        return found
+
+    def _learn(self, fresh: set) -> dict:
+        """piece -> ids, for pieces that are not in the cache."""
+        out, others = {}, []
+        plain, run, tails = _PLAIN.fullmatch, self._run, self.ids
+        for piece in fresh:
+            text = piece.decode() if isinstance(piece, bytes) else piece
+            m = plain(text)
+            if m is None:
+                others.append((piece, text))
+                continue
+            letters, tail = m.groups()
+            found = run(letters)
+            if tail:
+                key = tail.encode() if self.kind == "words" else tail
+                end = tails.get(key)
+                if end is None:
+                    end = tails[key] = self._whole(tail)
+                found += end
+            out[piece] = found
+        for (piece, _), found in zip(others, self.library.encode_batch_fast([t for _, t in others], add_special_tokens=False)):
+            out[piece] = array("I", found.ids).tobytes()
+        if len(self.ids) < self.room:
+            self.ids.update(out)
+        return out
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, list | None]]:
         """For each text its ids (uint32, without the end id) and its pieces (None if it was encoded whole)."""
         split = [self.pieces(t) for t in texts]
-        known = self.ids
-        fresh = {p for own in split if own is not None for p in own if p not in known}
-        if fresh:
-            self._learn(list(fresh))
+        fresh = set().union(*[own for own in split if own is not None]) - self.ids.keys()
+        learned = self._learn(fresh) if fresh else {}
+        if len(self.ids) < self.room:
+            look = self.ids.__getitem__
+        else:
+            both = {**{p: self.ids[p] for own in split if own is not None for p in own if p in self.ids}, **learned}
+            look = both.__getitem__
         out = []
         for text, own in zip(texts, split):
-            if own is None:
-                found = self.library.encode(text, add_special_tokens=False).ids
-                out.append((np.array(found, np.uint32), None))
-            else:
-                out.append((np.frombuffer(b"".join([known[p] for p in own]), np.uint32), own))
+            found = self._whole(text) if own is None else b"".join(map(look, own))
+            out.append((np.frombuffer(found, np.uint32), own))
         return out
 
-    def trim(self) -> None:
-        if len(self.ids) > self.room:
-            self.ids.clear()
-            self.terms.clear()
-
 
 _tokenizers: dict[tuple[str, str], CachedTokenizer] = {}
 
