@@ -128,7 +128,7 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     window: int = 2048,
-    shard_docs: int = 2048,
+    shard_docs: int = 1024,
     shard_chars: int = 16_000_000,
 ) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, exact, lines, mixing, packing, simhash, substring, token_files
+from tessera.llm import chat, exact, lines, mixing, packing, simhash, substring, token_files, topk
 from tessera.llm.common import fresh_path, table
 
 
@@ -39,6 +39,10 @@ def op7_exact_dedup(spark, sf_dir):
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), "bytes")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat, op3_substring, op4_token_files, op5_mixing, op7_exact_dedup, op9_simhash, op10_packing)}
-ORACLE_SQL = {"op1_line_dedup": lines.ORACLE, "op2_chat": chat.ORACLE, "op5_mixing": mixing.ORACLE, "op7_exact_dedup": exact.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat, op3_substring, op4_token_files, op5_mixing, op7_exact_dedup, op8_top_k, op9_simhash, op10_packing)}
+ORACLE_SQL = {"op1_line_dedup": lines.ORACLE, "op2_chat": chat.ORACLE, "op5_mixing": mixing.ORACLE, "op7_exact_dedup": exact.ORACLE, "op8_top_k": topk.ORACLE}

@@ -43,7 +43,7 @@ _SPACE = chr(_BYTE_LETTERS[32])
 class CachedTokenizer:
     """One for each Python worker. The cache keeps the first `room` pieces it meets: the frequent ones are among them."""
 
-    def __init__(self, path: str, kind: str, room: int = 800_000):
+    def __init__(self, path: str, kind: str, room: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -52,6 +52,7 @@ class CachedTokenizer:
         self.kind, self.room = kind, room
         self.ids: dict[str | bytes, bytes] = {}
         self.runs: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list | None:
         """None: encode the text whole."""
@@ -65,36 +66,35 @@ class CachedTokenizer:
 
     def _run(self, letters: str) -> bytes:
         """The ids of one letter run, by the library's model: it is a single pre-token."""
-        if self.kind == "words":
-            letters = letters.lower()
-        found = self.runs.get(letters)
-        if found is None:
-            if letters.isascii():
-                spelled = letters.replace(" ", _SPACE)
-            else:
-                spelled = letters.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            found = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-            if len(self.runs) < self.room // 4:
-                self.runs[letters] = found
+        if letters.isascii():
+            spelled = letters.replace(" ", _SPACE)
+        else:
+            spelled = letters.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        found = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        if len(self.runs) < self.room // 4:
+            self.runs[letters] = found
         return found
 
     def _learn(self, fresh: set) -> dict:
         """piece -> ids, for pieces that are not in the cache."""
         out, others = {}, []
-        plain, run, tails = _PLAIN.fullmatch, self._run, self.ids
+        plain, runs, tails, words = _PLAIN.fullmatch, self.runs, self.tails, self.kind == "words"
         for piece in fresh:
-            text = piece.decode() if isinstance(piece, bytes) else piece
+            text = piece.decode() if words else piece
             m = plain(text)
             if m is None:
                 others.append((piece, text))
                 continue
             letters, tail = m.groups()
-            found = run(letters)
+            if words:
+                letters = letters.lower()
+            found = runs.get(letters) or self._run(letters)
             if tail:
-                key = tail.encode() if self.kind == "words" else tail
-                end = tails.get(key)
+                end = tails.get(tail)
                 if end is None:
-                    end = tails[key] = self._whole(tail)
+                    end = self._whole(tail)
+                    if len(tails) < self.room // 4:
+                        tails[tail] = end
                 found += end
             out[piece] = found
         for (piece, _), found in zip(others, self.library.encode_batch_fast([t for _, t in others], add_special_tokens=False)):

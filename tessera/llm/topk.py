@@ -17,35 +17,34 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _round(depth: int, step: int, order: np.ndarray, values: np.ndarray, q: np.ndarray, dims: np.ndarray):
-    """The entries of depth to depth + step of each list: candidates, dimensions, contributions, and the last values."""
-    n = len(order)
-    t = np.arange(depth, min(depth + step, n))[:, None]
-    place = np.where(q > 0, n - 1 - t, t)
-    return order[place, dims], values[place, dims] * q, values[place[-1], dims] * q
+def no_random_access(spots, values, rows: np.ndarray, query: np.ndarray, k: int, skip: np.ndarray) -> np.ndarray:
+    """Positions of the candidates that may be among the k best for query; skip marks candidates that may not.
 
-
-def no_random_access(order, values, rows: np.ndarray, query: np.ndarray, k: int, skip: np.ndarray, first: int = 128) -> np.ndarray:
-    """Positions of the candidates that may be among the k best for query; skip marks candidates that may not."""
-    dims = np.flatnonzero(query)
-    q, n = query[dims], len(rows)
+    spots and values: the lists, a column each, ascending; a spot is candidate * lists + list. Every list is read from its
+    own end, half of it first, as nothing can be ruled out earlier, then in rounds of an eighth."""
+    n, d = rows.shape
     live = np.flatnonzero(~skip)
-    if len(live) <= 4 * k or not len(dims):
+    if len(live) <= 4 * k:
         return live
-    worst = np.where(q > 0, values[0, dims], values[-1, dims]) * q
-    read, known = np.zeros(n), np.zeros((n, len(dims)))
-    depth, step, column = 0, first, np.arange(len(dims))
+    up = query > 0
+    worst = np.where(up, values[0], values[-1]) * query
+    read = np.zeros(n)  # of each candidate, over the lists in which it was met
+    known = np.zeros(n * d, np.uint8)
+    depth, step = 0, -(-n // 8)
     while depth < n and len(live) > 4 * k:
-        who, gives, last = _round(depth, step, order, values, q, dims)
-        read += np.bincount(who.ravel(), gives.ravel(), n)
-        known[who, column] = 1
-        seen = known[live]
-        bounds = seen @ np.stack([worst, last], 1)
-        lower = read[live] + (worst.sum() - bounds[:, 0])
-        upper = read[live] + (last.sum() - bounds[:, 1])
+        end = min(depth + step * (1 if depth else 4), n)
+        top, bottom = slice(n - end, n - depth), slice(depth, end)
+        met = np.where(up, spots[top][::-1], spots[bottom]).ravel()
+        gives = np.where(up, values[top][::-1], values[bottom]) * query
+        read += np.bincount(met // d, gives.ravel(), n)
+        known[met] = 1
+        last = gives[-1]
+        found = known.reshape(n, d)[live].astype(np.float64) @ np.stack([worst, last], 1)
+        lower = read[live] + (worst.sum() - found[:, 0])
+        upper = read[live] + (last.sum() - found[:, 1])
         kth = np.partition(lower, len(lower) - k)[len(lower) - k]
         live = live[upper >= kth]
-        depth, step = depth + step, step * 2
+        depth = end
     return live
 
 
@@ -55,10 +54,11 @@ def _search(k: int):
         if queries.num_rows and candidates.num_rows:
             matrix = lambda t: t.column("v").combine_chunks().values.to_numpy().reshape(t.num_rows, -1)
             rows, ids = matrix(candidates), candidates.column("vec_id").to_numpy()
-            order = np.argsort(rows, axis=0, kind="stable")
+            order = np.argsort(rows, axis=0, kind="stable").astype(np.int32)
             values = np.take_along_axis(rows, order, axis=0)
+            spots = order * rows.shape[1] + np.arange(rows.shape[1], dtype=np.int32)
             for query_id, mark, query in zip(queries.column("vec_id").to_pylist(), queries.column("mark").to_pylist(), matrix(queries)):
-                found = no_random_access(order, values, rows, query, k, ids == query_id)
+                found = no_random_access(spots, values, rows, query, k, ids == query_id)
                 scores = (rows[found] @ query).astype(np.int64)
                 best = np.lexsort((ids[found], -scores))[:k]
                 out += [(query_id, mark, int(ids[found[i]]), int(scores[i])) for i in best]
