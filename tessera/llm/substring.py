@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.automaton import SuffixAutomaton
-from tessera.llm.common import materialised
+from tessera.llm.common import materialised, release
 
 #: A spot is 20 bits of a hash of the text (they tell rows apart that share an id), the first word, and the windows.
 _MARK, _FIRST, _RUN = 20, 35, 8
@@ -216,7 +216,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def drop_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, gram: int = 6, hot_rows: int = 20_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, gram: int = 5, hot_rows: int = 20_000
 ) -> DataFrame:
     """One row for each row of docs: doc_id (long), n_words, n_removed, kept (the words that stay, joined by one space).
 
@@ -228,6 +228,7 @@ def drop_repeats(
     keyed = _keyed(rows, window, gram)
     shared = keyed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
     shared = materialised(shared.select(F.col("key").alias("shared_key"), (F.col("n") > hot_rows).alias("hot")))
+    release(docs.sparkSession)
     found = keyed.join(shared, F.col("key") == F.col("shared_key")).groupBy("doc_id").agg(
         F.collect_list(F.struct("spot", "key", "hot")).alias("found")
     )
