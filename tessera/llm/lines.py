@@ -15,7 +15,7 @@ from tessera.llm.common import materialised
 
 #: Digests (16 bytes each) that are broadcast at most; beyond it the pages are joined by shuffling on their host.
 BROADCAST_DIGESTS = 400_000
-_HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<head\b[^>]*>|</?html\b[^>]*>"
+_HIDDEN = r"(?is)<(?:!--.*?-->|script\b.*?</script>|style\b.*?</style>|head\b[^>]*>|/?html\b[^>]*>)"
 _BLOCK = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|li|main|nav|ol|option|p|pre|section|table|tbody|td|th|thead|title|tr|ul)\b[^>]*>"
 _TAG = r"<[A-Za-z/!][^>]*>"
 _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
@@ -33,8 +33,8 @@ def lines_of(html: Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(text, _BLOCK, "\n"), _TAG, "")
     for name, letter in _ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(letter))
-    text = F.regexp_replace(F.regexp_replace(text, r"[\x20\x09\x0B\x0C\x0D]+", " "), r" ?\n[ \n]*", "\n")
-    return F.filter(F.split(F.trim(text), "\n"), lambda x: x != "")
+    text = F.regexp_replace(F.regexp_replace(text, r"[\x09\x0B-\x0D]", " "), r"\x20{2,}", " ")
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def drop_boilerplate(
