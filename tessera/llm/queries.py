@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, exact, lines, mixing, packing, simhash, substring, token_files, topk
+from tessera.llm import chat, exact, lines, mixing, packing, simhash, substring, token_files, topk, toxicity
 from tessera.llm.common import fresh_path, table
 
 
@@ -35,6 +35,11 @@ def op5_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -51,5 +56,5 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), "bytes")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat, op3_substring, op4_token_files, op5_mixing, op7_exact_dedup, op8_top_k, op9_simhash, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat, op3_substring, op4_token_files, op5_mixing, op6_toxicity, op7_exact_dedup, op8_top_k, op9_simhash, op10_packing)}
 ORACLE_SQL = {"op1_line_dedup": lines.ORACLE, "op2_chat": chat.ORACLE, "op5_mixing": mixing.ORACLE, "op7_exact_dedup": exact.ORACLE, "op8_top_k": topk.ORACLE}
