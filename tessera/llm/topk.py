@@ -17,51 +17,67 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def no_random_access(spots, values, rows: np.ndarray, query: np.ndarray, k: int, skip: np.ndarray) -> np.ndarray:
-    """Positions of the candidates that may be among the k best for query; skip marks candidates that may not.
-
-    spots and values: the lists, a column each, ascending; a spot is candidate * lists + list. Every list is read from its
-    own end, half of it first, as nothing can be ruled out earlier, then in rounds of an eighth."""
-    n, d = rows.shape
-    live = np.flatnonzero(~skip)
-    if len(live) <= 4 * k:
-        return live
-    up = query > 0
-    worst = np.where(up, values[0], values[-1]) * query
-    read = np.zeros(n)  # of each candidate, over the lists in which it was met
-    known = np.zeros(n * d, np.uint8)
-    depth, step = 0, -(-n // 8)
-    while depth < n and len(live) > 4 * k:
-        end = min(depth + step * (1 if depth else 4), n)
-        top, bottom = slice(n - end, n - depth), slice(depth, end)
-        met = np.where(up, spots[top][::-1], spots[bottom]).ravel()
-        gives = np.where(up, values[top][::-1], values[bottom]) * query
-        read += np.bincount(met // d, gives.ravel(), n)
-        known[met] = 1
-        last = gives[-1]
-        found = known.reshape(n, d)[live].astype(np.float64) @ np.stack([worst, last], 1)
-        lower = read[live] + (worst.sum() - found[:, 0])
-        upper = read[live] + (last.sum() - found[:, 1])
-        kth = np.partition(lower, len(lower) - k)[len(lower) - k]
-        live = live[upper >= kth]
-        depth = end
-    return live
-
-
-def _search(k: int):
+class SortedLists:
+    """A block of candidates as one sorted list for each dimension, which queries read from either end.
+
+    What all lists have given down to a depth is kept as two bitmaps (from the high ends, from the low ends), so a round of
+    reading is a matrix product for many queries at once."""
+
+    def __init__(self, rows: np.ndarray):
+        self.rows, (self.n, d) = rows, rows.shape
+        order = np.argsort(rows, axis=0, kind="stable")
+        self.values = np.take_along_axis(rows, order, axis=0)
+        self.place = np.empty((self.n, d), np.int32)
+        np.put_along_axis(self.place, order, np.arange(self.n, dtype=np.int32)[:, None], axis=0)
+
+    def bounds(self, depth: int, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds (candidates x queries) of the scores after reading each list down to depth."""
+        up, down = np.maximum(q, 0), np.minimum(q, 0)
+        high, low = (self.place >= self.n - depth).astype(np.float64), (self.place < depth).astype(np.float64)
+        read = (self.rows * high) @ up.T + (self.rows * low) @ down.T
+
+        def unread(from_high: np.ndarray, from_low: np.ndarray) -> np.ndarray:
+            """The sum over the lists in which a candidate was not met yet, if each gave the value named."""
+            a, b = up * from_high, down * from_low
+            return (a + b).sum(1) - (high @ a.T + low @ b.T)
+
+        lower = read + unread(self.values[0], self.values[-1])
+        upper = read + unread(self.values[self.n - depth], self.values[depth - 1])
+        return lower, upper
+
+
+def no_random_access(lists: SortedLists, q: np.ndarray, k: int, skip: np.ndarray) -> list[np.ndarray]:
+    """For each query the candidates that may be among its k best; skip (candidates x queries) marks those that may not.
+
+    A query stops reading once few candidates can still qualify. The first round is long: no candidate of dense vectors
+    can be ruled out earlier."""
+    n, found = lists.n, [np.flatnonzero(~skip[:, i]) for i in range(len(q))]
+    for depth in sorted({-(-3 * n // 4), -(-7 * n // 8), -(-15 * n // 16)}):
+        active = [i for i in range(len(q)) if len(found[i]) > 4 * k]
+        if not active or depth >= n:
+            break
+        lower, upper = lists.bounds(depth, q[active])
+        lower[skip[:, active]] = -np.inf
+        kth = np.partition(lower, n - k, axis=0)[n - k]
+        for c, i in enumerate(active):
+            found[i] = found[i][upper[found[i], c] >= kth[c]]
+    return found
+
+
+def _search(k: int, at_once: int = 256):
     def search(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if queries.num_rows and candidates.num_rows:
             matrix = lambda t: t.column("v").combine_chunks().values.to_numpy().reshape(t.num_rows, -1)
-            rows, ids = matrix(candidates), candidates.column("vec_id").to_numpy()
-            order = np.argsort(rows, axis=0, kind="stable").astype(np.int32)
-            values = np.take_along_axis(rows, order, axis=0)
-            spots = order * rows.shape[1] + np.arange(rows.shape[1], dtype=np.int32)
-            for query_id, mark, query in zip(queries.column("vec_id").to_pylist(), queries.column("mark").to_pylist(), matrix(queries)):
-                found = no_random_access(spots, values, rows, query, k, ids == query_id)
-                scores = (rows[found] @ query).astype(np.int64)
-                best = np.lexsort((ids[found], -scores))[:k]
-                out += [(query_id, mark, int(ids[found[i]]), int(scores[i])) for i in best]
+            ids, asked, marks = (t.column(c).to_numpy() for t, c in ((candidates, "vec_id"), (queries, "vec_id"), (queries, "mark")))
+            lists, asks = SortedLists(matrix(candidates)), matrix(queries)
+            for at in range(0, len(asks), at_once):
+                part = slice(at, at + at_once)
+                skip = ids[:, None] == asked[None, part]
+                for query_id, mark, q, found in zip(asked[part], marks[part], asks[part], no_random_access(lists, asks[part], k, skip)):
+                    scores = (lists.rows[found] @ q).astype(np.int64)
+                    best = np.lexsort((ids[found], -scores))[:k]
+                    out += [(int(query_id), int(mark), int(ids[found[i]]), int(scores[i])) for i in best]
         columns = list(zip(*out)) or [()] * 4
         return pa.table([pa.array(c, pa.int64()) for c in columns], ["query_id", "mark", "vec_id", "score"])
 
