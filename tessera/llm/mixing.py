@@ -51,6 +51,61 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max
     return shared.select("source", "source_size", target.alias("target"))
 
 
+def _drawn(rows: DataFrame, plan: DataFrame, small: bool, max_copies: int, seed: int) -> DataFrame:
+    """rows (doc_id, source, w, ...) with the plan's columns, whole (certain copies) and order (of those that are drawn for one
+    more; null where nothing is left to draw)."""
+    keyed = plan.withColumnRenamed("source", "__source")
+    joined = rows.join(F.broadcast(keyed) if small else keyed, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
+    relative = F.when(F.col("mean_w") > 0, F.col("w") / F.col("mean_w")).otherwise(F.lit(1.0))
+    expected = F.least(F.col("rate") * relative, F.lit(float(max_copies)))
+    p = expected - F.floor(expected)
+    u = uniform(F.col("doc_id"), seed)
+    odds = (u / (1 - u)) / (p / (1 - p))
+    # odds / (1 + odds) keeps the order and lies in (0, 1), so that equal slices are a histogram.
+    return joined.withColumn("whole", F.floor(expected).cast("long")).withColumn("order", F.when(p > 0, odds / (1 + odds)))
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight_col: str | None) -> DataFrame:
+    w = F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), w.alias("w"))
+
+
+def mixing_plan(sized: DataFrame, weights: tuple[int, ...], max_copies: int, buckets: int, seed: int) -> tuple[DataFrame, bool]:
+    """(doc_id, source, size, w) -> a row for each source: source, source_size, target, mean_w, rate, cut. A document is drawn if
+    its order is at most its source's cut. And whether there are few enough sources to broadcast."""
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), (F.sum(F.col("size") * F.col("w")) / F.nullif(F.sum("size"), F.lit(0))).alias("mean_w"))
+    sources = materialised(sources)
+    small = sources.count() <= BROADCAST_SOURCES
+    targets = source_targets(sources.select("source", "source_size"), weights, max_copies)
+    means = sources.select(F.col("source").alias("__source"), "mean_w")
+    targets = targets.join(means, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    targets = materialised(targets.withColumn("rate", rate))
+    drawn = _drawn(sized, targets, small, max_copies, seed)
+    bucket = F.least(F.floor(F.col("order") * buckets), F.lit(buckets - 1)).cast("int")
+    drawn = drawn.withColumn("bucket", bucket)
+
+    slices = drawn.groupBy("source", "target", "bucket").agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("whole")).alias("certain"))
+    along = W.partitionBy("source").orderBy(F.col("bucket").asc_nulls_first())
+    slices = slices.withColumn("rest", F.col("target") - F.sum("certain").over(W.partitionBy("source")))
+    slices = slices.where("bucket IS NOT NULL").withColumn("upto", F.sum("words").over(along))
+    edge = slices.where(F.col("upto") >= F.col("rest")).groupBy("source").agg(
+        F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"), "rest")).alias("edge")
+    )
+    edge = materialised(edge.select(F.col("source").alias("__source"), F.col("edge.bucket").alias("edge_bucket"), "edge.before", "edge.rest"))
+    at_edge = F.col("source").eqNullSafe(F.col("__source")) & (F.col("bucket") == F.col("edge_bucket"))
+    in_edge = drawn.join(F.broadcast(edge) if small else edge, at_edge)
+    along = W.partitionBy("source").orderBy("order", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    # Rises along the order, so those that it lets in come first.
+    middle = F.col("before") + F.sum("size").over(along) - F.col("size") / 2
+    last = in_edge.withColumn("in", middle <= F.col("rest")).groupBy("source", "edge_bucket").agg(F.max(F.when(F.col("in"), F.col("order"))).alias("last"))
+    # Without one, the cut is just below the bucket; a source whose remainder its documents don't reach takes all.
+    below = (F.col("edge_bucket") / F.lit(float(buckets))) - 1e-15
+    cuts = last.select(F.col("source").alias("__source"), F.coalesce("last", below).alias("cut"))
+    plan = targets.join(cuts, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
+    return materialised(plan.withColumn("cut", F.coalesce("cut", F.lit(2.0)))), small
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -64,56 +119,29 @@ def mix(
 ) -> DataFrame:
     """One row for each row of docs: doc_id, size, source_size, target, taken (words), copies.
 
-    Null or empty text has size 0 and is taken floor(r) times. A null source is a source of its own, last in order. Equal
-    order variables (repeated ids) are ordered by size. Rows equal in id and size are interchangeable. Reruns agree. A
-    source's taken words miss its target by half a document at most, where weight_col is None.
+    Null or empty text has size 0. A null source is a source of its own, last in order. Rows that share an id are drawn
+    together. Reruns agree. A source's taken words miss its target by half a document at most, where weight_col is None and
+    ids are unique. An empty table gives an empty result; further columns are ignored.
     """
-    w = F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), w.alias("w"))
-    sized = materialised(sized)
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), (F.sum(F.col("size") * F.col("w")) / F.sum("size")).alias("mean_w"))
-    targets = source_targets(sources, weights, max_copies).join(
-        sources.select(F.col("source").alias("s"), "mean_w"), F.col("source").eqNullSafe(F.col("s")), "left"
-    )
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    targets = materialised(targets.select("source", "source_size", "target", "mean_w", rate.alias("rate")))
-    small = targets.count() <= BROADCAST_SOURCES
-    keyed = targets.withColumnRenamed("source", "s")
-    joined = sized.join(F.broadcast(keyed) if small else keyed, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    relative = F.when(F.col("mean_w") > 0, F.col("w") / F.col("mean_w")).otherwise(F.lit(1.0))
-    expected = F.least(F.col("rate") * relative, F.lit(float(max_copies)))
-    whole = F.floor(expected).cast("long")
-    p = expected - F.floor(expected)
-    u = uniform(F.col("doc_id"), seed)
-    odds = (u / (1 - u)) / (p / (1 - p))
-    # order / (1 + order) keeps the order and lies in (0, 1), so that equal slices are a histogram.
-    ranked = joined.withColumn("whole", whole).withColumn("order", F.when(p > 0, odds / (1 + odds)))
-    ranked = ranked.withColumn("bucket", F.least(F.floor(F.col("order") * buckets), F.lit(buckets - 1)).cast("int"))
-
-    slices = ranked.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("whole")).alias("certain"))
-    along = W.partitionBy("source").orderBy(F.col("bucket").asc_nulls_first())
-    all_of = W.partitionBy("source")
-    slices = slices.withColumn("certain", F.sum("certain").over(all_of))
-    slices = slices.where("bucket IS NOT NULL").withColumn("upto", F.sum("words").over(along))
-    slices = slices.join(F.broadcast(keyed) if small else keyed, F.col("source").eqNullSafe(F.col("s")), "left")
-    slices = slices.withColumn("rest", F.col("target") - F.col("certain"))
-    cut = slices.where(F.col("upto") >= F.col("rest")).groupBy("source").agg(
-        F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"), "rest")).alias("cut")
-    )
-    cut = materialised(cut.select(F.col("source").alias("s"), "cut.bucket", "cut.before", "cut.rest").withColumnRenamed("bucket", "cut_bucket"))
-    placed = ranked.join(F.broadcast(cut) if small else cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    edge = F.col("bucket") == F.col("cut_bucket")
-    in_edge = W.partitionBy("source").orderBy("order", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    inside = placed.where(edge).withColumn("reached", F.col("before") + F.sum("size").over(in_edge) - F.col("size") / 2)
-    inside = inside.withColumn("more", (F.col("reached") <= F.col("rest")).cast("int")).drop("reached")
-    outside = placed.where(~F.coalesce(edge, F.lit(False))).withColumn(
-        "more",
-        F.when(F.col("bucket").isNull(), 0).when(F.col("cut_bucket").isNull(), 1).otherwise((F.col("bucket") < F.col("cut_bucket")).cast("int")),
-    )
-    copies = F.col("whole") + F.col("more")
-    return inside.unionByName(outside).select(
-        "doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies")
-    )
+    sized = materialised(_sized(docs, id_col, text_col, source_col, weight_col))
+    plan, small = mixing_plan(sized, weights, max_copies, buckets, seed)
+    drawn = _drawn(sized, plan, small, max_copies, seed)
+    copies = F.col("whole") + F.coalesce((F.col("order") <= F.col("cut")).cast("int"), F.lit(0))
+    return drawn.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+
+
+def mixed(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1),
+    max_copies: int = 3, buckets: int = 2048, seed: int = 17,
+) -> DataFrame:
+    """The rows of docs, with all their columns, each as often as mix() takes it. Texts stay where they are."""
+    sized = materialised(_sized(docs, id_col, text_col, source_col, None))
+    plan, small = mixing_plan(sized, weights, max_copies, buckets, seed)
+    whole_rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.lit(1.0).alias("w"))
+    drawn = _drawn(whole_rows, plan, small, max_copies, seed)
+    copies = (F.col("whole") + F.coalesce((F.col("order") <= F.col("cut")).cast("int"), F.lit(0))).cast("int")
+    repeated = drawn.where(copies > 0).select("row", F.explode(F.sequence(F.lit(1), copies)).alias("copy"))
+    return repeated.select("row.*")
 
 
 ORACLE = """
