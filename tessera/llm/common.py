@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,9 +43,11 @@ def materialised(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished jobs now: it does so when the driver's garbage is collected, which
-    may else be long after the disks are full."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    may else be long after the disks are full. The second round finds what only the first has let go."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def ascii_lower(text: Column) -> Column:
