@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower
+from tessera.llm.common import ascii_lower, materialised
 
 
 def _normalised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -37,7 +37,8 @@ def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")
     )
     clash = F.when(F.col("texts") > 1, F.raise_error(F.lit("two different texts share a digest")).cast("long"))
-    return one.select("digest", "keep_id", F.coalesce(clash, F.col("group_size")).alias("group_size"))
+    # Written, so that Spark may split a hot digest where rows look their group up.
+    return materialised(one.select("digest", "keep_id", F.coalesce(clash, F.col("group_size")).alias("group_size")))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame:
@@ -59,16 +60,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+#: Keys of dropped rows (under 100 bytes each) that are broadcast at most; beyond it the rows are joined by shuffling.
+BROADCAST_KEYS = 500_000
+
+
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns; of repeated rows one."""
     key = lambda i, d: F.concat(d, F.coalesce(i.cast("string"), F.lit("null")).cast("binary"))
-    rows = _rows(docs.select(id_col, text_col), id_col, text_col, salts).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    kept = rows.select(key(F.col("doc_id"), F.col("digest")).alias("__key"), "repeats")
+    rows = _rows(docs.select(id_col, text_col), id_col, text_col, salts)
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    other = materialised(rows.where(~stays | (F.col("repeats") > 1)).select(key(F.col("doc_id"), F.col("digest")).alias("__key"), stays.alias("__stays")))
+    small = other.count() <= BROADCAST_KEYS
+    hint = F.broadcast if small else (lambda df: df)
     digest = F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 256))
     mine = docs.withColumn("__key", key(F.col(id_col), digest))
-    once = mine.join(kept.where("repeats = 1"), "__key", "left_semi")
-    again = mine.join(kept.where("repeats > 1"), "__key", "left_semi").dropDuplicates(["__key"])
-    return once.unionByName(again).drop("__key")
+    single = mine.join(hint(other.select("__key")), "__key", "left_anti")
+    if not other.where("__stays").head(1):
+        return single.drop("__key")
+    repeated = mine.join(hint(other.where("__stays").select("__key")), "__key", "left_semi").dropDuplicates(["__key"])
+    return single.unionByName(repeated).drop("__key")
 
 
 ORACLE = """

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialised
+from tessera.llm.common import WORD, materialised
 from tessera.llm.components import components
 
 SEED = 42
@@ -109,61 +109,65 @@ def trie_links(keys: np.ndarray, node: np.ndarray, bits: int, small: int = 64) -
         yield from _leaf_pairs(keys, node)
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> dict[int, int]:
-    """node -> root of the links' components, by union-find."""
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Those of the pairs (a, b) that join two trees, taken in turn: as rows, the same components with the fewest links."""
     up: dict[int, int] = {}
 
     def root(x: int) -> int:
         top = x
-        while up.get(top, top) != top:
-            top = up[top]
+        while (above := up.get(top, top)) != top:
+            top = above
         while x != top:
             up[x], x = top, up.get(x, x)
         return top
 
+    kept = []
     for x, y in zip(a.tolist(), b.tolist()):
         p, q = root(x), root(y)
         if p != q:
             up[max(p, q)] = min(p, q)
-            up.setdefault(min(p, q), min(p, q))
-    return {x: root(x) for x in list(up)}
+            kept.append((x, y))
+    return np.array(kept, np.int64).reshape(-1, 2)
 
 
-def _bucket_links(bucket: np.ndarray, used: np.ndarray, fps: np.ndarray, p: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of whole buckets as a forest: (fp, fp of its root)."""
-    low = fps & np.uint64((1 << (BITS - p)) - 1)
-    order = np.lexsort((low, used, bucket))
-    bucket, used, low, fps = bucket[order], used[order], low[order], fps[order]
+def _bucket_links(bucket: np.ndarray, used: np.ndarray, keys: np.ndarray, items: np.ndarray, bits: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of whole buckets, as a forest of pairs of items; bits: those below the prefix."""
+    low = keys & np.uint64((1 << bits) - 1)
+    order = np.lexsort((items, low, used, bucket))
+    bucket, used, low, items = bucket[order], used[order], low[order], items[order]
     edge = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (used[1:] != used[:-1])]))
     ends = np.append(edge[1:], len(bucket))
     own = {int(bucket[s]): (s, e) for s, e in zip(edge, ends) if used[s] == 0}
     nodes = [(*own[k], s, e, budget - used[s]) for s, e in zip(edge, ends) if (k := int(bucket[s])) in own]
     if not nodes:
-        return fps[:0], fps[:0]
-    pairs = list(trie_links(low, np.array(nodes, np.int64), BITS - p))
+        return items[:0], items[:0]
+    pairs = list(trie_links(low, np.array(nodes, np.int64), bits))
     if not pairs:
-        return fps[:0], fps[:0]
-    forest = _forest(np.concatenate([x[0] for x in pairs]), np.concatenate([x[1] for x in pairs]))
-    linked = np.array([(x, r) for x, r in forest.items() if x != r], np.int64).reshape(-1, 2)
-    return fps[linked[:, 0]], fps[linked[:, 1]]
+        return items[:0], items[:0]
+    a, b = (items[np.concatenate([x[i] for x in pairs])] for i in (0, 1))
+    kept = _forest(a, b)
+    return kept[:, 0], kept[:, 1]
 
 
-def trie_self_join(prints: DataFrame, budget: int = 2, rows_a_bucket: int = 256, batch_rows: int = 200_000) -> DataFrame:
-    """Distinct fingerprints (fp) -> links (a, b) that connect just those that the pairs within `budget` bits connect."""
-    p = min(24, max(6, math.ceil(math.log2(max(1, prints.count()) / rows_a_bucket)))) if prints else 6
+def trie_self_join(keys: DataFrame, bits: int = BITS, budget: int = 2, rows_a_bucket: int = 256, batch_rows: int = 200_000) -> DataFrame:
+    """keys (lane, key, item), one row for each different lane and key of `bits` bits -> links (a, b) between items. In each
+    lane they connect just those items that the pairs of keys within `budget` bits connect."""
+    largest = keys.groupBy("lane").count().agg(F.max("count")).first()[0] or 0
+    p = min(24, bits - 1, max(6, math.ceil(math.log2(max(1, largest) / rows_a_bucket))))
     masks = [sum(1 << i for i in flips) for k in range(budget + 1) for flips in combinations(range(p), k)]
-    prefix = F.shiftrightunsigned("fp", BITS - p).cast("int")
+    prefix = F.shiftrightunsigned("key", bits - p).cast("int")
     step = F.explode(F.array(*[F.lit(m) for m in masks]))
-    dealt = prints.select("fp", prefix.alias("prefix"), step.alias("mask"))
-    dealt = dealt.withColumn("bucket", F.col("prefix").bitwiseXOR(F.col("mask"))).where("bucket <= prefix")
-    dealt = dealt.select("bucket", F.bit_count("mask").cast("int").alias("used"), "fp")
+    dealt = keys.select("lane", "key", "item", prefix.alias("prefix"), step.alias("mask"))
+    dealt = dealt.withColumn("met", F.col("prefix").bitwiseXOR(F.col("mask"))).where("met <= prefix")
+    bucket = F.shiftleft(F.col("lane"), p).bitwiseOR(F.col("met"))
+    dealt = dealt.select(bucket.alias("bucket"), F.bit_count("mask").cast("int").alias("used"), "key", "item")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def flush(rows: np.ndarray) -> pa.RecordBatch:
-            a, b = _bucket_links(rows[0], rows[1], rows[2].view(np.uint64), p, budget)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            a, b = _bucket_links(rows[0], rows[1], rows[2].view(np.uint64), rows[3], bits - p, budget)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
             held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
@@ -190,8 +194,78 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = materialised(fingerprints(docs, id_col, text_col, words))
     classes = materialised(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(trie_self_join(classes.select("fp"), budget))
+    keys = classes.select(F.lit(0).alias("lane"), F.col("fp").alias("key"), F.col("fp").alias("item"))
+    roots = components(trie_self_join(keys, BITS, budget))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = materialised(rooted.join(least, "root").select("fp", "component_id"))
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: near_duplicates: hashes a shingle, bits a lane, and the differing bits of all that similar texts may have.
+HASHES, LANE_BITS = 8, 32
+_ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1) for k in range(HASHES)], np.uint64)
+
+
+def signature(text: bytes, words: int) -> list[int]:
+    """HASHES fingerprints of the set of shingles, each by a hash of its own, as signed 64-bit integers."""
+    base = np.unique(np.frombuffer(shingle_digests(text, words), ">u8").astype(np.uint64))
+    ones = np.zeros(HASHES * BITS, np.int64)
+    for i in range(0, len(base), BLOCK // HASHES):
+        x = (base[i : i + BLOCK // HASHES, None] ^ (_ODD >> np.uint64(7))) * _ODD
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        ones += np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(base)).view(np.int64).tolist()
+
+
+def most_bits(similarity: float) -> int:
+    """Bits of a signature in which sets of this Jaccard similarity differ on average (for sets of one size), and half a
+    standard deviation."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    n = HASHES * BITS
+    return math.floor(n * share + 0.5 * math.sqrt(n * share * (1 - share)))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, budget: int = 2) -> DataFrame:
+    """(doc_id, keep_id) of the rows that a near-duplicate with a smaller id stands for.
+
+    A signature of HASHES fingerprints is cut into lanes of LANE_BITS bits, and the trie join runs in each lane, so that
+    texts of the similarity asked for meet in some lane although their whole fingerprints differ in more bits than a trie
+    can spend. A link counts if the whole signatures differ in no more than most_bits(similarity). Groups are the
+    components of these links. Rows with a null id, or without words, have no near-duplicates; further columns are
+    ignored; an empty table gives an empty result.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [signature(t.as_py(), words) for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "signature"])
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").rlike(WORD))
+    rows = materialised(rows.mapInArrow(of, "doc_id long, signature array<long>"))
+    classes = materialised(rows.groupBy("signature").agg(F.min("doc_id").alias("item")))
+    lanes = F.flatten(F.transform("signature", lambda x: F.array(F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit(0xFFFFFFFF)))))
+    lane_keys = classes.select(F.posexplode(lanes).alias("lane", "key"), "item")
+    firsts = materialised(lane_keys.groupBy("lane", "key").agg(F.min("item").alias("first")))
+    same = lane_keys.join(firsts, ["lane", "key"]).where("item <> first").select(F.col("item").alias("a"), F.col("first").alias("b"))
+    close = trie_self_join(firsts.withColumnRenamed("first", "item"), LANE_BITS, budget, rows_a_bucket=4096)
+    links = same.unionByName(close).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    side = lambda name: classes.select(F.col("item").alias(name), F.col("signature").alias(f"signature_{name}"))
+    differ = F.aggregate(F.zip_with("signature_a", "signature_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda a, x: a + x)
+    sure = links.join(side("a"), "a").join(side("b"), "b").where(differ <= most_bits(similarity)).select("a", "b")
+    roots = components(sure)
+    rooted = classes.join(roots, classes["item"] == roots["node"], "left").select("signature", F.coalesce("root", "item").alias("keep_id"))
+    return rows.join(rooted, "signature").where("doc_id <> keep_id").select("doc_id", "keep_id")
+
+
+#: Ids that are broadcast at most; beyond it the documents are joined by shuffling.
+BROADCAST_IDS = 1_000_000
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs that near_duplicates doesn't name, with all their columns."""
+    gone = materialised(near_duplicates(docs, id_col, text_col, words, similarity).select(F.col("doc_id").alias("__gone")).distinct())
+    small = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if small else gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
