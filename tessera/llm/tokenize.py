@@ -4,8 +4,9 @@ A piece is encoded once and then looked up, which is exact as long as the piece'
 pre-tokenizer too. Both kinds of file split there:
 
 * "words" (word-level BPE that drops white space): at any ASCII white space;
-* "bytes" (byte-level BPE that keeps white space): before a single space and around other runs of white space. Texts
-  with white space outside ASCII are encoded whole.
+* "bytes" (byte-level BPE that keeps white space): before a single space, and around other runs of white space. Texts
+  with white space outside ASCII are encoded whole. In texts whose white space is single spaces and line ends between
+  words, a piece is written without its space: it begins with a line end, or with NUL at the text's begin, or else has one.
 
 Texts that may hold a special token (they contain "<|") are encoded whole as well.
 """
@@ -15,6 +16,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from operator import attrgetter
 
 import numpy as np
 
@@ -23,10 +25,10 @@ _SPACED = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
 _WIDE_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-#: A piece of one letter run (after a space, for "bytes") with other ASCII signs behind it. Letters of Latin-1 are in
+#: A piece of one letter run (after a line end or a space) with other ASCII signs behind it. Letters of Latin-1 are in
 #: composed form already and have one lower-case form, so the library's normalizer does to them what str.lower does.
 _LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
-_PLAIN = re.compile(f"( ?[{_LETTERS}]+)([!-/:-@\\[-`{{-~]*)")
+_PLAIN = re.compile(f"(\n?)( ?[{_LETTERS}]+)([!-/:-@\\[-`{{-~]*)")
 
 
 def _byte_letters() -> dict[int, int]:
@@ -37,9 +39,23 @@ def _byte_letters() -> dict[int, int]:
 
 
 _BYTE_LETTERS = _byte_letters()
+_ID = attrgetter("id")
 _SPACE = chr(_BYTE_LETTERS[32])
 
 
+#: White space that the short writing of pieces can't tell apart.
+_UNEVEN = ("  ", "\n ", " \n", "\n\n", "\t", "\r", "\x0b", "\x0c", "\0")
+
+
+class _Known(dict):
+    """Pieces' ids; those of the last call that found no room are in extra."""
+
+    extra: dict = {}
+
+    def __missing__(self, piece):
+        return self.extra[piece]
+
+
 class CachedTokenizer:
     """One for each Python worker. The cache keeps the first `room` pieces it meets: the frequent ones are among them."""
 
@@ -50,9 +66,10 @@ class CachedTokenizer:
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.kind, self.room = kind, room
-        self.ids: dict[str | bytes, bytes] = {}
+        self.ids = _Known()
         self.runs: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
+        self.line_end = self._whole("\n")
 
     def pieces(self, text: str) -> list | None:
         """None: encode the text whole."""
@@ -62,7 +79,17 @@ class CachedTokenizer:
             return text.encode().split()
         if _WIDE_SPACE.search(text):
             return None
-        return _SPACED.findall(text)
+        if any(x in text for x in _UNEVEN) or text[:1] == " " or text[-1:] == " ":
+            return [p[1:] if p[0] == " " and len(p) > 1 and p[1] > " " else "\0" + p for p in _SPACED.findall(text)] if "\0" not in text else None
+        own = text.replace("\n", " \n").split(" ")
+        own[0] = "\0" + own[0]
+        return own
+
+    def _spelled(self, piece: str | bytes) -> str:
+        """The piece of the text that pieces() wrote."""
+        if self.kind == "words":
+            return piece.decode()
+        return piece[1:] if piece[:1] == "\0" else piece if piece[:1] == "\n" else " " + piece
 
     def _run(self, letters: str) -> bytes:
         """The ids of one letter run, by the library's model: it is a single pre-token."""
@@ -70,7 +97,7 @@ class CachedTokenizer:
             spelled = letters.replace(" ", _SPACE)
         else:
             spelled = letters.encode().decode("latin-1").translate(_BYTE_LETTERS)
-        found = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        found = array("I", map(_ID, self.model.tokenize(spelled))).tobytes()
         if len(self.runs) < self.room // 4:
             self.runs[letters] = found
         return found
@@ -80,15 +107,17 @@ class CachedTokenizer:
         out, others = {}, []
         plain, runs, tails, words = _PLAIN.fullmatch, self.runs, self.tails, self.kind == "words"
         for piece in fresh:
-            text = piece.decode() if words else piece
+            text = self._spelled(piece)
             m = plain(text)
             if m is None:
                 others.append((piece, text))
                 continue
-            letters, tail = m.groups()
+            line, letters, tail = m.groups()
             if words:
                 letters = letters.lower()
             found = runs.get(letters) or self._run(letters)
+            if line:
+                found = self.line_end + found
             if tail:
                 end = tails.get(tail)
                 if end is None:
@@ -110,12 +139,8 @@ class CachedTokenizer:
         """For each text its ids (uint32, without the end id) and its pieces (None if it was encoded whole)."""
         split = [self.pieces(t) for t in texts]
         fresh = set().union(*[own for own in split if own is not None]) - self.ids.keys()
-        learned = self._learn(fresh) if fresh else {}
-        if len(self.ids) < self.room:
-            look = self.ids.__getitem__
-        else:
-            both = {**{p: self.ids[p] for own in split if own is not None for p in own if p in self.ids}, **learned}
-            look = both.__getitem__
+        self.ids.extra = self._learn(fresh) if fresh else {}
+        look = self.ids.__getitem__
         out = []
         for text, own in zip(texts, split):
             found = self._whole(text) if own is None else b"".join(map(look, own))
