@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.automaton import SuffixAutomaton
-from tessera.llm.common import materialised, release
+from tessera.llm.common import fresh_path, materialised, release
 
-#: A spot is 20 bits of a hash of the text (they tell rows apart that share an id), the first word, and the windows.
+#: A spot is 20 bits of a hash of the text (where ids repeat, they tell their rows apart), the first word, and the windows.
 _MARK, _FIRST, _RUN = 20, 35, 8
 _RATE = np.uint64(0x9E3779B97F4A7C15)
 #: Words hashed at once.
@@ -88,11 +88,11 @@ def passages(words: list[bytes], window: int, gram: int) -> tuple[np.ndarray, np
     return grams[best[first]].view(np.int64), first, np.diff(np.append(first, n))
 
 
-def _mark_of(text: bytes) -> int:
-    return xxhash.xxh64_intdigest(text) >> (64 - _MARK)
+def _mark_of(text: bytes, marked: bool) -> int:
+    return xxhash.xxh64_intdigest(text) >> (64 - _MARK) if marked else 0
 
 
-def _keyed(docs: DataFrame, window: int, gram: int) -> DataFrame:
+def _keyed(docs: DataFrame, window: int, gram: int, marked: bool) -> DataFrame:
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, ids, spots = [], [], []
@@ -100,25 +100,31 @@ def _keyed(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 key, first, run = passages(text.split(), window, gram)
                 keys.append(key)
                 ids.append(np.full(len(key), doc_id, np.int64))
-                spots.append(_mark_of(text) << (_FIRST + _RUN) | first << _RUN | run)
+                spots.append(_mark_of(text, marked) << (_FIRST + _RUN) | first << _RUN | run)
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, spots)], ["key", "doc_id", "spot"])
 
     return docs.where("doc_id IS NOT NULL AND text <> ''").mapInArrow(keyed, "key long, doc_id long, spot long")
 
 
-def _cut(window: int):
-    """(text, doc_id, found) -> the passages found, with their words; hot ones window by window."""
+def _cut(window: int, marked: bool):
+    """(text, doc_id, found) -> the passages found, with their words; hot ones window by window. A passage that a document
+    repeats is one row: `more` holds the first words of the repeats, as 64-bit integers."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "doc_id", "spot", "passage"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["key", "doc_id", "spot", "more", "passage"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+
+        def rows(out: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
+
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
+            out: list[tuple] = []
             size = 0
             for i in np.flatnonzero(batch.column(2).is_valid().to_numpy(zero_copy_only=False)).tolist():
                 doc_id, text = batch.column(0)[i].as_py(), batch.column(1)[i].as_py().encode()
-                words, mark = text.split(), _mark_of(text)
+                words, mark = text.split(), _mark_of(text, marked)
+                places: dict[tuple[int, bytes], list[int]] = {}
                 found = batch.column(2)[i].values
                 for spot, key, hot in zip(*(found.field(k).to_pylist() for k in range(3))):
                     if spot >> (_FIRST + _RUN) != mark:
@@ -127,14 +133,16 @@ def _cut(window: int):
                     for at, n in ((first + k, 1) for k in range(run)) if hot else ((first, run),):
                         passage = b" ".join(words[at : at + n + window - 1])
                         own = xxhash.xxh64_intdigest(passage) - (1 << 63) if hot else key
-                        for x, v in zip(out, (own, doc_id, mark << (_FIRST + _RUN) | at << _RUN | n, passage)):
-                            x.append(v)
-                        size += len(passage)
+                        places.setdefault((own, passage), []).append(at)
+                for (key, passage), at in places.items():
+                    more = np.array(at[1:], np.int64).tobytes() if len(at) > 1 else None
+                    out.append((key, doc_id, mark << (_FIRST + _RUN) | at[0] << _RUN, more, passage))
+                    size += len(passage)
                 if size > 8_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names)
-                    out, size = ([], [], [], []), 0
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names)
+                    yield rows(out)
+                    out, size = [], 0
+            if out:
+                yield rows(out)
 
     return cut
 
@@ -177,7 +185,7 @@ def _matched(window: int):
         now, shard, doc, fresh = None, _Shard(), None, []
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
-            for key, doc_id, spot, passage in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, doc_id, spot, more, passage in zip(*(c.to_pylist() for c in batch.columns)):
                 if key != now:
                     now, shard, doc, fresh = key, _Shard(), doc_id, []
                 elif doc_id != doc:
@@ -186,16 +194,18 @@ def _matched(window: int):
                     doc, fresh = doc_id, []
                 if shard.known:
                     first = spot >> _RUN & ((1 << _FIRST) - 1)
+                    firsts = [first, *np.frombuffer(more, np.int64).tolist()] if more else [first]
                     for start, end in shard.spans(passage, window):
-                        for x, v in zip(out, (doc_id, spot >> (_FIRST + _RUN), first + start, first + end)):
-                            x.append(v)
+                        for f in firsts:
+                            for x, v in zip(out, (doc_id, spot >> (_FIRST + _RUN), f + start, f + end)):
+                                x.append(v)
                 fresh.append(passage)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "mark", "start", "stop"])
 
     return matched
 
 
-def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _removed(batches: Iterator[pa.RecordBatch], marked: bool) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, spans) -> the document's counts and the text that is left."""
     for batch in batches:
         counts, gone, left = [], [], []
@@ -203,10 +213,10 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = batch.column(1)[i].as_py().encode()
             words = text.split()
             keep = np.ones(len(words), bool)
-            spans = batch.column(2)[i]
+            spans, own = batch.column(2)[i], _mark_of(text, marked)
             if spans.is_valid:
                 for mark, start, stop in zip(*(spans.values.field(k).to_pylist() for k in range(3))):
-                    if mark == _mark_of(text):
+                    if mark == own:
                         keep[start:stop] = False
             counts.append(len(words))
             gone.append(len(words) - int(keep.sum()))
@@ -225,21 +235,26 @@ def drop_repeats(
     empty result; further columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    keyed = _keyed(rows, window, gram)
+    spark = docs.sparkSession
+    marked = not rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
+    keyed = _keyed(rows, window, gram, marked)
     shared = keyed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
     shared = materialised(shared.select(F.col("key").alias("shared_key"), (F.col("n") > hot_rows).alias("hot")))
-    release(docs.sparkSession)
-    found = keyed.join(shared, F.col("key") == F.col("shared_key")).groupBy("doc_id").agg(
-        F.collect_list(F.struct("spot", "key", "hot")).alias("found")
-    )
+    release(spark)
+    found = keyed.join(shared, F.col("key") == F.col("shared_key")).groupBy("doc_id").agg(F.collect_list(F.struct("spot", "key", "hot")).alias("found"))
+    # Narrow rows, written in columns: a fraction of the shuffle that they came from and that can go now.
+    path = fresh_path(spark, "passages")
+    found.write.parquet(path)
+    found = spark.read.parquet(path)
+    release(spark)
     # Both joins are left joins of the same rows by id, so that the texts are dealt once.
     with_found = rows.join(found.withColumnRenamed("doc_id", "found_id"), F.col("doc_id") == F.col("found_id"), "left")
-    cut = with_found.select("doc_id", "text", "found").mapInArrow(_cut(window), "key long, doc_id long, spot long, passage binary")
+    cut = with_found.select("doc_id", "text", "found").mapInArrow(_cut(window, marked), "key long, doc_id long, spot long, more binary, passage binary")
     dealt = cut.repartition("key").sortWithinPartitions("key", "doc_id")
     spans = dealt.mapInArrow(_matched(window), "doc_id long, mark long, start long, stop long")
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("mark", "start", "stop")).alias("spans"))
     with_spans = rows.join(spans.withColumnRenamed("doc_id", "span_id"), F.col("doc_id") == F.col("span_id"), "left")
-    return with_spans.select("doc_id", "text", "spans").mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept string")
+    return with_spans.select("doc_id", "text", "spans").mapInArrow(lambda b: _removed(b, marked), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def digest(result: DataFrame) -> DataFrame:
