@@ -130,18 +130,19 @@ def pack(
     window: int = 2048,
     shard_docs: int = 1024,
     shard_chars: int = 16_000_000,
+    cache_pieces: int = 1_000_000,
 ) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each row of docs is a document of its own, repeated rows too: its ids and the end id. Null or empty text is the end id
-    alone. A text longer than a window fills windows by itself. Every id lies in one piece. Further columns are ignored;
+    alone. cache_pieces bounds what a Python worker remembers (about 250 bytes a piece). A text longer than a window fills windows by itself. Every id lies in one piece. Further columns are ignored;
     an empty table gives an empty result.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = tokenizer(tokenizer_file, kind), Packer(window)
+        encoder, packer = tokenizer(tokenizer_file, kind, cache_pieces), Packer(window)
         task = TaskContext.get().partitionId() << 32
         doc_ids: list = []
         tokens: list[np.ndarray] = []

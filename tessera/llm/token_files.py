@@ -24,8 +24,9 @@ SEGMENT_IDS = 1 << 16
 
 
 def encode_documents(
-    docs: DataFrame, tokenizer_file: str, kind: str = "words", id_col: str = "doc_id", text_col: str = "text", shards: int | None = None
-) -> DataFrame:
+    docs: DataFrame, tokenizer_file: str, kind: str = "words", id_col: str = "doc_id", text_col: str = "text", shards: int | None = None,
+    cache_pieces: int = 1_000_000,
+) -> DataFrame:
     """Segments of all documents. The range is over (id, hash of the text), so rows that share an id are split as well."""
     id_type = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -43,7 +44,7 @@ def encode_documents(
     )
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokenizer(tokenizer_file, kind)
+        encoder = tokenizer(tokenizer_file, kind, cache_pieces)
         shard, number, before = TaskContext.get().partitionId(), 0, 0
         held: list[np.ndarray] = []
         held_docs: list = []

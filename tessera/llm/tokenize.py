@@ -59,7 +59,7 @@ class _Known(dict):
 class CachedTokenizer:
     """One for each Python worker. The cache keeps the first `room` pieces it meets: the frequent ones are among them."""
 
-    def __init__(self, path: str, kind: str, room: int = 1_200_000):
+    def __init__(self, path: str, kind: str, room: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -148,14 +148,14 @@ class CachedTokenizer:
         return out
 
 
-_tokenizers: dict[tuple[str, str], CachedTokenizer] = {}
+_tokenizers: dict[tuple[str, str, int], CachedTokenizer] = {}
 
 
-def tokenizer(path: str, kind: str) -> CachedTokenizer:
+def tokenizer(path: str, kind: str, room: int) -> CachedTokenizer:
     """The worker's tokenizer for a file, made at first use."""
-    if (path, kind) not in _tokenizers:
-        _tokenizers[path, kind] = CachedTokenizer(path, kind)
-    return _tokenizers[path, kind]
+    if (path, kind, room) not in _tokenizers:
+        _tokenizers[path, kind, room] = CachedTokenizer(path, kind, room)
+    return _tokenizers[path, kind, room]
 
 
 def groups(batch, text_column: int, chars: int = 4_000_000):
