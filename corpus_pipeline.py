@@ -33,8 +33,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all rows, in sequences of at most 2048 tokens."""
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), "bytes")
+    """The pieces of all rows, in sequences of at most 2048 tokens. Executors that have been through the other stages have
+    less memory left for the tokenizer's cache."""
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), "bytes", cache_pieces=200_000)
 
 
 STAGES = [
