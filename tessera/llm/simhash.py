@@ -72,15 +72,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(of, f"doc_id {kind}, fp long")
 
 
-def _leaf_pairs(keys: np.ndarray, node: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of the pairs in node (columns a_lo, a_hi, b_lo, b_hi, budget) that differ in no more bits than the budget."""
+def _leaf_pairs(keys: np.ndarray, node: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs in node (columns a_lo, a_hi, b_lo, b_hi, budget) whose last `bits` bits, those below the nodes,
+    differ in no more than the budget left."""
+    below = np.uint64((1 << bits) - 1)
     for block in np.array_split(node, max(1, len(node) // 200_000)):
         sizes = (block[:, 1] - block[:, 0]) * (block[:, 3] - block[:, 2])
         of = np.repeat(np.arange(len(block)), sizes)
         at = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         wide = (block[:, 3] - block[:, 2])[of]
         a, b = block[of, 0] + at // wide, block[of, 2] + at % wide
-        near = (np.bitwise_count(keys[a] ^ keys[b]) <= block[of, 4]) & (a != b)
+        near = (np.bitwise_count((keys[a] ^ keys[b]) & below) <= block[of, 4]) & (a != b)
         yield a[near], b[near]
 
 
@@ -89,7 +91,7 @@ def trie_links(keys: np.ndarray, node: np.ndarray, bits: int, small: int = 64) -
     for bit in range(bits - 1, -1, -1):
         leaf = (node[:, 1] - node[:, 0]) * (node[:, 3] - node[:, 2]) <= small
         if leaf.any():
-            yield from _leaf_pairs(keys, node[leaf])
+            yield from _leaf_pairs(keys, node[leaf], bit + 1)
             node = node[~leaf]
         if not len(node):
             return
@@ -106,7 +108,7 @@ def trie_links(keys: np.ndarray, node: np.ndarray, bits: int, small: int = 64) -
         alone = (node[:, 0] == node[:, 2]) & (node[:, 1] == node[:, 3]) & (node[:, 1] - node[:, 0] == 1)
         node = node[~alone]
     if len(node):
-        yield from _leaf_pairs(keys, node)
+        yield from _leaf_pairs(keys, node, 0)
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
