@@ -190,7 +190,7 @@ def fit(
     all_of = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     weights = {f" {w} ": 4.0 for w in SEED_WORDS}
-    slope, offset, power = 4.0, -3.0, 0.5
+    slope, offset, power = 4.0, -3.0, 0.3
     if toxic and clean:
         a = F.col("toxic0") + F.col("toxic1")
         often = (a + 0.5) * clean >= (F.col("clean") + 0.5) * toxic * RATIO
