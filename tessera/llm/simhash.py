@@ -42,9 +42,7 @@ def shingle_digests(text: bytes, words: int, seed: int = SEED) -> bytes:
         return xxhash.xxh64_digest(b" ".join(found), seed)
     line = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
-    starts = (ends[: len(found) - words + 1].copy() if words == 1 else np.concatenate([[0], ends[: len(found) - words]])).tolist()
-    if words == 1:
-        starts = [0, *ends[:-1].tolist()]
+    starts = np.concatenate([[0], ends[: len(found) - words]]).tolist()
     hashed = xxhash.xxh64_digest
     return b"".join([hashed(line[s:e], seed) for s, e in zip(starts, (ends[words - 1 :] - 1).tolist())])
 

@@ -6,7 +6,6 @@ from conftest import SF
 
 import corpus_pipeline
 from tessera.llm import mixing
-from tessera.llm.common import ascii_lower  # noqa: F401
 
 
 def test_stages(spark, tmp_path):
