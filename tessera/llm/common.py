@@ -50,6 +50,11 @@ def release(spark: SparkSession) -> None:
         time.sleep(1)
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bounds the texts that the session's Python workers and the JVM beside them hold at once: whole texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

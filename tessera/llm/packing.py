@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import small_batches
 from tessera.llm.tokenize import END_ID, groups, tokenizer
 
 #: BM25's usual constants.
@@ -135,9 +136,10 @@ def pack(
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each row of docs is a document of its own, repeated rows too: its ids and the end id. Null or empty text is the end id
-    alone. cache_pieces bounds what a Python worker remembers (about 250 bytes a piece). A text longer than a window fills windows by itself. Every id lies in one piece. Further columns are ignored;
-    an empty table gives an empty result.
+    alone. cache_pieces bounds what a Python worker remembers (about 250 bytes a piece). A text longer than a window fills
+    windows by itself. Every id lies in one piece. Further columns are ignored; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 

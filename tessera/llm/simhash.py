@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, materialised
+from tessera.llm.common import WORD, materialised, small_batches
 from tessera.llm.components import components
 
 SEED = 42
@@ -242,6 +242,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             found = [signature(t.as_py(), words) for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "signature"])
 
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").rlike(WORD))
     rows = materialised(rows.mapInArrow(of, "doc_id long, signature array<long>"))

@@ -158,14 +158,15 @@ def tokenizer(path: str, kind: str, room: int) -> CachedTokenizer:
     return _tokenizers[path, kind, room]
 
 
-def groups(batch, text_column: int, chars: int = 4_000_000):
+def groups(batch, text_column: int, chars: int = 1_000_000):
     """Slices of a batch, each with texts of about `chars` characters at most, but a row at least."""
-    texts = batch.column(text_column).to_pylist()
     at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
+    texts: list[str] = []
+    for t in batch.column(text_column):
+        texts.append(t.as_py() or "")
+        size += len(texts[-1])
         if size >= chars:
-            yield batch.slice(at, i + 1 - at), [x or "" for x in texts[at : i + 1]]
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield batch.slice(at), [x or "" for x in texts[at:]]
+            yield batch.slice(at, len(texts)), texts
+            at, size, texts = at + len(texts), 0, []
+    if texts:
+        yield batch.slice(at), texts

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialised
+from tessera.llm.common import materialised, small_batches
 
 #: Known insults, whole words.
 SEED_WORDS = ("idiot", "moron", "stupid", "scum", "loser", "worthless", "pathetic", "disgusting", "trash", "clown")
@@ -249,6 +249,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows of docs that score below the threshold, with all their columns; nothing is shuffled."""
 
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
