@@ -1,6 +1,7 @@
 """Operators with Python in their tasks: against brute force, exact round trips, held-out accuracy."""
 
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -218,6 +219,53 @@ def test_near_duplicates_of_five_words(spark):
     assert simhash.drop_near_duplicates(frame(spark, rows)).count() == 120 - len(gone)
 
 
+def shingles_of(text, words=5):
+    w = text.encode().lower().split()
+    return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
+
+
+def similar_pairs(rows, at_least=0.8):
+    sets = {i: shingles_of(t) for i, t in rows}
+    found = {}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if 5 * min(len(sets[a]), len(sets[b])) >= 3 * max(len(sets[a]), len(sets[b])):
+            both = len(sets[a] & sets[b])
+            if (j := both / (len(sets[a]) + len(sets[b]) - both)) >= at_least:
+                found[a, b] = j
+    return found
+
+
+def grouped_by(pairs):
+    up = {}
+
+    def root(x):
+        while x in up:
+            x = up[x]
+        return x
+
+    for a, b in sorted(pairs):
+        if (p := root(a)) != (q := root(b)):
+            up[max(p, q)] = min(p, q)
+    return {x: root(x) for x in up}
+
+
+def test_near_duplicates_among_half_alike_texts(spark):
+    """True copies between many texts of one template, which are candidates but no copies of each other."""
+    rng = np.random.default_rng(8)
+    fresh = lambda n: [f"w{rng.integers(10**6)}" for _ in range(n)]
+    template, rows = fresh(255), []
+    for i in range(150):
+        own = template + fresh(45)
+        near = list(own)
+        near[3], near[130] = "changed", "also"
+        rows += [(i, " ".join(own)), (1000 + i, " ".join(near))]
+    rows = [(i, " ".join(t.split()[:k])) for k, (i, t) in zip(rng.integers(296, 301, len(rows)), rows)]
+    pairs = similar_pairs(rows)
+    assert len(pairs) == 150
+    gone = {r.doc_id: r.keep_id for r in simhash.near_duplicates(frame(spark, rows)).collect()}
+    assert gone == grouped_by(pairs)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
