@@ -266,6 +266,27 @@ def test_near_duplicates_among_half_alike_texts(spark):
     assert gone == grouped_by(pairs)
 
 
+def test_near_duplicates_around_the_similarity(spark):
+    """Pairs on either side of 0.8, of short and long texts: all that are similar enough are caught, and none besides."""
+    rng = np.random.default_rng(11)
+    fresh = lambda n: [f"w{rng.integers(10**7)}" for _ in range(n)]
+    rows = []
+    for i in range(1200):
+        size = int(rng.choice([8, 9, 14, 22, 60, 150, 400]))
+        own = fresh(size)
+        near = own + fresh(1) if size < 12 else own[: size - int((size - 4) * rng.uniform(0.06, 0.16))]
+        near = near + fresh(size - len(near))
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(near))]
+    pairs = {(2 * i, 2 * i + 1): j for i in range(1200) if (j := similar_pairs(rows[2 * i : 2 * i + 2], 0).get((2 * i, 2 * i + 1)))}
+    true = {p for p, j in pairs.items() if j >= 0.8}
+    assert sum(0.8 <= j < 0.82 for j in pairs.values()) > 150 and sum(0.74 < j < 0.8 for j in pairs.values()) > 100
+    gone = {(r.keep_id, r.doc_id) for r in simhash.near_duplicates(frame(spark, rows)).collect()}
+    assert gone <= true
+    assert len(gone) >= 0.99 * len(true)
+    close = {p for p in true if pairs[p] < 0.82}
+    assert len(gone & close) >= 0.98 * len(close)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
