@@ -9,6 +9,7 @@ padding. Nothing is shuffled: a shard never meets another.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,6 +26,15 @@ from tessera.llm.tokenize import END_ID, groups, tokenizer
 K1, B = 1.2, 0.75
 
 
+_WORD = re.compile(r"\w+")
+
+
+def terms_of(text: str) -> np.ndarray:
+    """BM25 terms: the hashes of a text's words, folded, whatever stands between them. They hold within one Python worker."""
+    words = _WORD.findall(text.casefold())
+    return np.fromiter(map(hash, words), np.int64, len(words))
+
+
 class Bm25Index:
     """An inverted index over documents given as arrays of term numbers (hashes: only their equality counts)."""
 
@@ -170,10 +180,10 @@ def pack(
         for batch in batches:
             id_arrow[:] = [batch.schema.field(0).type]
             for part, texts in groups(batch, 1):
-                for doc_id, (ids, pieces) in zip(part.column(0).to_pylist(), encoder.encode(texts)):
+                for doc_id, text, (ids, _) in zip(part.column(0).to_pylist(), texts, encoder.encode(texts)):
                     doc_ids.append(doc_id)
                     tokens.append(np.append(ids, np.uint32(END_ID)))
-                    terms.append(np.fromiter(map(hash, pieces), np.int64, len(pieces)) if pieces is not None else ids.astype(np.int64))
+                    terms.append(terms_of(text))
                 chars += sum(map(len, texts))
                 if len(tokens) >= shard_docs or chars >= shard_chars:
                     yield shard()

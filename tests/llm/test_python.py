@@ -164,6 +164,22 @@ def test_packing_finds_neighbours(spark):
     assert sum(len(x) == 1 for x in by.values()) > len(by) / 2
 
 
+def test_packing_terms_are_of_one_vocabulary(spark):
+    """A no-break space, a line end, case or punctuation makes no other word: such documents are still neighbours."""
+    topics = ["alpha beta gamma delta", "uno dos tres cuatro", "eins zwei drei vier"]
+    write = [str, lambda t: t.replace(" ", "\u00a0"), lambda t: t.replace(" ", "\n"), lambda t: t.upper().replace(" ", ", ") + "."]
+    rows = [(i, write[i // 3 % 4](" ".join([topics[i % 3]] * 5))) for i in range(240)]
+    for a, b in itertools.combinations(range(0, 12, 3), 2):
+        assert set(packing.terms_of(rows[a][1])) == set(packing.terms_of(rows[b][1]))
+    found = packing.pack(frame(spark, rows).coalesce(1), tokenizer_path("byte_bpe_50k.json"), window=1024).collect()
+    by: dict = {}
+    for r in found:
+        by.setdefault(r.sequence_id, []).append(r.doc_id)
+    full = [d for d in by.values() if len(d) > 8]
+    assert sum(len({i // 3 % 4 for i in d}) == 4 for d in full) > len(full) / 2
+    assert sum(len({i % 3 for i in d}) == 1 for d in full) > len(full) / 2
+
+
 def plain_fingerprint(text):
     words = [w.lower() for w in WORDS.findall((text or "").encode())]
     shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
