@@ -67,7 +67,8 @@ def resolve_relations(members: DataFrame, max_depth: int = 16) -> DataFrame:
     """members (relation, kind "w" or "r", ref, role) -> (relation, way, role): the ways of a relation and of the relations in it.
 
     A blank role is outer; `subarea` members are skipped; below a relation that isn't outer, inner and outer change places. A
-    relation inside itself is not entered again. Each round is a join of all relations, so the depth bounds the rounds.
+    relation inside itself is not entered again. Each round is a join of all relations, so the depth bounds the rounds;
+    relations nested deeper than max_depth are an error.
     """
     plain = members.where(F.coalesce("role", F.lit("")) != "subarea").select(
         "relation", "kind", "ref", F.when(F.coalesce("role", F.lit("")) == "", "outer").otherwise(F.col("role")).alias("role")
@@ -82,9 +83,9 @@ def resolve_relations(members: DataFrame, max_depth: int = 16) -> DataFrame:
         step = reached.join(links.withColumnRenamed("down", "next"), reached.down == F.col("up")).where(~F.array_contains("path", F.col("next")))
         turned = F.when(F.col("turn") == "outer", F.col("link_role")).when(F.col("link_role") == "outer", F.lit("inner")).otherwise(F.lit("outer"))
         reached = step.select("top", F.col("next").alias("down"), turned.alias("turn"), F.concat("path", F.array("next")).alias("path"))
-        if max_depth > 3 and reached.isEmpty():
-            break
-    return out.distinct()
+        if reached.isEmpty():
+            return out.distinct()
+    raise RuntimeError(f"relations are nested deeper than {max_depth} rounds")
 
 
 def html_field(html, pattern: str):

@@ -62,6 +62,14 @@ def test_relations_flip_roles_and_stop_at_cycles(spark):
     assert found == {(1, 10, "outer"), (1, 20, "inner"), (1, 21, "outer")}
 
 
+def test_relations_nested_too_deep_are_an_error(spark):
+    members = [(i, "r", i + 1, "outer") for i in range(1, 5)] + [(5, "w", 50, "outer")]
+    df = spark.createDataFrame(members, "relation long, kind string, ref long, role string").coalesce(1)
+    assert (1, 50, "outer") in {tuple(r) for r in files.resolve_relations(df, max_depth=4).collect()}
+    with pytest.raises(RuntimeError):
+        files.resolve_relations(df, max_depth=3)
+
+
 def test_stream_keeps_the_latest(spark, tmp_path):
     from tessera.streaming.snapshots import upsert_latest
 
