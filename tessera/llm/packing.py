@@ -9,7 +9,6 @@ padding. Nothing is shuffled: a shard never meets another.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,21 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import small_batches
-from tessera.llm.tokenize import END_ID, groups, tokenizer
+from tessera.llm.tokenize import END_ID, groups, terms_of, tokenizer
 
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
 
 
-_WORD = re.compile(r"\w+")
-
-
-def terms_of(text: str) -> np.ndarray:
-    """BM25 terms: the hashes of a text's words, folded, whatever stands between them. They hold within one Python worker."""
-    words = _WORD.findall(text.casefold())
-    return np.fromiter(map(hash, words), np.int64, len(words))
-
-
 class Bm25Index:
     """An inverted index over documents given as arrays of term numbers (hashes: only their equality counts)."""
 
@@ -154,7 +144,7 @@ def pack(
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = tokenizer(tokenizer_file, kind, cache_pieces), Packer(window)
+        encoder, packer = tokenizer(tokenizer_file, kind, cache_pieces, True), Packer(window)
         task = TaskContext.get().partitionId() << 32
         doc_ids: list = []
         tokens: list[np.ndarray] = []
@@ -180,10 +170,10 @@ def pack(
         for batch in batches:
             id_arrow[:] = [batch.schema.field(0).type]
             for part, texts in groups(batch, 1):
-                for doc_id, text, (ids, _) in zip(part.column(0).to_pylist(), texts, encoder.encode(texts)):
-                    doc_ids.append(doc_id)
-                    tokens.append(np.append(ids, np.uint32(END_ID)))
-                    terms.append(terms_of(text))
+                ids, lengths, words, counts = encoder.encode_all(texts, END_ID)
+                doc_ids += part.column(0).to_pylist()
+                tokens += np.split(ids, np.cumsum(lengths)[:-1])
+                terms += np.split(words, np.cumsum(counts)[:-1])
                 chars += sum(map(len, texts))
                 if len(tokens) >= shard_docs or chars >= shard_chars:
                     yield shard()

@@ -7,6 +7,8 @@ all words of a selector at once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 BLOCK_IDS = 4096
@@ -24,18 +26,19 @@ def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> tuple[np.ndarray, np.
     at = np.arange(n, dtype=np.int32)
     left = np.minimum(block_ids - at % block_ids, n - at)
     selector = np.zeros(n, np.int8)
+    top = ids.astype(np.uint32) if int(ids.max()) < 1 << 32 else ids
+    before = 1
     for s in range(len(COUNTS), 0, -1):  # fewest ids first, so that the most win
         count = COUNTS[s - 1]
-        wide = np.flatnonzero(ids >> np.uint64(60 // count))
-        if n - len(wide) < count:
-            continue
-        if not len(wide):
-            selector[left >= count] = s
-            continue
-        far = np.full(n, n, np.int32)  # where the next id is that is too wide
-        far[wide] = wide
-        far = np.minimum.accumulate(far[::-1])[::-1] - at
-        selector[(far >= count) & (left >= count)] = s
+        if count > n:
+            break
+        if count > before:  # the largest of each run of `count` ids, by two runs that overlap
+            top = np.maximum(top[: n - count + 1], top[count - before :])
+            before = count
+        fits = top >> top.dtype.type(60 // count) == 0 if 60 // count < 8 * top.itemsize else np.ones(len(top), bool)
+        if not fits.any():
+            break  # longer runs of narrower ids are rarer still
+        selector[: len(fits)][fits & (left[: len(fits)] >= count)] = s
     selector = selector.astype(np.int64)
     step = np.maximum(_COUNT[selector], 1).tolist()
     starts, i = [], 0
@@ -62,6 +65,12 @@ def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> tuple[np.ndarray, np.
     return words, np.append(firsts, len(words))
 
 
+def decode_blocks(words: np.ndarray, offsets: np.ndarray, at_once: int = 32) -> Iterator[np.ndarray]:
+    """The ids of `at_once` blocks after the other, found by their offsets: memory is bounded however many there are."""
+    for first in range(0, len(offsets) - 1, at_once):
+        yield decode(words[offsets[first] : offsets[min(first + at_once, len(offsets) - 1)]])
+
+
 def decode(words: np.ndarray) -> np.ndarray:
     """Words of one or more whole blocks -> ids as uint64."""
     words = np.ascontiguousarray(words, np.uint64)

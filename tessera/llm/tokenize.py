@@ -19,16 +19,24 @@ from array import array
 from operator import attrgetter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END_ID = 1
+_WORD = re.compile(r"\w+")
 _SPACED = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
 _WIDE_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-#: A piece of one letter run (after a line end or a space) with other ASCII signs behind it. Letters of Latin-1 are in
-#: composed form already and have one lower-case form, so the library's normalizer does to them what str.lower does.
+#: A piece of one letter run (after a line end or the text's begin, or else a space) with other ASCII signs behind it. Letters
+#: of Latin-1 are in composed form already and have one lower-case form, so the library's normalizer does to them what
+#: lower-casing does.
 _LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
-_PLAIN = re.compile(f"(\n?)( ?[{_LETTERS}]+)([!-/:-@\\[-`{{-~]*)")
+_SIGNS = r"!-/:-@\[-`{-~"
+_PLAIN = rf"\A(?P<mark>[\x00\n]?)(?P<letters>[{_LETTERS}]+)(?P<tail>[{_SIGNS}]*)\z"
+_PLAIN_WORD = _PLAIN.replace(r"[\x00\n]?", "")
+#: Pieces whose ids are gathered at once.
+_AT_ONCE = 1 << 20
 
 
 def _byte_letters() -> dict[int, int]:
@@ -43,52 +51,97 @@ _ID = attrgetter("id")
 _SPACE = chr(_BYTE_LETTERS[32])
 
 
+def terms_of(text: str) -> np.ndarray:
+    """The hashes of a text's words, folded, whatever stands between them. They hold within one Python worker."""
+    words = _WORD.findall(text.casefold())
+    return np.fromiter(map(hash, words), np.int64, len(words))
+
+
 #: White space that the short writing of pieces can't tell apart.
 _UNEVEN = ("  ", "\n ", " \n", "\n\n", "\t", "\r", "\x0b", "\x0c", "\0")
 
 
-class _Known(dict):
-    """Pieces' ids; those of the last call that found no room are in extra."""
+def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each range, one range after the other."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat(begin - (ends - size), size) + np.arange(total)
+
+
+class Columns:
+    """Runs of numbers, by place, held as columns and not as objects: end to end in one array."""
+
+    def __init__(self, kind) -> None:
+        self.values = np.zeros(0, kind)
+        self.begin = self.size = np.zeros(0, np.int64)
+
+    def add(self, values: np.ndarray, size: np.ndarray) -> None:
+        self.begin = np.concatenate([self.begin, len(self.values) + np.cumsum(size) - size])
+        self.values, self.size = np.concatenate([self.values, values]), np.concatenate([self.size, size])
+
+    def keep(self, places: np.ndarray) -> None:
+        size = self.size[places]
+        self.values = self.values[ranges(self.begin[places], size)]
+        self.begin, self.size = np.cumsum(size) - size, size
+
+
+class Known:
+    """Texts and the places of their numbers in some columns."""
 
-    extra: dict = {}
+    def __init__(self, *columns: Columns) -> None:
+        self.keys, self.columns = pa.array([], pa.large_string()), columns
 
-    def __missing__(self, piece):
-        return self.extra[piece]
+    def places(self, keys: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """The places of different keys, and those of them that have no numbers yet. These come behind the others, in order."""
+        found = pc.fill_null(pc.index_in(keys, value_set=self.keys), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        lacking = found < 0
+        fresh = keys.filter(pa.array(lacking))
+        found[lacking] = len(self.keys) + np.arange(len(fresh))
+        self.keys = pa.concat_arrays([self.keys, fresh])
+        return found, fresh
+
+    def bound(self, room: int, places: np.ndarray) -> None:
+        """If there are more than room, only places stay."""
+        if len(self.keys) > room:
+            self.keys = self.keys.take(pa.array(places))
+            for c in self.columns:
+                c.keep(places)
+
+
+def _joined(found: list[bytes], kind) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(found), kind), np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(kind).itemsize
 
 
 class CachedTokenizer:
-    """One for each Python worker. The cache keeps the first `room` pieces it meets: the frequent ones are among them."""
+    """One for each Python worker. It remembers up to `room` pieces besides those of the last call; when there are more it keeps
+    the last call's, so what is frequent stays."""
 
-    def __init__(self, path: str, kind: str, room: int = 1_000_000):
+    def __init__(self, path: str, kind: str, room: int = 1_000_000, with_terms: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
-        self.kind, self.room = kind, room
-        self.ids = _Known()
-        self.runs: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-        self.line_end = self._whole("\n")
-
-    def pieces(self, text: str) -> list | None:
-        """None: encode the text whole."""
+        self.kind, self.room, self.with_terms = kind, room, with_terms
+        self.ids, self.terms, self.run_ids = Columns(np.uint32), Columns(np.int64), Columns(np.uint32)
+        self.pieces, self.runs = Known(self.ids, self.terms), Known(self.run_ids)
+
+    def split(self, text: str) -> str | list[str] | None:
+        """A text that is cut at single spaces ("words": at white space), or its pieces, or None: encode it whole."""
         if "<|" in text:
             return None
         if self.kind == "words":
-            return text.encode().split()
+            return text
         if _WIDE_SPACE.search(text):
             return None
         if any(x in text for x in _UNEVEN) or text[:1] == " " or text[-1:] == " ":
             return [p[1:] if p[0] == " " and len(p) > 1 and p[1] > " " else "\0" + p for p in _SPACED.findall(text)] if "\0" not in text else None
-        own = text.replace("\n", " \n").split(" ")
-        own[0] = "\0" + own[0]
-        return own
+        return "\0" + text.replace("\n", " \n")
 
-    def _spelled(self, piece: str | bytes) -> str:
-        """The piece of the text that pieces() wrote."""
+    def _spelled(self, piece: str) -> str:
+        """The piece of the text that split() wrote."""
         if self.kind == "words":
-            return piece.decode()
+            return piece
         return piece[1:] if piece[:1] == "\0" else piece if piece[:1] == "\n" else " " + piece
 
     def _run(self, letters: str) -> bytes:
@@ -97,68 +150,107 @@ class CachedTokenizer:
             spelled = letters.replace(" ", _SPACE)
         else:
             spelled = letters.encode().decode("latin-1").translate(_BYTE_LETTERS)
-        found = array("I", map(_ID, self.model.tokenize(spelled))).tobytes()
-        if len(self.runs) < self.room // 4:
-            self.runs[letters] = found
-        return found
-
-    def _learn(self, fresh: set) -> dict:
-        """piece -> ids, for pieces that are not in the cache."""
-        out, others = {}, []
-        plain, runs, tails, words = _PLAIN.fullmatch, self.runs, self.tails, self.kind == "words"
-        for piece in fresh:
-            text = self._spelled(piece)
-            m = plain(text)
-            if m is None:
-                others.append((piece, text))
-                continue
-            line, letters, tail = m.groups()
-            if words:
-                letters = letters.lower()
-            found = runs.get(letters) or self._run(letters)
-            if line:
-                found = self.line_end + found
-            if tail:
-                end = tails.get(tail)
-                if end is None:
-                    end = self._whole(tail)
-                    if len(tails) < self.room // 4:
-                        tails[tail] = end
-                found += end
-            out[piece] = found
-        for (piece, _), found in zip(others, self.library.encode_batch_fast([t for _, t in others], add_special_tokens=False)):
-            out[piece] = array("I", found.ids).tobytes()
-        if len(self.ids) < self.room:
-            self.ids.update(out)
-        return out
+        return array("I", map(_ID, self.model.tokenize(spelled))).tobytes()
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, list | None]]:
-        """For each text its ids (uint32, without the end id) and its pieces (None if it was encoded whole)."""
-        split = [self.pieces(t) for t in texts]
-        fresh = set().union(*[own for own in split if own is not None]) - self.ids.keys()
-        self.ids.extra = self._learn(fresh) if fresh else {}
-        look = self.ids.__getitem__
-        out = []
-        for text, own in zip(texts, split):
-            found = self._whole(text) if own is None else b"".join(map(look, own))
-            out.append((np.frombuffer(found, np.uint32), own))
-        return out
-
+    def _batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return _joined([array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)], np.uint32)
 
-_tokenizers: dict[tuple[str, str, int], CachedTokenizer] = {}
-
-
-def tokenizer(path: str, kind: str, room: int) -> CachedTokenizer:
+    def _plain_ids(self, mark: pa.Array, letters: pa.Array, tail: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces that are a mark, one letter run, and signs: those three one after the other."""
+        if self.kind == "words":
+            letters = pc.utf8_lower(letters)
+        else:
+            letters = pc.if_else(pc.equal(mark, ""), pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), letters, pa.scalar("", pa.large_string())), letters)
+        named, signs = letters.dictionary_encode(), tail.dictionary_encode()
+        at, fresh = self.runs.places(named.dictionary)
+        self.run_ids.add(*_joined(list(map(self._run, fresh.to_pylist())), np.uint32))
+        sign_ids, sign_size = self._batch(signs.dictionary.to_pylist())
+        line = np.frombuffer(self._whole("\n"), np.uint32)
+        # Three ranges a piece in one array: line ends, runs, signs.
+        every = np.concatenate([line, self.run_ids.values, sign_ids])
+        run, sign = at[named.indices.to_numpy()], signs.indices.to_numpy()
+        has_line = pc.equal(mark, "\n").to_numpy(zero_copy_only=False)
+        sign_begin = len(line) + len(self.run_ids.values) + np.cumsum(sign_size) - sign_size
+        begin = np.stack([np.zeros(len(run), np.int64), len(line) + self.run_ids.begin[run], sign_begin[sign]], 1)
+        size = np.stack([np.where(has_line, len(line), 0), self.run_ids.size[run], sign_size[sign]], 1)
+        self.runs.bound(self.room, at)
+        return every[ranges(begin.ravel(), size.ravel())], size.sum(axis=1)
+
+    def _learn(self, fresh: pa.Array) -> None:
+        """Adds the ids of pieces, in order."""
+        found = pc.extract_regex(fresh, _PLAIN_WORD if self.kind == "words" else _PLAIN)
+        plain = found.is_valid()
+        mark, letters, tail = (pc.struct_field(found.filter(plain), k) for k in ("mark", "letters", "tail"))
+        ids, size = self._plain_ids(mark, letters, tail)
+        other_ids, other_size = self._batch([self._spelled(p) for p in fresh.filter(pc.invert(plain)).to_pylist()])
+        place = np.argsort(np.argsort(~plain.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+        size = np.concatenate([size, other_size])
+        begin = np.cumsum(size) - size
+        self.ids.add(np.concatenate([ids, other_ids])[ranges(begin[place], size[place])], size[place])
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray | None]]:
+        """Each text's ids, and its terms."""
+        ids, lengths, terms, counts = self.encode_all(texts)
+        cut = lambda x, n: np.split(x, np.cumsum(n)[:-1]) if len(n) else []
+        return list(zip(cut(ids, lengths), cut(terms, counts) if self.with_terms else [None] * len(lengths)))
+
+    def encode_all(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
+        """ids of all texts one after the other (uint32; each with end_id behind it) and how many are each text's; the texts'
+        terms likewise, with_terms. A piece is looked up once, however often the texts hold it, and columns do the rest."""
+        split = [self.split(t) for t in texts]
+        even = [i for i, x in enumerate(split) if isinstance(x, str)]
+        odd = [i for i, x in enumerate(split) if isinstance(x, list)]
+        whole = [i for i, x in enumerate(split) if x is None]
+        cut = pc.ascii_split_whitespace if self.kind == "words" else lambda x: pc.split_pattern(x, " ")
+        lists = cut(pa.array([split[i] for i in even], pa.large_string()))
+        pieces_of = [pc.list_value_length(lists).to_numpy(zero_copy_only=False), np.array([len(split[i]) for i in odd], np.int64), np.ones(len(whole), np.int64)]
+        pieces_of = np.concatenate(pieces_of).astype(np.int64)
+        named = pa.concat_arrays([lists.flatten(), pa.array([p for i in odd for p in split[i]], pa.large_string())]).dictionary_encode()
+        pieces, index = named.dictionary, named.indices.to_numpy()
+        del split, lists, named
+        order = np.argsort(np.array(even + odd + whole, np.int64), kind="stable")
+
+        def spread(store: Columns, places: np.ndarray, of_whole: list[bytes], end: int | None) -> tuple[np.ndarray, np.ndarray]:
+            """The numbers of all texts: those of the store, then of texts encoded whole, then the end, as ranges of one array."""
+            own, own_size = _joined(of_whole, store.values.dtype)
+            every = np.concatenate([store.values, own, np.array([] if end is None else [end], store.values.dtype)])
+            begin = np.concatenate([store.begin[places], len(store.values) + np.cumsum(own_size) - own_size, [len(every) - 1]])
+            size = np.concatenate([store.size[places], own_size, [1]])
+            at = np.concatenate([index, len(places) + np.arange(len(whole), dtype=index.dtype)])
+            upto = np.cumsum(pieces_of)
+            if end is not None:
+                at, upto = np.insert(at, upto, len(begin) - 1), upto + np.arange(1, len(upto) + 1)
+            out = np.concatenate([every[ranges(begin[x], size[x])] for x in np.array_split(at, len(at) // _AT_ONCE + 1)])
+            text_ends = np.concatenate([[0], np.cumsum(size[at])])[upto]
+            lengths = np.diff(np.concatenate([[0], text_ends]))
+            if odd or whole:  # back into the order of the texts
+                begins = text_ends - lengths
+                out, lengths = out[ranges(begins[order], lengths[order])], lengths[order]
+            return out, lengths
+
+        places, fresh = self.pieces.places(pieces)
+        self._learn(fresh)
+        self.terms.add(*_joined([terms_of(p).tobytes() for p in fresh.to_pylist()] if self.with_terms else [b""] * len(fresh), np.int64))
+        ids, lengths = spread(self.ids, places, [self._whole(texts[i]) for i in whole], end_id)
+        terms, counts = spread(self.terms, places, [terms_of(texts[i]).tobytes() for i in whole], None) if self.with_terms else (None, None)
+        self.pieces.bound(self.room, places)
+        return ids, lengths, terms, counts
+
+
+_tokenizers: dict[tuple, CachedTokenizer] = {}
+
+
+def tokenizer(*made_of) -> CachedTokenizer:
     """The worker's tokenizer for a file, made at first use."""
-    if (path, kind, room) not in _tokenizers:
-        _tokenizers[path, kind, room] = CachedTokenizer(path, kind, room)
-    return _tokenizers[path, kind, room]
+    if made_of not in _tokenizers:
+        _tokenizers[made_of] = CachedTokenizer(*made_of)
+    return _tokenizers[made_of]
 
 
-def groups(batch, text_column: int, chars: int = 4_000_000):
+def groups(batch, text_column: int, chars: int = 8_000_000):
     """Slices of a batch, each with texts of about `chars` characters at most, but a row at least."""
     at = size = 0
     texts: list[str] = []
