@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with marks of Latin-1 and Latin Extended-A, and what they fold to, place by place.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+def _marked_letters() -> dict[str, str]:
+    """Latin letters with marks, and the plain letters that their decomposition begins with."""
+    found = {}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        plain, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and plain.isascii() and all(map(unicodedata.combining, marks)):
+            found[chr(code)] = plain
+    return found
+
+
+_MARKED = _marked_letters()
+#: Letters with marks, then marks by themselves; what they fold to, place by place; the marks have no place and go.
+ACCENTED = "".join(_MARKED) + "".join(map(chr, range(0x300, 0x370)))
+PLAIN = "".join(_MARKED.values())
 
 
 def cap(word: Column) -> Column:
@@ -72,10 +85,10 @@ def postcode_number(code: Column) -> Column:
 
 
 def without_suffix(name: Column) -> Column:
-    """A municipality's name without a trailing remark in brackets."""
-    return F.regexp_replace(name, r"\s*\([^)]*\)\z", "")
+    """A municipality's name without a remark in brackets, which white space goes before."""
+    return F.regexp_replace(name, r"(.*)\s+\(.*\)", "$1")
 
 
 def island_district(district: Column) -> Column:
-    """Districts that name an island, by their archipelago."""
-    return F.when(district == "Ilha Da Madeira", "Madeira").when(district == "Ilha De Porto Santo", "Madeira").when(district.like("Ilha D%"), "Açores").otherwise(district)
+    """Districts that name an island, by their archipelago: Madeira, and all other islands are of Açores, as the registry has it."""
+    return F.when(district == "Ilha Da Madeira", "Madeira").when(district.like("Ilha D%"), "Açores").otherwise(district)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -103,11 +103,21 @@ def rank_in_context(long: DataFrame) -> DataFrame:
     )
 
 
-def cube(licences: DataFrame, areas: DataFrame, house_types: tuple[str, str]) -> DataFrame:
-    """Licences and areas -> the ranked long cube. Licences with lost_in_year_month set count as lost in that month."""
+def metric_table(spark: SparkSession) -> DataFrame:
+    """The literal table of METRICS: metric_name, aggregation."""
+    return spark.createDataFrame(list(METRICS.items()), "metric_name string, aggregation string")
+
+
+def base(licences: DataFrame, areas: DataFrame, house_types: tuple[str, str]) -> DataFrame:
+    """Licences and areas -> the dense grid of sums. Licences with lost_in_year_month set count as lost in that month."""
     facts = explode_area_pairs(licence_facts(licences, house_types), MEASURES)
     gone = licences.where("lost_in_year_month IS NOT NULL").groupBy(*LEVELS, F.col("lost_in_year_month").alias("year_month")).agg(F.count(F.lit(1)).alias("lost_licenses"))
-    return rank_in_context(cumulative_metrics(densify(facts, explode_area_pairs(gone, ("lost_licenses",)), areas)))
+    return densify(facts, explode_area_pairs(gone, ("lost_licenses",)), areas)
+
+
+def cube(licences: DataFrame, areas: DataFrame, house_types: tuple[str, str]) -> DataFrame:
+    """Licences and areas -> the ranked long cube."""
+    return rank_in_context(cumulative_metrics(base(licences, areas, house_types)))
 
 
 def widen(long: DataFrame, since: str = "2012-01-01") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import analytics, cube
 from tessera.plans.domain import AS_OF, DOMAIN_SQL, areas, licences
+from tessera.plans.store import stored
 
 HOUSE_TYPES = ("1-URGENT", "2-HIGH")
 SINCE, BASE_DATE = "1996-01-01", "1997-01-01"
@@ -17,12 +18,20 @@ def _rounded(df, *columns, digits=6):
     return df.withColumns({c: F.round(c, digits) for c in columns} | months)
 
 
+def known(spark, sf_dir):
+    return stored(spark, "areas", sf_dir, lambda: areas(spark, sf_dir))
+
+
+def cube_base(spark, sf_dir):
+    return stored(spark, "cube-base", sf_dir, lambda: cube.base(licences(spark, sf_dir), known(spark, sf_dir), HOUSE_TYPES))
+
+
 def long_cube(spark, sf_dir):
-    return cube.cube(licences(spark, sf_dir), areas(spark, sf_dir), HOUSE_TYPES)
+    return stored(spark, "cube-long", sf_dir, lambda: cube.rank_in_context(cube.cumulative_metrics(cube_base(spark, sf_dir))))
 
 
 def wide_cube(spark, sf_dir):
-    return cube.widen(long_cube(spark, sf_dir), SINCE)
+    return stored(spark, "cube-wide", sf_dir, lambda: cube.widen(long_cube(spark, sf_dir), SINCE))
 
 
 def cube_facts(spark, sf_dir):
@@ -41,32 +50,36 @@ def cube_wide(spark, sf_dir):
 
 
 def area_growth(spark, sf_dir):
-    out = analytics.growth(wide_cube(spark, sf_dir), areas(spark, sf_dir), AS_OF, 36, BASE_DATE)
+    out = analytics.growth(wide_cube(spark, sf_dir), known(spark, sf_dir), AS_OF, 36, BASE_DATE)
     return _rounded(out, "growth_since_base", "inhabitants_per_al", "inhabitants_per_al_growth", "growth_c", "num_rooms_growth", "num_guests_growth")
 
 
 def area_summary(spark, sf_dir):
-    out = analytics.area_summary(wide_cube(spark, sf_dir), areas(spark, sf_dir), AS_OF)
+    out = analytics.area_summary(wide_cube(spark, sf_dir), known(spark, sf_dir), AS_OF)
     return _rounded(out, "inhabitants_per_al", "al_per_1000", "al_count_growth_pcnt")
 
 
 def distribution_skew(spark, sf_dir):
-    out = analytics.distribution_skew(wide_cube(spark, sf_dir), areas(spark, sf_dir), AS_OF)
+    out = analytics.distribution_skew(wide_cube(spark, sf_dir), known(spark, sf_dir), AS_OF)
     return _rounded(out, "locality_rank_pcnt", "total_al_pcnt", "total_population_pcnt", "prev_total_al_pcnt")
 
 
 def room_distribution(spark, sf_dir):
-    return _rounded(analytics.room_distribution(long_cube(spark, sf_dir), areas(spark, sf_dir), AS_OF), "value")
+    return _rounded(analytics.room_distribution(long_cube(spark, sf_dir), known(spark, sf_dir), AS_OF), "value")
 
 
 def map_values(spark, sf_dir):
     """Localities with their values of the month, for a map."""
     wide = wide_cube(spark, sf_dir).where(F.col("year_month") == F.lit(AS_OF).cast("date"))
-    joined = areas(spark, sf_dir).where("admin_type = 'locality'").join(wide, F.col("osm_id") == F.col("area_id"))
+    joined = known(spark, sf_dir).where("admin_type = 'locality'").join(wide, F.col("osm_id") == F.col("area_id"))
     per = F.round(F.try_divide(F.col("population").cast("double"), F.nullif(F.col("cumulative_value_c"), F.lit(0.0))), 2)
     return joined.select(F.col("osm_id").cast("string").alias("id"), "name", "slug", "population", F.col("cumulative_value_c").alias("al_count"), F.col("country_rank_c").alias("rank_within_country"), per.alias("people_per_al"))
 
 
+def metrics(spark, sf_dir):
+    return cube.metric_table(spark)
+
+
 def conditional_totals(spark, sf_dir):
     return analytics.conditional_totals(licences(spark, sf_dir), AS_OF)
 
@@ -138,41 +151,38 @@ ORACLE_SQL = {
   round(s.cumulative_value_num_guests / nullif(o.cumulative_value_num_guests, 0), 6) AS num_guests_growth, a.slug, a.admin_type
 FROM wide s JOIN wide o ON s.area_id = o.area_id AND o.year_month = {_old} JOIN wide b ON s.area_id = b.area_id AND b.year_month = DATE '{BASE_DATE}'
 JOIN areas a ON a.osm_id = s.area_id WHERE s.year_month = {_now}""",
-    "area_summary": f"""{CUBE_SQL}, monthly AS (SELECT CASE admin_type WHEN 'locality' THEN municipality_slug WHEN 'municipality' THEN region_slug END AS direct_parent_slug,
-  municipality_slug AS ancestor_municipality_slug, region_slug AS ancestor_region_slug, '/areas/' || slug AS area_url, name AS area_name, slug AS area_slug, admin_type, year_month,
-  cumulative_value_c AS al_count, 1000.0::DOUBLE / nullif(cumulative_value_al_per_1000, 0) AS inhabitants_per_al, cumulative_value_al_per_1000 AS al_per_1000, country_rank_c AS rank_within_country
-  FROM wide JOIN areas ON area_id = osm_id)
-SELECT l.* EXCLUDE (year_month) REPLACE (round(l.inhabitants_per_al, 6) AS inhabitants_per_al, round(l.al_per_1000, 6) AS al_per_1000),
-  round((l.al_count - p.al_count) / nullif(p.al_count, 0), 6) AS al_count_growth_pcnt, (p.rank_within_country - l.rank_within_country)::BIGINT AS rank_within_country_change
-FROM monthly l LEFT JOIN monthly p ON p.year_month = {_old} AND l.area_slug = p.area_slug AND coalesce(l.direct_parent_slug, '') = coalesce(p.direct_parent_slug, '')
-  AND coalesce(l.ancestor_municipality_slug, '') = coalesce(p.ancestor_municipality_slug, '') AND coalesce(l.ancestor_region_slug, '') = coalesce(p.ancestor_region_slug, '')
-WHERE l.year_month = {_now}""",
-    "distribution_skew": f"""{CUBE_SQL}, base AS (SELECT area_id, cumulative_value_c AS num_al, a.* FROM wide JOIN areas a ON area_id = osm_id WHERE year_month = {_now}),
-tops AS (SELECT a.osm_id, a.name, a.slug, b.num_al, sum(l.population) AS population, count(*) AS num_localities FROM areas a LEFT JOIN base b ON a.osm_id = b.area_id
-    JOIN areas l ON (a.slug = l.region_slug OR a.slug = l.municipality_slug) WHERE a.admin_type IN ('region', 'municipality') AND l.admin_type = 'locality' GROUP BY 1, 2, 3, 4
-  UNION ALL SELECT 0, 'Portugal', 'portugal', sum(b.num_al), sum(a.population), count(*) FROM areas a LEFT JOIN base b ON a.osm_id = b.area_id WHERE a.admin_type = 'locality'),
-ranked2 AS (SELECT t.name, t.slug, dense_rank() OVER (PARTITION BY t.slug ORDER BY b.num_al DESC NULLS LAST, b.slug) AS locality_rank,
-  dense_rank() OVER (PARTITION BY t.slug ORDER BY b.num_al DESC NULLS LAST, b.slug) / t.num_localities AS locality_rank_pcnt,
-  sum(b.num_al) OVER (PARTITION BY t.slug ORDER BY b.num_al DESC NULLS LAST) / nullif(t.num_al, 0) AS total_al_pcnt,
-  sum(b.population) OVER (PARTITION BY t.slug ORDER BY b.num_al DESC NULLS LAST) / nullif(t.population, 0) AS total_population_pcnt
-  FROM tops t JOIN base b ON t.slug = b.region_slug OR t.slug = b.municipality_slug OR t.slug = 'portugal' WHERE b.admin_type = 'locality'),
-stepped AS (SELECT *, lag(total_al_pcnt) OVER (PARTITION BY slug ORDER BY locality_rank) AS prev FROM ranked2)
-SELECT * FROM (SELECT name, slug, locality_rank::INTEGER AS locality_rank, round(locality_rank_pcnt, 6) AS locality_rank_pcnt, round(total_al_pcnt, 6) AS total_al_pcnt,
-  round(total_population_pcnt, 6) AS total_population_pcnt, round(prev, 6) AS prev_total_al_pcnt,
-  CASE {' '.join(f"WHEN total_al_pcnt >= {t / 100} AND prev < {t / 100} THEN '{t}'" for t in (50, 66, 75, 90))} END AS threshold FROM stepped) WHERE threshold IS NOT NULL""",
-    "room_distribution": f"""{CUBE_SQL}, h AS (SELECT osm_id AS group_id, osm_id AS area_id FROM areas UNION ALL SELECT osm_id, parent_id FROM areas WHERE parent_id IS NOT NULL
-  UNION ALL SELECT a.osm_id, p.parent_id FROM areas a JOIN areas p ON a.parent_id = p.osm_id WHERE p.parent_id IS NOT NULL UNION ALL SELECT osm_id, 0 FROM areas),
-v AS (SELECT area_id, area_type, CASE metric_name WHEN 'rooms_0' THEN 1 WHEN 'rooms_1' THEN 2 WHEN 'rooms_2' THEN 3 WHEN 'rooms_3' THEN 4 ELSE 5 END AS room_category,
-  CASE metric_name WHEN 'rooms_0' THEN '0 rooms' WHEN 'rooms_1' THEN '1 room' WHEN 'rooms_2' THEN '2 rooms' WHEN 'rooms_3' THEN '3 rooms' ELSE 'More than 3 rooms' END AS metric_name,
-  cumulative_value AS value FROM ranked WHERE year_month = {_now} AND context_area_type = 'country' AND metric_name IN ('rooms_0', 'rooms_1', 'rooms_2', 'rooms_3', 'rooms_more_than_3'))
-SELECT a.slug, h.group_id, v.metric_name, room_category, round(value, 6) AS value, h.area_id, area_type AS admin_type,
-  CASE area_type WHEN 'locality' THEN 1 WHEN 'municipality' THEN 2 WHEN 'region' THEN 3 ELSE 4 END AS area_level FROM h JOIN v ON h.area_id = v.area_id JOIN areas a ON h.group_id = a.osm_id""",
+    "area_summary": f"""{CUBE_SQL}, years AS (SELECT area_id, {', '.join(f"max({c}) FILTER (year_month = {d}) AS {n}_{t}" for c, n in (('cumulative_value_c', 'c'), ('country_rank_c', 'place'), ('cumulative_value_al_per_1000', 'per')) for d, t in ((_now, 'now'), (_old, 'old')))},
+  bool_or(year_month = {_now}) AS is_here FROM wide GROUP BY area_id)
+SELECT up.slug AS direct_parent_slug, me.municipality_slug AS ancestor_municipality_slug, me.region_slug AS ancestor_region_slug, concat('/areas/', me.slug) AS area_url, me.name AS area_name,
+  me.slug AS area_slug, me.admin_type, c_now AS al_count, round(1000.0::DOUBLE / nullif(per_now, 0), 6) AS inhabitants_per_al, round(per_now, 6) AS al_per_1000, place_now AS rank_within_country,
+  round((c_now - c_old) / nullif(c_old, 0), 6) AS al_count_growth_pcnt, (place_old - place_now)::BIGINT AS rank_within_country_change
+FROM years JOIN areas me ON me.osm_id = years.area_id LEFT JOIN areas up ON up.osm_id = me.parent_id WHERE is_here""",
+    "distribution_skew": f"""{CUBE_SQL}, month AS (SELECT area_id, cumulative_value_c AS al FROM wide WHERE year_month = {_now}),
+member AS (SELECT slug, population, al, area_id IS NOT NULL AS counts, unnest([municipality_slug, region_slug, 'portugal']) AS part_of FROM areas LEFT JOIN month ON area_id = osm_id WHERE admin_type = 'locality'),
+whole AS (SELECT part_of, count(*) AS members, sum(population) AS people, sum(al) AS members_al FROM member GROUP BY part_of),
+named AS (SELECT whole.*, 'Portugal' AS name, members_al AS all_al FROM whole WHERE part_of = 'portugal'
+  UNION ALL SELECT whole.*, areas.name, month.al FROM whole JOIN areas ON areas.slug = part_of AND admin_type <> 'locality' LEFT JOIN month ON area_id = osm_id),
+place AS (SELECT me.part_of, me.slug, count(*) FILTER (you.al > me.al OR you.slug <= me.slug) AS nth, sum(you.al) AS al, sum(you.population) AS people
+  FROM member me JOIN member you ON me.part_of = you.part_of AND you.al >= me.al WHERE me.counts AND you.counts GROUP BY me.part_of, me.slug),
+crossed AS (SELECT b.part_of, b.nth, min(percent) AS percent FROM place a JOIN place b ON a.part_of = b.part_of AND a.nth + 1 = b.nth JOIN named n ON n.part_of = b.part_of
+  JOIN (VALUES (50), (66), (75), (90)) v(percent) ON a.al / nullif(n.all_al, 0) < percent / 100 AND b.al / nullif(n.all_al, 0) >= percent / 100 GROUP BY b.part_of, b.nth)
+SELECT name, part_of AS slug, b.nth::INTEGER AS locality_rank, round(b.nth / members, 6) AS locality_rank_pcnt, round(b.al / nullif(all_al, 0), 6) AS total_al_pcnt,
+  round(b.people / nullif(n.people, 0), 6) AS total_population_pcnt, round(a.al / nullif(all_al, 0), 6) AS prev_total_al_pcnt, percent::VARCHAR AS threshold
+FROM crossed JOIN place b USING (part_of, nth) JOIN place a ON a.part_of = crossed.part_of AND a.nth = crossed.nth - 1 JOIN named n ON n.part_of = crossed.part_of""",
+    "room_distribution": f"""{CUBE_SQL.replace('WITH', 'WITH RECURSIVE', 1)}, above AS (SELECT osm_id AS group_id, osm_id AS area_id, parent_id AS following FROM areas
+  UNION ALL SELECT group_id, osm_id, parent_id FROM above JOIN areas ON osm_id = following)
+SELECT me.slug, g.group_id, label AS metric_name, category AS room_category, round(r.cumulative_value, 6) AS value, g.area_id, r.area_type AS admin_type,
+  list_position(['locality', 'municipality', 'region', 'country'], r.area_type) AS area_level
+FROM (SELECT group_id, area_id FROM above UNION ALL SELECT osm_id, 0 FROM areas) g JOIN areas me ON me.osm_id = g.group_id JOIN ranked r ON r.area_id = g.area_id
+JOIN (VALUES {', '.join(f"('{m}', {n}, '{label}')" for m, (n, label) in analytics.ROOM_CATEGORIES.items())}) v(metric, category, label) ON r.metric_name = metric
+WHERE r.context_area_type = 'country' AND r.year_month = {_now}""",
     "map_values": f"""{CUBE_SQL} SELECT osm_id::VARCHAR AS id, name, slug, population, cumulative_value_c AS al_count, country_rank_c AS rank_within_country,
   round(population::DOUBLE / nullif(cumulative_value_c, 0), 2) AS people_per_al FROM areas JOIN wide ON osm_id = area_id WHERE admin_type = 'locality' AND year_month = {_now}""",
     "conditional_totals": f"""WITH {DOMAIN_SQL} SELECT {', '.join(f"count(*) FILTER ({c} = '2001-08') AS {n}_month, count(*) FILTER ({c}[1:4] = '2001' AND {c} <= '2001-08') AS {n}_year, count(*) FILTER ({c}[1:4] = '2000') AS {n}_last_year"
   for n, c in (('new', 'year_month'), ('lost', 'lost_in_year_month')))} FROM licences""",
+    "metrics": f"SELECT * FROM (VALUES {', '.join(str(x) for x in cube.METRICS.items())}) v(metric_name, aggregation)",
     "ancestor_pairs": f"""WITH {DOMAIN_SQL} SELECT osm_id AS group_id, osm_id AS area_id, 0 AS depth FROM areas UNION ALL SELECT osm_id, parent_id, 1 FROM areas WHERE parent_id IS NOT NULL
   UNION ALL SELECT a.osm_id, p.parent_id, 2 FROM areas a JOIN areas p ON a.parent_id = p.osm_id WHERE p.parent_id IS NOT NULL UNION ALL SELECT osm_id, 0, 99 FROM areas""",
     "area_table": f"WITH {DOMAIN_SQL} SELECT * FROM areas",
 }
-QUERIES = {f.__name__: f for f in (cube_facts, cube_ranked, cube_wide, area_growth, area_summary, distribution_skew, room_distribution, map_values, conditional_totals, ancestor_pairs, area_table)}
+QUERIES = {f.__name__: f for f in (cube_facts, cube_ranked, cube_wide, area_growth, area_summary, distribution_skew, room_distribution, map_values, conditional_totals, metrics, ancestor_pairs, area_table)}
