@@ -1,10 +1,11 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame operations only.
 
 Sources get shares of all words by weight, capped at `max_copies` times what they have (the excess goes to the others by
-weight until none is above). A source that needs `r` words for each word it has takes every document floor(r) times for
-certain; the rest is a sample without replacement in which each document has the inclusion probability p = r - floor(r)
-(times its relative weight, if a weight column is given). Documents are ranked by Pareto's order variable, the odds of a
-random number over the odds of the inclusion probability, and the lowest are taken until their words reach the remainder.
+weight until none is above). Documents have relative weights: short texts half that of others, unless told otherwise.
+Each is expected as often as the source's rate times its weight, max_copies times at most; the rate is such that a source's
+expected words are its target. A document is taken as many whole times as that for certain; the rest, p, is its inclusion
+probability in a sample without replacement. Documents are ranked by Pareto's order variable, the odds of a random number
+over the odds of p, and the lowest are taken until their words reach the remainder.
 
 No source is ever sorted as a whole: ranks are found through a histogram of the order variable (`buckets` a source). All
 documents of the buckets below the remainder are in, all above are out, and only the one bucket of each source in which
@@ -51,13 +52,25 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max
     return shared.select("source", "source_size", target.alias("target"))
 
 
+#: Texts of fewer characters than this, and their weight beside that of others.
+SHORT = (100, 0.5)
+
+
+def _weight(docs: DataFrame, text_col: str, weight_col: str | None, short: tuple[int, float]) -> Column:
+    """The relative weight, in steps of an eighth of an octave: a source has few different ones. Null and negative ones are 0."""
+    w = F.when(F.length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) < short[0], F.lit(float(short[1]))).otherwise(F.lit(1.0))
+    if weight_col is None:
+        return w
+    own = F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0))
+    return w * F.when(own > 0, F.pow(F.lit(2.0), F.round(F.log2(own) * 8) / 8)).otherwise(F.lit(0.0))
+
+
 def _drawn(rows: DataFrame, plan: DataFrame, small: bool, max_copies: int, seed: int) -> DataFrame:
     """rows (doc_id, source, w, ...) with the plan's columns, whole (certain copies) and order (of those that are drawn for one
     more; null where nothing is left to draw)."""
     keyed = plan.withColumnRenamed("source", "__source")
     joined = rows.join(F.broadcast(keyed) if small else keyed, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
-    relative = F.when(F.col("mean_w") > 0, F.col("w") / F.col("mean_w")).otherwise(F.lit(1.0))
-    expected = F.least(F.col("rate") * relative, F.lit(float(max_copies)))
+    expected = F.least(F.col("rate") * F.col("w"), F.lit(float(max_copies)))
     p = expected - F.floor(expected)
     u = uniform(F.col("doc_id"), seed)
     odds = (u / (1 - u)) / (p / (1 - p))
@@ -65,22 +78,33 @@ def _drawn(rows: DataFrame, plan: DataFrame, small: bool, max_copies: int, seed:
     return joined.withColumn("whole", F.floor(expected).cast("long")).withColumn("order", F.when(p > 0, odds / (1 + odds)))
 
 
-def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight_col: str | None) -> DataFrame:
-    w = F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight_col: str | None, short: tuple[int, float]) -> DataFrame:
+    w = _weight(docs, text_col, weight_col, short)
     return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), w.alias("w"))
 
 
+def _rates(levels: DataFrame, targets: DataFrame, max_copies: int) -> DataFrame:
+    """(source, w, words) and targets -> targets with rate: the heaviest weights reach max_copies first; with those that do, the
+    others share what is left by weight. A source has few different weights, so its window is short."""
+    keyed = targets.withColumnRenamed("source", "__source")
+    rows = levels.where("w > 0 AND words > 0").join(keyed, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    down = W.partitionBy("source").orderBy(F.desc("w"))
+    heavier = F.coalesce(F.sum("words").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("w") * F.col("words")).over(down.rowsBetween(W.currentRow, W.unboundedFollowing))
+    rated = rows.withColumn("rate", (F.col("target") - heavier * max_copies) / rest).where(F.col("rate") * F.col("w") <= max_copies)
+    first = rated.groupBy("source").agg(F.max(F.struct("w", "rate"))["rate"].alias("rate")).withColumnRenamed("source", "__source")
+    # Without one, all that may be taken is taken max_copies times; a source without words has nothing to take.
+    rate = F.when(F.col("source_size") > 0, F.coalesce("rate", F.lit(1e300))).otherwise(F.lit(0.0))
+    return targets.join(first, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source").withColumn("rate", rate)
+
+
 def mixing_plan(sized: DataFrame, weights: tuple[int, ...], max_copies: int, buckets: int, seed: int) -> tuple[DataFrame, bool]:
-    """(doc_id, source, size, w) -> a row for each source: source, source_size, target, mean_w, rate, cut. A document is drawn if
-    its order is at most its source's cut. And whether there are few enough sources to broadcast."""
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), (F.sum(F.col("size") * F.col("w")) / F.nullif(F.sum("size"), F.lit(0))).alias("mean_w"))
-    sources = materialised(sources)
+    """(doc_id, source, size, w) -> a row for each source: source, source_size, target, rate, cut. A document is drawn if its order
+    is at most its source's cut. And whether there are few enough sources to broadcast."""
+    levels = materialised(sized.groupBy("source", "w").agg(F.sum("size").alias("words")))
+    sources = materialised(levels.groupBy("source").agg(F.sum("words").alias("source_size")))
     small = sources.count() <= BROADCAST_SOURCES
-    targets = source_targets(sources.select("source", "source_size"), weights, max_copies)
-    means = sources.select(F.col("source").alias("__source"), "mean_w")
-    targets = targets.join(means, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    targets = materialised(targets.withColumn("rate", rate))
+    targets = materialised(_rates(levels, source_targets(sources, weights, max_copies), max_copies))
     drawn = _drawn(sized, targets, small, max_copies, seed)
     bucket = F.least(F.floor(F.col("order") * buckets), F.lit(buckets - 1)).cast("int")
     drawn = drawn.withColumn("bucket", bucket)
@@ -114,16 +138,17 @@ def mix(
     weights: tuple[int, ...] = (5, 2, 1),
     max_copies: int = 3,
     weight_col: str | None = None,
+    short: tuple[int, float] = SHORT,
     buckets: int = 2048,
     seed: int = 17,
 ) -> DataFrame:
     """One row for each row of docs: doc_id, size, source_size, target, taken (words), copies.
 
     Null or empty text has size 0. A null source is a source of its own, last in order. Rows that share an id are drawn
-    together. Reruns agree. A source's taken words miss its target by half a document at most, where weight_col is None and
-    ids are unique. An empty table gives an empty result; further columns are ignored.
+    together. Reruns agree. A source's taken words miss its target by half a document at most, where ids are unique and no
+    weight is 0. An empty table gives an empty result; further columns are ignored.
     """
-    sized = materialised(_sized(docs, id_col, text_col, source_col, weight_col))
+    sized = materialised(_sized(docs, id_col, text_col, source_col, weight_col, short))
     plan, small = mixing_plan(sized, weights, max_copies, buckets, seed)
     drawn = _drawn(sized, plan, small, max_copies, seed)
     copies = F.col("whole") + F.coalesce((F.col("order") <= F.col("cut")).cast("int"), F.lit(0))
@@ -132,12 +157,13 @@ def mix(
 
 def mixed(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1),
-    max_copies: int = 3, buckets: int = 2048, seed: int = 17,
+    max_copies: int = 3, short: tuple[int, float] = SHORT, buckets: int = 2048, seed: int = 17,
 ) -> DataFrame:
-    """The rows of docs, with all their columns, each as often as mix() takes it. Texts stay where they are."""
-    sized = materialised(_sized(docs, id_col, text_col, source_col, None))
+    """The rows of docs, with all their columns, each as often as mix() takes it; odd rows are treated as there. Texts stay
+    where they are."""
+    sized = materialised(_sized(docs, id_col, text_col, source_col, None, short))
     plan, small = mixing_plan(sized, weights, max_copies, buckets, seed)
-    whole_rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.lit(1.0).alias("w"))
+    whole_rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), _weight(docs, text_col, None, short).alias("w"))
     drawn = _drawn(whole_rows, plan, small, max_copies, seed)
     copies = (F.col("whole") + F.coalesce((F.col("order") <= F.col("cut")).cast("int"), F.lit(0))).cast("int")
     repeated = drawn.where(copies > 0).select("row", F.explode(F.sequence(F.lit(1), copies)).alias("copy"))
@@ -146,8 +172,8 @@ def mixed(
 
 ORACLE = """
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, length(coalesce(text, '')) < 100 AS short FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, coalesce(sum(size) FILTER (short), 0)::BIGINT AS short_size FROM d GROUP BY source),
 w AS (SELECT *, source_size * 3 AS cap,
   CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
 f AS (SELECT *,
@@ -156,15 +182,18 @@ f AS (SELECT *,
   FROM w WINDOW before AS (ORDER BY cap::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 g AS (SELECT *, level * weight >= cap AS capped FROM f),
 l AS (SELECT level FROM g WHERE NOT capped ORDER BY place LIMIT 1),
-t AS (SELECT source, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE (SELECT level FROM l) * weight END AS target FROM g),
-r AS (SELECT d.doc_id, d.source, size, source_size, target,
-  CASE WHEN source_size > 0 THEN least(target / source_size, 3.0) ELSE 0.0 END AS e,
+t AS (SELECT source, source_size, short_size, CASE WHEN capped THEN cap::DOUBLE ELSE (SELECT level FROM l) * weight END AS target FROM g),
+c AS (SELECT *, CASE WHEN source_size = 0 THEN 0.0::DOUBLE
+  WHEN source_size = short_size OR target / (source_size - short_size + 0.5::DOUBLE * short_size) <= 3 THEN target / (source_size - short_size + 0.5::DOUBLE * short_size)
+  ELSE (target - 3 * (source_size - short_size)) / (0.5::DOUBLE * short_size) END AS rate FROM t),
+r AS (SELECT d.doc_id, d.source, size, source_size, target, least(CASE WHEN short THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END * rate, 3.0::DOUBLE) AS e,
   (('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+  FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source),
 o AS (SELECT *, floor(e)::BIGINT AS whole, e - floor(e) AS p FROM r),
+q AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM o),
 a AS (SELECT *, sum(size * whole) OVER (PARTITION BY source) AS certain,
-  sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY p = 0, u, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
-  FROM o)
+  sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY p = 0, odds / (1 + odds), size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM q)
 SELECT doc_id, size, source_size, target,
   ((whole + CASE WHEN p > 0 AND upto - size / 2.0 <= target - certain THEN 1 ELSE 0 END) * size)::BIGINT AS taken,
   whole + CASE WHEN p > 0 AND upto - size / 2.0 <= target - certain THEN 1 ELSE 0 END AS copies
