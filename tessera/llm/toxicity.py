@@ -35,7 +35,10 @@ _LOOKALIKES = str.maketrans("аеорсхуіјѕԁһкмтвнгαορτυνι
 _FOREIGN = re.compile("[\u0370-\u04ff\u0500-\u052f]")
 #: Signs written for letters.
 _SIGNS = str.maketrans("0134578@$!", "oieastbasi")
-_MIXED = re.compile(r"[a-z0-9@$!]*(?:[a-z][0134578@$!]+(?=[a-z])|(?<![a-z0-9@$!])[0134578@$]+(?=[a-z]{2}))[a-z0-9@$!]*")
+#: Runs of letters, digits and signs that hold a digit or sign; each is looked at once, however long it is.
+_SIGNED = re.compile(r"(?<![a-z0-9@$!])[a-z]*+[0-9@$!][a-z0-9@$!]*+")
+#: In such a run, signs between letters or before at least two.
+_WRITTEN_FOR_LETTERS = re.compile(r"[a-z][0134578@$!]++[a-z]|\A[0134578@$]++[a-z]{2}")
 _LETTERS = re.compile(r"[^\W\d_]+")
 SHORTEST, LONGEST, MOST = 4, 9, 5
 #: Words added to every length, so that very short texts aren't judged by their length.
@@ -50,7 +53,7 @@ def fold(text: str) -> list[str]:
         text = unicodedata.normalize("NFKC", text)
         if _FOREIGN.search(text):
             text = text.translate(_LOOKALIKES)
-    text = _MIXED.sub(lambda m: m[0].translate(_SIGNS), text)
+    text = _SIGNED.sub(lambda m: m[0].translate(_SIGNS) if _WRITTEN_FOR_LETTERS.search(m[0]) else m[0], text)
     return _LETTERS.findall(text)
 
 
@@ -86,17 +89,26 @@ class Model:
     def weight(self, words: list[str], matcher) -> float:
         """The weights of all matches outside exception phrases. A word counts once, by its heaviest entry."""
         line = f" {' '.join(words)} "
-        hits, free = [], []
+        best: dict[int, float] = {}
+        free: list[tuple[int, int]] = []
         for end, (size, weight) in matcher.iter(line):
+            start = end - size + 1
             if weight is None:
-                free.append((end - size + 1, end))
+                free.append((start, end))
             else:
-                hits.append((end - size + 1, weight))
-        best: dict[int, float] = {}
-        for start, weight in hits:
-            if not any(a <= start < b for a, b in free):
                 best[start] = max(best.get(start, weight), weight)
-        return sum(best.values())
+        if not free:
+            return sum(best.values())
+        # Both in order of their starts; a match is free if an exception that began before it goes on beyond its start.
+        free.sort()
+        total, at, upto = 0.0, 0, -1
+        for start in sorted(best):
+            while at < len(free) and free[at][0] <= start:
+                upto = max(upto, free[at][1])
+                at += 1
+            if start >= upto:
+                total += best[start]
+        return total
 
     def score(self, words: list[str], matcher) -> float:
         z = self.slope * self.weight(words, matcher) / (len(words) + SHORT) ** self.power + self.offset
@@ -247,7 +259,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows of docs that score below the threshold, with all their columns; nothing is shuffled."""
+    """The rows of docs that score below the threshold, with all their columns and in their partitions; nothing is shuffled.
+
+    Null text counts as empty, and an empty text has the score of no matches. Equal rows are kept or dropped alike. Text of
+    another type is judged as a string. An empty table stays empty."""
 
     small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
@@ -255,7 +270,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = model.matcher()
         for batch in batches:
-            low = [model.score(fold(t.as_py() or ""), matcher) < threshold for t in batch.column(at)]
+            low = [model.score(fold(t.as_py() or ""), matcher) < threshold for t in batch.column(at).cast(pa.string())]
             yield batch.filter(pa.array(low, pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)

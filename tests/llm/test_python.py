@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -348,3 +349,100 @@ def test_toxicity_folds_and_excepts(spark):
     assert toxicity.drop_toxic(frame(spark, list(enumerate(texts))), model).columns == ["doc_id", "text", "key"]
     empty = toxicity.fit(frame(spark, []), spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score(frame(spark, [(None, "moron")]), empty).first().predicted == 1
+
+
+def plain_toxicity(model, text):
+    """The score by a loop over all entries and all places."""
+    words = toxicity.fold(text)
+    line = f" {' '.join(words)} "
+    at = lambda entry: [i for i in range(len(line)) if line.startswith(entry, i)]
+    free = [(i, i + len(p) + 1) for p in model.exceptions for i in at(f" {p} ")]
+    best: dict = {}
+    for entry, weight in model.weights.items():
+        for i in at(entry):
+            if not any(a <= i < b for a, b in free):
+                best[i] = max(best.get(i, weight), weight)
+    z = model.slope * sum(best.values()) / (len(words) + toxicity.SHORT) ** model.power + model.offset
+    return 1 / (1 + np.exp(-z))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["idiot", "1diot", "class", "clown", "clowns", "fish", "trash", "can", "canned", "x", "ok.", "Trash-can"]), max_size=14).map(" ".join))
+def test_toxicity_scores_by_brute_force(text):
+    model = toxicity.Model({" idiot ": 4.0, " clow": 2.5, " clown ": 3.5, " trash ": 1.5, " can": 0.5}, ("class clown", "clown fish", "trash can", "fish trash can"), 3.0, -2.0, 0.3)
+    assert model.score(toxicity.fold(text), model.matcher()) == pytest.approx(plain_toxicity(model, text), abs=1e-12)
+
+
+def test_toxicity_of_the_whole_table_by_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    found = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    rows = documents(spark)
+    for i, t in list(zip(rows.doc_id.tolist(), rows.text)):
+        if len(t or "") < 3000:
+            assert found[i] == pytest.approx(plain_toxicity(model, t or ""), abs=1e-9)
+
+
+def test_toxicity_is_linear(spark):
+    """One word of 5 MB and 100,000 exception phrases take no longer than other texts of their size."""
+    model = toxicity.Model({" trash ": 4.0, " idiot ": 4.0}, ("trash can",), 4.0, -3.0, 0.3)
+    texts = ["a" * 5_000_000, "a1" * 2_500_000, "1" * 5_000_000, "trash can " * 100_000, "trash can " * 100_000 + "idiot"]
+    began = time.time()
+    found = toxicity.score(frame(spark, list(enumerate(texts))), model).orderBy("doc_id").collect()
+    assert time.time() - began < 60
+    assert found[3].score == found[0].score or found[3].predicted == 0
+    assert found[4].score > found[3].score
+
+
+def test_mixing_draws_short_texts_half_as_often(spark):
+    from tessera.llm import mixing
+
+    rows = spark.range(6000).selectExpr("id AS doc_id", "repeat('word ', CASE WHEN id % 2 = 0 THEN 5 ELSE 40 END) AS text", "CASE WHEN id % 4 < 2 THEN 'a' ELSE 'b' END AS source")
+    found = mixing.mix(rows, weights=(1, 3)).toPandas()
+    a = found[found.doc_id % 4 < 2]
+    assert a.copies[a["size"] == 5].mean() == pytest.approx(a.copies[a["size"] == 40].mean() / 2, rel=0.1)
+    for is_a in (True, False):
+        part = found[(found.doc_id % 4 < 2) == is_a]
+        assert abs(part.taken.sum() - part.target.iloc[0]) <= 20
+        assert (part.taken <= 3 * part["size"]).all()
+    full = mixing.mix(rows, weights=(1, 9), max_copies=2).toPandas()
+    assert abs(full.taken.sum() - full.groupby(full.doc_id % 4 < 2).target.first().sum()) <= 40
+
+
+def test_line_rule_holds_for_hosts_of_every_size(spark):
+    """A line on all of a small host's pages goes, one on two pages of a large host stays."""
+    from tessera.llm import lines
+
+    page = lambda h, n, *more: (f"{h}{n}", f"https://{h}.org/{n}", "".join(f"<p>{x}</p>" for x in (f"own {h} {n}", *more)))
+    rows = [page("two", n, "footer") for n in range(2)] + [page("big", n, *(["twice"] if n < 2 else []), *(["often"] if n < 12 else [])) for n in range(40)] + [page("one", 0, "footer")]
+    rows += [page("two", 0, "footer")]  # a repeated row is a page of its own
+    long = "x " * 400_000
+    rows.append(("long", "https://big.org/long", f"<div>{long}</div>" * 2))
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id string, url string, html string, host string, lines int")
+    found = {}
+    for r in lines.drop_boilerplate(df).collect():
+        found.setdefault(r.page_id, []).append(r)
+    assert [r.text for r in found["two1"]] == ["own two 1"] and len(found["two0"]) == 2
+    assert found["big0"][0].text == "own big 0\ntwice" and found["big20"][0].text == "own big 20"
+    assert found["one0"][0].n_dropped == 0 and found["long"][0].n_lines == 2
+
+
+def test_top_k_of_extreme_and_long_vectors(spark):
+    rows = [(0, [2.0**40] * 3), (1, [2.0**40] * 3), (2, [-(2.0**40)] * 3), (3, [1e300, 0.0, 0.0]), (50, [0.001] * 30_000), (51, [0.002] * 30_000), (52, [1.0] * 30_000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = [tuple(r) for r in topk.top_k(df, k=1, scale=1).where("query_id = 50").collect()]
+    assert found == [(50, 1, 51, 0)]
+    assert {r.query_id for r in topk.top_k(df, scale=256).collect()} == {0, 50}
+    small = [tuple(r) for r in topk.top_k(df.where("vec_id < 3"), k=2, scale=1, query_bytes=8).collect()]
+    assert [r[2] for r in sorted(small)] == [1, 2]
+
+
+def test_token_files_and_packing_of_very_long_texts(spark):
+    text = "word " * 300_000 + "x" * 100_000
+    path = fresh_path(spark, "test-long")
+    token_files.write_token_files(frame(spark, [(2, text), (1, "a"), (2, text)]), path, tokenizer_path("word_bpe_49k.json"))
+    ids = whole("word_bpe_49k.json", [text])[0]
+    found = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.read_token_files(spark, path).collect())
+    assert [f[1:] for f in found[1:]] == [(2, len(ids), zlib.crc32(ids.tobytes()))] * 2
+    rows = [(1, text), (1, text), (None, text[:50_000])]
+    packed_right(rows, packing.pack(frame(spark, rows), tokenizer_path("byte_bpe_50k.json")).collect())
