@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import fold
+from tessera.operators.staging import area_chain
+
 
 def not_unique(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).count().where("count > 1")
@@ -38,6 +41,16 @@ def missing_growth(summary: DataFrame, wide: DataFrame, areas: DataFrame, before
     return summary.where("al_count_growth_pcnt IS NULL").join(regions, "area_slug", "left_semi")
 
 
+def far_names(licences: DataFrame, areas: DataFrame, limit: int = 1) -> DataFrame:
+    """Licences whose locality's name is more than `limit` edits from every locality of their municipality. Different names are
+    compared once."""
+    chain = area_chain(areas).select(fold(F.col("municipality_name")).alias("m"), fold(F.col("locality_name")).alias("l")).distinct()
+    asked = licences.select(fold(F.col("municipality")).alias("m"), fold(F.col("locality")).alias("own")).distinct()
+    near = asked.join(chain, "m").groupBy("m", "own").agg(F.min(F.levenshtein("own", "l")).alias("distance")).where(F.col("distance") > limit)
+    keyed = licences.select("al_id", fold(F.col("municipality")).alias("m"), fold(F.col("locality")).alias("own"))
+    return keyed.join(near, ["m", "own"]).select("al_id", "distance")
+
+
 def run_checks(checks: dict[str, DataFrame]) -> DataFrame:
     """name, violations: one row for each check, counted in one job."""
     counted = [df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("name"), "violations") for name, df in checks.items()]
