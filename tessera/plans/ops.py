@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tessera.functions import similarity, text
 from tessera.operators import analytics, postcodes, relational, spatial
 from tessera.plans import checks, marts
-from tessera.plans.domain import AS_OF, DOMAIN_SQL, areas, licences, table
+from tessera.plans.domain import AS_OF, DOMAIN_SQL, licences, table
+from tessera.plans.store import stored
 from tessera.sources import files
 
 
@@ -25,7 +26,6 @@ def nearest_supplier(spark, sf_dir):
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"))
     left = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("nation")).select("c_custkey", "c_acctbal", "nation", "region", (F.col("region") % 2).alias("half"))
     right = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("nation")).select("s_suppkey", "s_acctbal", "nation", "region", (F.col("region") % 2).alias("half"))
-    right = right.where("s_suppkey % 3 = 0")
     tiers = [("nation", ["nation"]), ("region", ["region"]), ("half", ["half"])]
     return relational.nearest_within(left, right, "c_custkey", "s_suppkey", "c_acctbal", "s_acctbal", tiers).withColumn("distance", F.round("distance", 4))
 
@@ -55,14 +55,15 @@ def parts_never_sold_cheap(spark, sf_dir):
 
 
 def null_safe_match(spark, sf_dir):
-    side = lambda name, n: licences(spark, sf_dir).where(F.col("al_id") % n == 0).groupBy("is_building_post_1951", "house_type").agg(F.count(F.lit(1)).alias(name))
-    out = relational.equal_or_both_missing(side("n2", 2), side("n3", 3), ["is_building_post_1951", "house_type"])
+    side = lambda name, which: licences(spark, sf_dir).where(which).groupBy("is_building_post_1951", "house_type").agg(F.count(F.lit(1)).alias(name))
+    lost, kept = side("lost", F.col("lost_in_year_month").isNotNull()), side("kept", F.col("lost_in_year_month").isNull())
+    out = relational.equal_or_both_missing(kept, lost, ["is_building_post_1951", "house_type"], "left")
     return out.withColumn("is_building_post_1951", F.coalesce(F.col("is_building_post_1951").cast("string"), F.lit("unknown")))
 
 
 def area_paths(spark, sf_dir):
     """Ordered text aggregate: the names above each area, deepest first."""
-    a = areas(spark, sf_dir)
+    a = marts.known(spark, sf_dir)
     up = analytics.ancestors(a, 2, None).where("depth > 0").join(a.select(F.col("osm_id").alias("area_id"), "name", "admin_level"), "area_id")
     return relational.ordered_text(up, ["group_id"], "name", "admin_level")
 
@@ -163,9 +164,11 @@ def _members(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
     k = F.col("p_partkey")
     role = F.element_at(F.array(*[F.lit(r) for r in ("outer", "inner", "", "subarea")]), (F.col("p_size") % 4 + 1).cast("int"))
-    ways = part.select((k % 211).alias("relation"), F.lit("w").alias("kind"), k.alias("ref"), role.alias("role"))
-    links = part.where("p_partkey < 211").select(k.alias("relation"), F.lit("r").alias("kind"), F.floor(k / 3).cast("long").alias("ref"), role.alias("role"))
-    return ways.unionByName(links)
+    own = F.floor(k / 10).cast("long")
+    ways = part.select(own.alias("relation"), F.lit("w").alias("kind"), k.alias("ref"), role.alias("role"))
+    # Each relation holds the one of a third of its number: they grow in number with the parts, and in depth with its logarithm.
+    links = part.groupBy(own.alias("relation")).agg(F.max("p_size").alias("p_size"))
+    return ways.unionByName(links.select("relation", F.lit("r").alias("kind"), F.floor(F.col("relation") / 3).cast("long").alias("ref"), role.alias("role")))
 
 
 def relation_ways(spark, sf_dir):
@@ -194,7 +197,8 @@ def _codes(spark, sf_dir):
     p, s, c = F.col("p_partkey"), F.col("s_suppkey"), F.col("c_custkey")
     bulk = table(spark, sf_dir, "part").select(code(p).alias("postcode"), *place(p), *position(p, 1499))
     api = table(spark, sf_dir, "supplier").select(code(s * 3 + 1).alias("postcode"), *place(s), *position(s, 97))
-    used = table(spark, sf_dir, "customer").select(code(c * 5 + 2).alias("postcode"), *place(c)[:2])
+    far = F.concat(F.lpad((5000 + c % 3000).cast("string"), 4, "0"), F.lit("-"), F.lpad((c * 17 % 1000).cast("string"), 3, "0"))
+    used = table(spark, sf_dir, "customer").select(F.when(F.col("c_mktsegment") == "BUILDING", far).otherwise(code(c * 5 + 2)).alias("postcode"), *place(c)[:2])
     return api, bulk, used
 
 
@@ -210,23 +214,28 @@ def repaired_postcodes(spark, sf_dir):
 
 def postcodes_to_look_up(spark, sf_dir):
     api, bulk, used = _codes(spark, sf_dir)
-    return postcodes.lookup_worklist(used, bulk.where("municipality = '3'"), api)
+    return postcodes.lookup_worklist(used, bulk, api)
 
 
 def data_checks(spark, sf_dir):
-    wide, known = marts.wide_cube(spark, sf_dir), areas(spark, sf_dir)
-    summary = analytics.area_summary(wide, known, AS_OF)
-    facts = marts.cube_facts(spark, sf_dir)
+    wide, known, seen = marts.wide_cube(spark, sf_dir), marts.known(spark, sf_dir), licences(spark, sf_dir)
+    summary = stored(spark, "area-summary", sf_dir, lambda: analytics.area_summary(wide, known, AS_OF))
+    line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    facts = marts.cube_base(spark, sf_dir)
     return checks.run_checks({
-        "licences_unique": checks.not_unique(licences(spark, sf_dir), "al_id"),
+        "licences_unique": checks.not_unique(seen, "al_id"),
         "wide_unique": checks.not_unique(wide, "area_id", "year_month"),
-        "one_parent_per_locality": checks.several_parents(licences(spark, sf_dir), "locality", "municipality"),
+        "one_parent_per_locality": checks.several_parents(seen, "locality", "municipality"),
         "one_context_per_locality": checks.several_parents(facts.where("area_type = 'locality' AND context_area_type = 'region'"), "area_id", "context_area_id"),
-        "areas_known": checks.unknown(licences(spark, sf_dir).select("locality"), "locality", known.select("osm_id")),
+        "areas_known": checks.unknown(seen.select("locality"), "locality", known.select("osm_id")),
         "growth_coverage": checks.low_coverage(summary, "admin_type", "al_count_growth_pcnt"),
         "growth_range": checks.out_of_range(summary, "al_count_growth_pcnt", -1.0, 10.0),
+        "growth_range_narrow": checks.out_of_range(summary, "al_count_growth_pcnt", 0.5, 1.0),
         "growth_present": checks.missing_growth(summary, wide, known, "1998-08-01"),
-        "part_brand_sizes": checks.several_parents(table(spark, sf_dir, "part"), "p_brand", "p_size"),
+        "part_brand_sizes": checks.several_parents(part, "p_brand", "p_size"),
+        "lines_unique": checks.not_unique(line, "l_orderkey", "l_linenumber"),
+        "parts_sold": checks.unknown(part.select("p_partkey"), "p_partkey", line.where("l_quantity > 45").select("l_partkey")),
+        "discount_coverage": checks.low_coverage(line.withColumn("high", F.when(F.col("l_discount") > 0.01, F.col("l_discount"))), "l_returnflag", "high", 85.0),
     })
 
 
@@ -239,17 +248,21 @@ def _code_rows(k: str, table_name: str, key: str, m: int) -> str:
 
 
 _CLEAN = f"""bulk AS ({_code_rows('p_partkey', 'part', 'p_partkey', 1499)}), api AS ({_code_rows('(s_suppkey * 3 + 1)', 'supplier', 's_suppkey', 97)}),
-used AS (SELECT {_CODE.format(k='(c_custkey * 5 + 2)')} AS postcode, (c_custkey % 3)::VARCHAR AS district, (c_custkey % 11)::VARCHAR AS municipality FROM customer),
+used AS (SELECT CASE c_mktsegment WHEN 'BUILDING' THEN lpad((5000 + c_custkey % 3000)::VARCHAR, 4, '0') || '-' || lpad((c_custkey * 17 % 1000)::VARCHAR, 3, '0')
+  ELSE {_CODE.format(k='(c_custkey * 5 + 2)')} END AS postcode, (c_custkey % 3)::VARCHAR AS district, (c_custkey % 11)::VARCHAR AS municipality FROM customer),
 bad_api AS (SELECT DISTINCT postcode FROM api WHERE (lng, lat) IN (SELECT (lng, lat) FROM api GROUP BY lng, lat HAVING count(DISTINCT postcode) > 1)),
 bad_bulk AS (SELECT DISTINCT postcode FROM bulk WHERE (lng, lat) IN (SELECT (lng, lat) FROM bulk GROUP BY lng, lat HAVING count(DISTINCT postcode) > 1)),
 good_api AS (SELECT * FROM api WHERE postcode NOT IN (SELECT postcode FROM bad_api)),
 clean AS (SELECT * FROM good_api UNION SELECT * FROM bulk WHERE postcode NOT IN (SELECT postcode FROM bad_bulk) AND postcode NOT IN (SELECT postcode FROM good_api))"""
 
+#: A square's ring as GeoJSON writes it.
+_ring = "concat('[', array_to_string(list_transform([[{a}, {a}], [{b}, {a}], [{b}, {b}], [{a}, {b}]], lambda p: concat('[', (x + p[1])::DOUBLE, ',', (y + p[2])::DOUBLE, ']')), ','), ']')"
+
 ORACLE_SQL = {
     "latest_event": "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "first_order": "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_custkey, o_orderpriority, o_totalprice DESC, o_orderkey",
     "nearest_supplier": """WITH l AS (SELECT c_custkey, c_acctbal, n_nationkey AS nation, n_regionkey AS region FROM customer JOIN nation ON c_nationkey = n_nationkey),
-r AS (SELECT s_suppkey, s_acctbal, n_nationkey AS nation, n_regionkey AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 3 = 0),
+r AS (SELECT s_suppkey, s_acctbal, n_nationkey AS nation, n_regionkey AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 p AS (SELECT c_custkey, s_suppkey, CASE WHEN l.nation = r.nation THEN 0 WHEN l.region = r.region THEN 1 ELSE 2 END AS t, abs(c_acctbal - s_acctbal) AS d FROM l JOIN r ON l.region % 2 = r.region % 2)
 SELECT c_custkey, s_suppkey, ['nation', 'region', 'half'][t + 1] AS tier, round(d, 4) AS distance FROM p QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY t, d, s_suppkey) = 1""",
     "shared_positions": """WITH c AS (SELECT DISTINCT 'P' || lpad(p_partkey::VARCHAR, 9, '0') AS code, p_partkey % 97 AS x, p_partkey * p_partkey % 89 AS y FROM part)
@@ -258,9 +271,9 @@ SELECT a.code, min(b.code) AS alias FROM c a JOIN c b ON a.x = b.x AND a.y = b.y
     "not_in_without_null": "SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)",
     "parts_never_sold_cheap": """SELECT p_partkey, p_brand FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity < 2)
   AND EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_discount > 0.05)""",
-    "null_safe_match": f"""WITH {DOMAIN_SQL}, a AS (SELECT is_building_post_1951, house_type, count(*) AS n2 FROM licences WHERE al_id % 2 = 0 GROUP BY 1, 2),
-b AS (SELECT is_building_post_1951, house_type, count(*) AS n3 FROM licences WHERE al_id % 3 = 0 GROUP BY 1, 2)
-SELECT coalesce(a.is_building_post_1951::VARCHAR, 'unknown') AS is_building_post_1951, a.house_type, n2, n3 FROM a JOIN b ON a.is_building_post_1951 IS NOT DISTINCT FROM b.is_building_post_1951 AND a.house_type IS NOT DISTINCT FROM b.house_type""",
+    "null_safe_match": f"""WITH {DOMAIN_SQL}, n AS (SELECT is_building_post_1951, house_type, lost_in_year_month IS NULL AS stays, count(*) AS n FROM licences GROUP BY ALL)
+SELECT coalesce(a.is_building_post_1951::VARCHAR, 'unknown') AS is_building_post_1951, a.house_type, a.n AS kept, b.n AS lost
+FROM n a LEFT JOIN n b ON a.is_building_post_1951 IS NOT DISTINCT FROM b.is_building_post_1951 AND a.house_type IS NOT DISTINCT FROM b.house_type AND NOT b.stays WHERE a.stays""",
     "area_paths": f"""WITH {DOMAIN_SQL}, up AS (SELECT osm_id AS group_id, parent_id AS area_id FROM areas WHERE parent_id IS NOT NULL
   UNION ALL SELECT a.osm_id, p.parent_id FROM areas a JOIN areas p ON a.parent_id = p.osm_id WHERE p.parent_id IS NOT NULL)
 SELECT group_id, string_agg(name, ', ' ORDER BY admin_level DESC, name DESC) AS name FROM up JOIN areas ON area_id = osm_id GROUP BY group_id""",
@@ -294,8 +307,8 @@ SELECT id, last_seen, lost_in FROM l JOIN t USING (last_seen) WHERE lost_in IS N
 SELECT id, s.day AS last_seen, lost_in FROM s JOIN t USING (day) WHERE lost_in IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s o WHERE o.id = s.id AND o.day = t.lost_in)""",
     "month_windows": """SELECT greatest(m::DATE, DATE '1995-01-15')::VARCHAR AS window_start, least(last_day(m::DATE), DATE '2001-08-10')::VARCHAR AS window_end
 FROM range(DATE '1995-01-01', DATE '2001-08-11', INTERVAL 1 MONTH) t(m)""",
-    "relation_ways": """WITH RECURSIVE m AS (SELECT p_partkey % 211 AS relation, 'w' AS kind, p_partkey AS ref, ['outer', 'inner', '', 'subarea'][p_size % 4 + 1] AS role FROM part
-  UNION ALL SELECT p_partkey, 'r', p_partkey // 3, ['outer', 'inner', '', 'subarea'][p_size % 4 + 1] FROM part WHERE p_partkey < 211),
+    "relation_ways": """WITH RECURSIVE m AS (SELECT p_partkey // 10 AS relation, 'w' AS kind, p_partkey AS ref, ['outer', 'inner', '', 'subarea'][p_size % 4 + 1] AS role FROM part
+  UNION ALL SELECT p_partkey // 10, 'r', p_partkey // 10 // 3, ['outer', 'inner', '', 'subarea'][max(p_size) % 4 + 1] FROM part GROUP BY p_partkey // 10),
 plain AS (SELECT relation, kind, ref, CASE role WHEN '' THEN 'outer' ELSE role END AS role FROM m WHERE role <> 'subarea'),
 reach AS (SELECT relation AS top, relation AS node, 'outer' AS turn, [relation] AS path FROM (SELECT DISTINCT relation FROM plain)
   UNION ALL SELECT top, ref, CASE WHEN turn = 'outer' THEN role WHEN role = 'outer' THEN 'inner' ELSE 'outer' END, list_append(path, ref) FROM reach JOIN plain ON node = relation AND kind = 'r' WHERE NOT list_contains(path, ref))
@@ -316,10 +329,27 @@ best AS (SELECT * FROM options QUALIFY row_number() OVER (PARTITION BY postcode
 spot AS (SELECT postcode AS alias, lng, lat FROM clean QUALIFY row_number() OVER (PARTITION BY postcode ORDER BY lng, lat) = 1)
 SELECT b.postcode, b.alias AS real_postcode, correction_type, lng, lat FROM best b LEFT JOIN spot USING (alias)""",
     "postcodes_to_look_up": f"""WITH {_CLEAN} SELECT postcode, count(*) AS num_properties FROM used WHERE regexp_full_match(postcode, '\\d{{4}}-\\d{{3}}') AND postcode NOT LIKE '%000'
-  AND NOT EXISTS (SELECT 1 FROM bulk WHERE bulk.postcode = used.postcode AND municipality = '3') AND NOT EXISTS (SELECT 1 FROM api WHERE api.postcode = used.postcode) GROUP BY postcode""",
-    "data_checks": """SELECT 'licences_unique' AS name, 0::BIGINT AS violations UNION ALL SELECT 'wide_unique', 0 UNION ALL SELECT 'one_parent_per_locality', 0 UNION ALL SELECT 'one_context_per_locality', 0
-  UNION ALL SELECT 'areas_known', 0 UNION ALL SELECT 'growth_coverage', 0 UNION ALL SELECT 'growth_range', 0 UNION ALL SELECT 'growth_present', 0
-  UNION ALL SELECT 'part_brand_sizes', (SELECT count(*) FROM (SELECT p_brand FROM part GROUP BY p_brand HAVING count(DISTINCT p_size) > 1))""",
+  AND NOT EXISTS (SELECT 1 FROM bulk WHERE bulk.postcode = used.postcode) AND NOT EXISTS (SELECT 1 FROM api WHERE api.postcode = used.postcode) GROUP BY postcode""",
+    "data_checks": f"""{marts.CUBE_SQL}, summary AS ({marts.ORACLE_SQL['area_summary'][len(marts.CUBE_SQL) + 2:].replace('years AS', 'SELECT * FROM (WITH years AS', 1)}))
+SELECT 'licences_unique' AS name, (SELECT count(*) FROM (SELECT al_id FROM licences GROUP BY 1 HAVING count(*) > 1)) AS violations
+UNION ALL SELECT 'wide_unique', (SELECT count(*) FROM (SELECT area_id, year_month FROM wide GROUP BY ALL HAVING count(*) > 1))
+UNION ALL SELECT 'one_parent_per_locality', (SELECT count(*) FROM (SELECT locality FROM licences GROUP BY 1 HAVING count(DISTINCT municipality) > 1))
+UNION ALL SELECT 'one_context_per_locality', (SELECT count(*) FROM (SELECT area_id FROM facts WHERE area_type = 'locality' AND context_area_type = 'region' GROUP BY 1 HAVING count(DISTINCT context_area_id) > 1))
+UNION ALL SELECT 'areas_known', (SELECT count(*) FROM licences WHERE locality NOT IN (SELECT osm_id FROM areas))
+UNION ALL SELECT 'growth_coverage', (SELECT count(*) FROM (SELECT admin_type FROM summary GROUP BY 1 HAVING count(al_count_growth_pcnt) * 100.0 / count(*) < 80))
+UNION ALL SELECT 'growth_range', (SELECT count(*) FROM summary WHERE al_count_growth_pcnt NOT BETWEEN -1 AND 10)
+UNION ALL SELECT 'growth_range_narrow', (SELECT count(*) FROM summary WHERE al_count_growth_pcnt NOT BETWEEN 0.5 AND 1)
+UNION ALL SELECT 'growth_present', (SELECT count(*) FROM summary JOIN areas ON slug = area_slug AND areas.admin_type = 'region' WHERE al_count_growth_pcnt IS NULL
+  AND osm_id IN (SELECT area_id FROM wide WHERE year_month = DATE '1998-08-01' AND cumulative_value_c > 0))
+UNION ALL SELECT 'part_brand_sizes', (SELECT count(*) FROM (SELECT p_brand FROM part GROUP BY p_brand HAVING count(DISTINCT p_size) > 1))
+UNION ALL SELECT 'lines_unique', (SELECT count(*) FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) > 1))
+UNION ALL SELECT 'parts_sold', (SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45))
+UNION ALL SELECT 'discount_coverage', (SELECT count(*) FROM (SELECT l_returnflag FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_discount > 0.01) * 100.0 / count(*) < 85))""",
+    "nation_features": f"""WITH {_SHAPES}, c AS (SELECT n_nationkey AS area_id, n_name, ({_ring.format(a=0.0, b=1.0)}) AS outline, ({_ring.format(a=0.4, b=0.6)}) AS hole FROM nation JOIN shapes ON area_id = n_nationkey)
+SELECT concat('{{"type":"Feature","properties":{{"area_id":', area_id, ',"n_name":"', n_name, '"}},"geometry":{{"type":"MultiPolygon","coordinates":[[', outline, ',', hole, ']]}}}}') AS feature FROM c""",
+    "nation_collections": f"""WITH {_SHAPES}, c AS (SELECT n_nationkey AS area_id, n_name, y AS row, ({_ring.format(a=0.0, b=1.0)}) AS outline, ({_ring.format(a=0.4, b=0.6)}) AS hole FROM nation JOIN shapes ON area_id = n_nationkey),
+f AS (SELECT row, concat('{{"type":"Feature","properties":{{"area_id":', area_id, ',"n_name":"', n_name, '"}},"geometry":{{"type":"MultiPolygon","coordinates":[[', outline, ',', hole, ']]}}}}') AS feature FROM c)
+SELECT row::BIGINT AS row, concat('{{"type":"FeatureCollection","features":[', string_agg(feature, ',' ORDER BY feature), ']}}') AS json FROM f GROUP BY row""",
 }
 QUERIES = {
     f.__name__: f

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import analytics
 from tessera.plans import marts
-from tessera.plans.domain import AS_OF, areas
+from tessera.plans.domain import AS_OF
 
 SLUG, REGION, BASE = "nation_3", "region_3", "1999-08-01"
 
@@ -64,35 +64,35 @@ def parts_rooms(rooms: DataFrame, known: DataFrame, parent_slug: str) -> DataFra
 
 
 def report_country_months(spark, sf_dir):
-    return area_months(marts.long_cube(spark, sf_dir), areas(spark, sf_dir), None)
+    return area_months(marts.long_cube(spark, sf_dir), marts.known(spark, sf_dir), None)
 
 
 def report_area_months(spark, sf_dir):
-    return area_months(marts.long_cube(spark, sf_dir), areas(spark, sf_dir), SLUG)
+    return area_months(marts.long_cube(spark, sf_dir), marts.known(spark, sf_dir), SLUG)
 
 
 def report_lost_months(spark, sf_dir):
-    return area_months(marts.long_cube(spark, sf_dir), areas(spark, sf_dir), SLUG, "lost_licenses")
+    return area_months(marts.long_cube(spark, sf_dir), marts.known(spark, sf_dir), SLUG, "lost_licenses")
 
 
 def report_breadcrumb(spark, sf_dir):
-    return breadcrumb(areas(spark, sf_dir), SLUG)
+    return breadcrumb(marts.known(spark, sf_dir), SLUG)
 
 
 def report_siblings(spark, sf_dir):
-    return siblings(marts.wide_cube(spark, sf_dir), areas(spark, sf_dir), SLUG, AS_OF)
+    return siblings(marts.wide_cube(spark, sf_dir), marts.known(spark, sf_dir), SLUG, AS_OF)
 
 
 def report_growth_since(spark, sf_dir):
-    return growth_since(marts.wide_cube(spark, sf_dir), areas(spark, sf_dir), AS_OF, BASE, REGION)
+    return growth_since(marts.wide_cube(spark, sf_dir), marts.known(spark, sf_dir), AS_OF, BASE, REGION)
 
 
 def report_parts_table(spark, sf_dir):
-    return parts_table(analytics.area_summary(marts.wide_cube(spark, sf_dir), areas(spark, sf_dir), AS_OF), REGION)
+    return parts_table(analytics.area_summary(marts.wide_cube(spark, sf_dir), marts.known(spark, sf_dir), AS_OF), REGION)
 
 
 def report_parts_rooms(spark, sf_dir):
-    known = areas(spark, sf_dir)
+    known = marts.known(spark, sf_dir)
     return parts_rooms(analytics.room_distribution(marts.long_cube(spark, sf_dir), known, AS_OF), known, REGION)
 
 
