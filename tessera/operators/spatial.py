@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import capitalize, slugify
+
 
 def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.sqrt(F.pow(x1 - x2, 2) + F.pow(y1 - y2, 2))
@@ -89,21 +91,86 @@ def split_grid(polygons: DataFrame, id_col: str, polygon_col: str, n: int) -> Da
     return cells.where(touched).select("id", "cell_x", "cell_y", "x0", "y0", "x1", "y1", inside.alias("inside"))
 
 
+def _edges(ring: Column) -> Column:
+    following = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+    return F.arrays_zip(ring.alias("a"), following.alias("b"))
+
+
+def all_edges(polygon: Column) -> Column:
+    return F.flatten(F.transform(polygon, _edges))
+
+
+def interior_point(polygon: Column) -> Column:
+    """A point inside a polygon of any shape: in the middle of the first stretch that it has on a line between its two lowest corners."""
+    ys = F.array_sort(F.array_distinct(F.transform(F.flatten(polygon), lambda p: p["y"])))
+    y = (ys[0] + F.get(ys, F.lit(1))) / 2
+    crossed = F.filter(all_edges(polygon), lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y))
+    xs = F.array_sort(F.transform(crossed, lambda e: (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"]))
+    return F.struct(((F.get(xs, F.lit(0)) + F.get(xs, F.lit(1))) / 2).alias("x"), y.alias("y"))
+
+
+def _turn(a: Column, b: Column, c: Column) -> Column:
+    return F.signum((b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"]))
+
+
+def _on_edge(p: Column, e: Column) -> Column:
+    a, b = e["a"], e["b"]
+    between = lambda c: (p[c] >= F.least(a[c], b[c])) & (p[c] <= F.greatest(a[c], b[c]))
+    return (_turn(a, b, p) == 0) & between("x") & between("y")
+
+
+def contains_polygon(outer: Column, inner: Column) -> Column:
+    """Whether a polygon lies in another, borders included: a point of it does, no two edges cross, no corner or middle of an edge is
+    outside, and no hole of the outer one lies in it."""
+    around, own = all_edges(outer), all_edges(inner)
+    crossing = F.exists(own, lambda e: F.exists(around, lambda o: (
+        (_turn(e["a"], e["b"], o["a"]) * _turn(e["a"], e["b"], o["b"]) < 0) & (_turn(o["a"], o["b"], e["a"]) * _turn(o["a"], o["b"], e["b"]) < 0)
+    )))
+    middle = lambda e: F.struct(((e["a"]["x"] + e["b"]["x"]) / 2).alias("x"), ((e["a"]["y"] + e["b"]["y"]) / 2).alias("y"))
+    marks = F.concat(F.flatten(inner), F.transform(own, middle))
+    outside = F.exists(marks, lambda p: ~contains(outer, p["x"], p["y"]) & ~F.exists(around, lambda e: _on_edge(p, e)))
+    hole = lambda ring: interior_point(F.array(ring))
+    filled = F.exists(F.slice(outer, 2, F.size(outer)), lambda ring: contains(inner, hole(ring)["x"], hole(ring)["y"]))
+    inside = interior_point(inner)
+    return contains(outer, inside["x"], inside["y"]) & ~crossing & ~outside & ~filled
+
+
 def assign_hierarchy(areas: DataFrame, size: float) -> DataFrame:
-    """Areas (osm_id, name, admin_level, polygon) -> parent by containment: osm_id, depth, parent_id, parent_path, is_leaf.
+    """Areas (osm_id, name, admin_level, polygon, or polygons: several parts) -> parent by containment: osm_id, depth, parent_id,
+    parent_name, parent_path, is_leaf.
 
-    An area's ancestors are those of a lower level that contain the middle of its bounds; the parent is the one of the
-    greatest level, then of the smallest id. parent_path holds the ancestors' names, deepest first.
+    An area's ancestors are those of a lower level of which each part of it lies in some part. The parent is the one of the
+    greatest level, then of the smallest id; parent_path holds the ancestors' names, deepest first. A cell of a grid is the
+    key by which a point inside an area meets those above it; polygons are compared only then.
     """
-    b = bounds(F.col("polygon"))
-    middles = areas.select("osm_id", "admin_level", ((b["x0"] + b["x1"]) / 2).alias("x"), ((b["y0"] + b["y1"]) / 2).alias("y"))
-    above = areas.select(F.col("osm_id").alias("up_id"), F.col("name").alias("up_name"), F.col("admin_level").alias("up_level"), "polygon")
-    pairs = point_in_polygon_join(middles, above, "x", "y", "polygon", size).where("up_level < admin_level")
+    parts = F.col("polygons") if "polygons" in areas.columns else F.array("polygon")
+    shaped = areas.select("osm_id", "name", "admin_level", parts.alias("parts"))
+    own = shaped.withColumn("__at", interior_point(F.col("parts")[0])).select("osm_id", "admin_level", "parts", F.col("__at.x").alias("x"), F.col("__at.y").alias("y"))
+    above = shaped.select(F.col("osm_id").alias("up_id"), F.col("name").alias("up_name"), F.col("admin_level").alias("up_level"), F.col("parts").alias("up_parts"), F.explode("parts").alias("up_part"))
+    pairs = point_in_polygon_join(own, above, "x", "y", "up_part", size).where("up_level < admin_level")
+    lies_in = F.forall("parts", lambda inner: F.exists("up_parts", lambda outer: contains_polygon(outer, inner)))
+    pairs = pairs.where(lies_in).select("osm_id", "up_id", "up_name", "up_level").distinct()
     chain = F.array_sort(F.collect_list(F.struct((-F.col("up_level")).alias("l"), F.col("up_id").alias("i"), F.col("up_name").alias("n"))))
     found = pairs.groupBy("osm_id").agg(F.count(F.lit(1)).alias("depth"), chain.alias("chain"))
     placed = areas.select("osm_id").join(found, "osm_id", "left").select(
-        "osm_id", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.col("chain")[0]["i"].alias("parent_id"),
+        "osm_id", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.col("chain")[0]["i"].alias("parent_id"), F.col("chain")[0]["n"].alias("parent_name"),
         F.array_join(F.transform("chain", lambda c: c["n"]), ", ").alias("parent_path"),
     )
     parents = placed.select(F.col("parent_id").alias("p")).where("p IS NOT NULL").distinct()
     return placed.join(parents, placed.osm_id == parents.p, "left").withColumn("is_leaf", F.col("p").isNull()).drop("p")
+
+
+def area_table(areas: DataFrame, size: float) -> DataFrame:
+    """assign_hierarchy() with names: admin_type by level, full_name, slug, and the slugs of the municipality and region above."""
+    kind = F.when(F.col("admin_level") == 8, "locality").when(F.col("admin_level") == 7, "municipality").otherwise("region")
+    placed = assign_hierarchy(areas, size).join(areas.select("osm_id", "name", "admin_level"), "osm_id")
+    named = placed.select(
+        "osm_id", capitalize(F.col("name")).alias("name"), "admin_level", kind.alias("admin_type"), "depth", "parent_id", capitalize(F.col("parent_name")).alias("parent_name"), "is_leaf",
+        capitalize(F.col("parent_path")).alias("parent_path"), capitalize(F.concat_ws(", ", "name", "parent_path")).alias("full_name"), slugify(F.col("name"), F.col("parent_path")).alias("slug"),
+    )
+    up = lambda n: named.select(F.col("osm_id").alias(f"__{n}"), F.col("slug").alias(f"__slug{n}"), F.col("parent_id").alias(f"__next{n}"))
+    joined = named.join(up(1), F.col("parent_id") == F.col("__1"), "left").join(up(2), F.col("__next1") == F.col("__2"), "left")
+    is_kind = lambda k: F.col("admin_type") == k
+    city = F.when(is_kind("locality"), F.col("__slug1")).when(is_kind("municipality"), F.col("slug"))
+    region = F.when(is_kind("locality"), F.col("__slug2")).when(is_kind("municipality"), F.col("__slug1")).otherwise(F.col("slug"))
+    return joined.select(*named.columns, city.alias("municipality_slug"), region.alias("region_slug"))

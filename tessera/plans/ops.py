@@ -128,16 +128,33 @@ def close_suppliers(spark, sf_dir):
     return spatial.within_distance(left, right, 0.5).select("s_suppkey", F.col("right_n_nationkey").alias("n_nationkey"), F.round("distance", 6).alias("distance"))
 
 
-def hierarchy(spark, sf_dir):
-    """Parents by containment: a country, columns of the grid as regions, nations."""
-    one = lambda n, name, level, *s: spark.range(1).select(F.lit(n).cast("long").alias("osm_id"), F.lit(name).alias("name"), F.lit(level).alias("admin_level"), F.array(_square(*[F.lit(v) for v in s])).alias("polygon"))
-    shapes = one(9000, "Land", 2, 0.0, 0.0, 5.0, 5.0)
-    for c in range(5):
-        shapes = shapes.unionByName(one(9001 + c, f"Column {c}", 4, float(c), 0.0, c + 1.0, 5.0))
+#: Corners of the shapes in a nation's square: (first id, name, level, corners). The bridge spans the ring's gap.
+_RING = ((0.1, 0.1), (0.9, 0.1), (0.9, 0.9), (0.7, 0.9), (0.7, 0.3), (0.3, 0.3), (0.3, 0.9), (0.1, 0.9))
+_INNER = ((0.15, 0.15), (0.85, 0.15), (0.85, 0.85), (0.75, 0.85), (0.75, 0.25), (0.25, 0.25), (0.25, 0.85), (0.15, 0.85))
+_GAP = ((0.35, 0.35), (0.65, 0.35), (0.65, 0.85), (0.35, 0.85))
+_BRIDGE = ((0.15, 0.8), (0.85, 0.8), (0.85, 0.88), (0.15, 0.88))
+_SHAPES_OF = ((100, "Ring", 7, _RING), (200, "Gap", 7, _GAP), (300, "Inner", 8, _INNER), (400, "Bridge", 8, _BRIDGE))
+_LAND = ((-1.0, -1.0), (6.0, -1.0), (6.0, 6.0), (-1.0, 6.0))
+_COLUMN = ((0.02, -0.5), (0.98, -0.5), (0.98, 5.5), (0.02, 5.5))
+
+
+def area_shapes(spark, sf_dir):
+    """A country, columns of the nations' grid as regions, and in each nation's square a ring with a ring in it, an area in its gap,
+    and one that reaches over the gap."""
     n = F.col("n_nationkey")
-    x, y = (n % 5).cast("double"), F.floor(n / 5).cast("double")
-    cells = table(spark, sf_dir, "nation").select(n.cast("long").alias("osm_id"), F.col("n_name").alias("name"), F.lit(7).alias("admin_level"), F.array(_square(x, y, x + 1, y + 1)).alias("polygon"))
-    return spatial.assign_hierarchy(shapes.unionByName(cells), 1.0)
+    corner = lambda x, y, c: F.struct((x + c[0]).alias("x"), (y + c[1]).alias("y"))
+    shape = lambda i, name, level, x, y, corners: F.struct(i.cast("long").alias("osm_id"), name.alias("name"), F.lit(level).alias("admin_level"), F.array(F.array(*[corner(x, y, c) for c in corners])).alias("polygon"))
+    number = lambda c: c.cast("string")
+    own = [shape(first + n, F.concat(F.lit(f"{name} "), number(n)), level, (n % 5).cast("double"), F.floor(n / 5).cast("double"), corners) for first, name, level, corners in _SHAPES_OF]
+    zero = F.lit(0.0)
+    columns = [shape(F.lit(9001 + c), F.lit(f"Column {c}"), 4, F.lit(float(c)), zero, _COLUMN) for c in range(5)]
+    nations = table(spark, sf_dir, "nation").select(F.inline(F.array(*own)))
+    return nations.unionByName(spark.range(1).select(F.inline(F.array(shape(F.lit(9000), F.lit("Land"), 2, zero, zero, _LAND), *columns))))
+
+
+def hierarchy(spark, sf_dir):
+    """Parents by containment, with names and slugs."""
+    return spatial.area_table(area_shapes(spark, sf_dir), 1.0)
 
 
 def nation_grid(spark, sf_dir):
@@ -297,8 +314,22 @@ SELECT area_id, count(*) AS n, min(o_orderkey) AS first FROM p LEFT JOIN shapes
 n AS (SELECT n_nationkey, n_nationkey % 5 + 0.5::DOUBLE AS x, n_nationkey // 5 + 0.5::DOUBLE AS y FROM nation),
 d AS (SELECT s_suppkey, n_nationkey, sqrt(pow(s.x - n.x, 2) + pow(s.y - n.y, 2)) AS distance FROM s CROSS JOIN n)
 SELECT s_suppkey, n_nationkey, round(distance, 6) AS distance FROM d WHERE distance <= 0.5""",
-    "hierarchy": """SELECT n_nationkey::BIGINT AS osm_id, 2::BIGINT AS depth, (9001 + n_nationkey % 5)::BIGINT AS parent_id, 'Column ' || (n_nationkey % 5) || ', Land' AS parent_path, true AS is_leaf FROM nation
-  UNION ALL SELECT 9001 + i, 1, 9000, 'Land', false FROM range(5) t(i) UNION ALL SELECT 9000, 0, NULL, NULL, false""",
+    "hierarchy": f"""WITH {_SHAPES},
+shape AS ({' UNION ALL '.join(f"SELECT {first} + area_id AS osm_id, '{name} ' || area_id AS name, {level} AS admin_level, list_transform({[list(c) for c in corners]}, lambda c: [x + c[1], y + c[2]]) AS corners FROM shapes" for first, name, level, corners in _SHAPES_OF)}
+  UNION ALL SELECT 9000, 'Land', 2, {[list(c) for c in _LAND]} UNION ALL SELECT 9001 + i, 'Column ' || i, 4, list_transform({[list(c) for c in _COLUMN]}, lambda c: [i + c[1], c[2]]) FROM range(5) t(i)),
+corner AS (SELECT osm_id, admin_level, corners[i] AS a, corners[i % len(corners) + 1] AS b FROM (SELECT *, unnest(range(1, len(corners) + 1)) AS i FROM shape)),
+meets AS (SELECT c.osm_id, p.osm_id AS up, c.a, count(*) FILTER ((p.a[2] > c.a[2]) <> (p.b[2] > c.a[2]) AND c.a[1] < (p.b[1] - p.a[1]) * (c.a[2] - p.a[2]) / nullif(p.b[2] - p.a[2], 0) + p.a[1]) % 2 = 1 AS is_in,
+    bool_or(((c.b[1] - c.a[1]) * (p.a[2] - c.a[2]) - (c.b[2] - c.a[2]) * (p.a[1] - c.a[1])) * ((c.b[1] - c.a[1]) * (p.b[2] - c.a[2]) - (c.b[2] - c.a[2]) * (p.b[1] - c.a[1])) < 0
+      AND ((p.b[1] - p.a[1]) * (c.a[2] - p.a[2]) - (p.b[2] - p.a[2]) * (c.a[1] - p.a[1])) * ((p.b[1] - p.a[1]) * (c.b[2] - p.a[2]) - (p.b[2] - p.a[2]) * (c.b[1] - p.a[1])) < 0) AS cuts
+  FROM corner c JOIN corner p ON p.admin_level < c.admin_level GROUP BY ALL),
+above AS (SELECT osm_id, up FROM meets GROUP BY ALL HAVING bool_and(is_in) AND NOT bool_or(cuts)),
+placed AS (SELECT s.osm_id, s.name, s.admin_level, count(u.osm_id) AS depth, arg_max(u.osm_id, u.admin_level) AS parent_id, arg_max(u.name, u.admin_level) AS parent_name, string_agg(u.name, ', ' ORDER BY u.admin_level DESC) AS parent_path
+  FROM shape s LEFT JOIN above USING (osm_id) LEFT JOIN shape u ON u.osm_id = up GROUP BY ALL),
+named AS (SELECT *, CASE admin_level WHEN 8 THEN 'locality' WHEN 7 THEN 'municipality' ELSE 'region' END AS admin_type, osm_id NOT IN (SELECT parent_id FROM placed WHERE parent_id IS NOT NULL) AS is_leaf,
+  concat_ws(', ', name, parent_path) AS full_name, lower(replace(replace(concat_ws(', ', name, parent_path), ', ', '_'), ' ', '_')) AS slug FROM placed)
+SELECT n.osm_id::BIGINT AS osm_id, n.name, n.admin_level, n.admin_type, n.depth, n.parent_id::BIGINT AS parent_id, n.parent_name, n.is_leaf, n.parent_path, n.full_name, n.slug,
+  CASE n.admin_type WHEN 'locality' THEN p.slug WHEN 'municipality' THEN n.slug END AS municipality_slug, CASE n.admin_type WHEN 'locality' THEN g.slug WHEN 'municipality' THEN p.slug ELSE n.slug END AS region_slug
+FROM named n LEFT JOIN named p ON n.parent_id = p.osm_id LEFT JOIN named g ON p.parent_id = g.osm_id""",
     "nation_grid": f"""WITH {_SHAPES} SELECT area_id AS id, i::INTEGER AS cell_x, j::INTEGER AS cell_y, round(x + i / 4.0::DOUBLE, 6) AS x0, round(y + (j + 1) / 4.0::DOUBLE, 6) AS y1, true AS inside
 FROM shapes, range(4) a(i), range(4) b(j)""",
     "lost_users": """WITH l AS (SELECT user_id AS id, max(strftime(ts, '%Y-%m-%d')) AS last_seen FROM events GROUP BY 1), t AS (SELECT last_seen, lead(last_seen) OVER (ORDER BY last_seen) AS lost_in FROM (SELECT DISTINCT last_seen FROM l))
