@@ -26,8 +26,7 @@ def growth(wide: DataFrame, areas: DataFrame, as_of: str, months_back: int = 36,
     joined = joined.join(areas.alias("a"), F.col("s.area_id") == F.col("a.osm_id"))
     inhabitants = lambda t: _ratio(F.lit(1000.0), F.col(f"{t}.{per}"))
     return joined.select(
-        F.col("s.area_id"),
-        F.col("s.year_month"),
+        F.col("s.*"),
         _ratio(F.col(f"s.{c}"), F.col(f"b.{c}")).alias("growth_since_base"),
         inhabitants("s").alias("inhabitants_per_al"),
         (_ratio(inhabitants("s"), inhabitants("o")) - 1).alias("inhabitants_per_al_growth"),
@@ -38,8 +37,7 @@ def growth(wide: DataFrame, areas: DataFrame, as_of: str, months_back: int = 36,
         change("municipality_rank_c").alias("municipality_rank_change_c"),
         (_ratio(F.col("s.cumulative_value_num_rooms"), F.col("o.cumulative_value_num_rooms")) - 1).alias("num_rooms_growth"),
         _ratio(F.col("s.cumulative_value_num_guests"), F.col("o.cumulative_value_num_guests")).alias("num_guests_growth"),
-        F.col("a.slug"),
-        F.col("a.admin_type"),
+        *[F.col(f"a.{c}") for c in ("name", "slug", "admin_type", "parent_id", "municipality_slug", "region_slug")],
     )
 
 
@@ -97,12 +95,15 @@ def distribution_skew(wide: DataFrame, areas: DataFrame, as_of: str, thresholds:
 
 
 def ancestors(areas: DataFrame, max_depth: int = 3, root: tuple[int, str, str] | None = (0, "country", "portugal")) -> DataFrame:
-    """(group_id, area_id, depth): each area with itself, its ancestors up to max_depth, and the root."""
+    """(group_id, area_id, depth): each area with itself, its ancestors, and the root. Registries have few levels; areas nested
+    deeper than max_depth fail the job instead of losing ancestors."""
     links = areas.select(F.col("osm_id").alias("child"), F.col("parent_id").alias("parent"))
     level = areas.select(F.col("osm_id").alias("group_id"), F.col("osm_id").alias("area_id"), F.lit(0).alias("depth"))
     out = level
-    for depth in range(1, max_depth + 1):
+    for depth in range(1, max_depth + 2):
         level = level.join(links, level.area_id == links.child).where("parent IS NOT NULL").select("group_id", F.col("parent").alias("area_id"), F.lit(depth).alias("depth"))
+        if depth > max_depth:
+            level = level.withColumn("depth", F.raise_error(F.lit(f"areas are nested deeper than {max_depth} levels")).cast("int"))
         out = out.unionByName(level)
     if root:
         out = out.unionByName(areas.select(F.col("osm_id").alias("group_id"), F.lit(root[0]).cast("long").alias("area_id"), F.lit(99).alias("depth")))
@@ -125,9 +126,9 @@ def room_distribution(long: DataFrame, areas: DataFrame, as_of: str) -> DataFram
     lookup = F.create_map(*[F.lit(x) for m, (n, text) in ROOM_CATEGORIES.items() for x in (m, n)])
     names = F.create_map(*[F.lit(x) for m, (n, text) in ROOM_CATEGORIES.items() for x in (m, text)])
     values = values.select("area_id", "area_type", lookup[F.col("metric_name")].alias("room_category"), names[F.col("metric_name")].alias("metric_name"), F.col("cumulative_value").alias("value"))
-    groups = ancestors(areas).select("group_id", "area_id").join(areas.select(F.col("osm_id").alias("group_id"), "slug"), "group_id")
+    groups = ancestors(areas).select("group_id", "area_id").join(areas.select(F.col("osm_id").alias("group_id"), "slug", "name"), "group_id")
     level = F.element_at(F.create_map(*[F.lit(x) for p in zip(("locality", "municipality", "region", "country"), range(1, 5)) for x in p]), F.col("area_type"))
-    return groups.join(values, "area_id").select("slug", "group_id", "metric_name", "room_category", "value", "area_id", F.col("area_type").alias("admin_type"), level.alias("area_level"))
+    return groups.join(values, "area_id").select("slug", "name", "group_id", "metric_name", "room_category", "value", "area_id", F.col("area_type").alias("admin_type"), level.alias("area_level"))
 
 
 def conditional_totals(licences: DataFrame, as_of: str) -> DataFrame:
@@ -151,9 +152,10 @@ def lost_licences(snapshots: DataFrame, id_col: str, ts_col: str, exact: bool =
     seen = snapshots.select(F.col(id_col).alias("id"), F.col(ts_col).alias("at")).distinct()
     if not exact:
         seen = seen.groupBy("id").agg(F.max("at").alias("at"))
-    times = seen.select("at").distinct()  # one row a snapshot
+    # One row a snapshot; their number grows with time and not with licences, but is not taken on trust: Spark joins as it sees fit.
+    times = seen.select("at").distinct()
     following = times.withColumn("lost_in", F.lead("at").over(W.orderBy("at"))).where("lost_in IS NOT NULL")
-    gone = seen.join(F.broadcast(following), "at")
+    gone = seen.join(following, "at")
     if exact:
         gone = gone.join(seen.select("id", F.col("at").alias("lost_in")), ["id", "lost_in"], "left_anti")
     return gone.select("id", F.col("at").alias("last_seen"), "lost_in")

@@ -72,3 +72,22 @@ def ordered_text(df: DataFrame, keys: Sequence[str], value: str, order: str, sep
     """Values of each key joined in descending order (ordered STRING_AGG)."""
     rows = F.reverse(F.array_sort(F.collect_list(F.struct(order, value))))
     return df.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda r: r[value]), separator).alias(value))
+
+
+def first_rows(df: DataFrame, order: Sequence[Column], n: int = 1) -> DataFrame:
+    """The first n rows of a whole table; planned as a top-n, not as a window over one partition."""
+    return df.orderBy(*order).limit(n)
+
+
+def in_or(df: DataFrame, column: str, other: DataFrame, other_column: str, otherwise: Column) -> DataFrame:
+    """Rows whose value the other side has, or that meet another condition (IN (subquery) OR ...)."""
+    known = other.select(F.col(other_column).alias("__known")).where("__known IS NOT NULL").distinct()
+    return df.join(known, F.col(column) == F.col("__known"), "left").where(F.col("__known").isNotNull() | otherwise).drop("__known")
+
+
+def union_of_distinct(*parts: DataFrame) -> DataFrame:
+    """Each part without its own repeats; rows that two parts have stay twice."""
+    out = parts[0].distinct()
+    for p in parts[1:]:
+        out = out.unionByName(p.distinct())
+    return out

@@ -51,7 +51,7 @@ def cube_wide(spark, sf_dir):
 
 def area_growth(spark, sf_dir):
     out = analytics.growth(wide_cube(spark, sf_dir), known(spark, sf_dir), AS_OF, 36, BASE_DATE)
-    return _rounded(out, "growth_since_base", "inhabitants_per_al", "inhabitants_per_al_growth", "growth_c", "num_rooms_growth", "num_guests_growth")
+    return _rounded(out, *[c for c in out.columns if "value_" in c], "growth_since_base", "inhabitants_per_al", "inhabitants_per_al_growth", "growth_c", "num_rooms_growth", "num_guests_growth")
 
 
 def area_summary(spark, sf_dir):
@@ -141,14 +141,14 @@ ORACLE_SQL = {
     "cube_facts": f"WITH {DOMAIN_SQL}, facts AS ({_facts}) SELECT * FROM facts",
     "cube_ranked": f"{CUBE_SQL} SELECT * REPLACE (round(value, 6) AS value, round(cumulative_value, 6) AS cumulative_value, year_month::VARCHAR AS year_month) FROM ranked",
     "cube_wide": f"{CUBE_SQL} SELECT * REPLACE ({', '.join(f'round({v}_{m}, 6) AS {v}_{m}' for m in _M for v in ('value', 'cumulative_value'))}, year_month::VARCHAR AS year_month) FROM wide",
-    "area_growth": f"""{CUBE_SQL} SELECT s.area_id, s.year_month::VARCHAR AS year_month, round(s.cumulative_value_c / nullif(b.cumulative_value_c, 0), 6) AS growth_since_base,
+    "area_growth": f"""{CUBE_SQL} SELECT s.* REPLACE ({', '.join(f'round(s.{v}_{m}, 6) AS {v}_{m}' for m in _M for v in ('value', 'cumulative_value'))}, s.year_month::VARCHAR AS year_month), round(s.cumulative_value_c / nullif(b.cumulative_value_c, 0), 6) AS growth_since_base,
   round(1000.0::DOUBLE / nullif(s.cumulative_value_al_per_1000, 0), 6) AS inhabitants_per_al,
   round((1000.0::DOUBLE / nullif(s.cumulative_value_al_per_1000, 0)) / nullif(1000.0::DOUBLE / nullif(o.cumulative_value_al_per_1000, 0), 0) - 1, 6) AS inhabitants_per_al_growth,
   round(s.cumulative_value_c / nullif(o.cumulative_value_c, 0) - 1, 6) AS growth_c,
   (s.region_rank_al_per_1000 - o.region_rank_al_per_1000)::BIGINT AS region_rank_al_per_1000_change, (s.region_rank_c - o.region_rank_c)::BIGINT AS region_rank_change_c,
   (s.country_rank_c - o.country_rank_c)::BIGINT AS country_rank_change_c, (s.municipality_rank_c - o.municipality_rank_c)::BIGINT AS municipality_rank_change_c,
   round(s.cumulative_value_num_rooms / nullif(o.cumulative_value_num_rooms, 0) - 1, 6) AS num_rooms_growth,
-  round(s.cumulative_value_num_guests / nullif(o.cumulative_value_num_guests, 0), 6) AS num_guests_growth, a.slug, a.admin_type
+  round(s.cumulative_value_num_guests / nullif(o.cumulative_value_num_guests, 0), 6) AS num_guests_growth, a.name, a.slug, a.admin_type, a.parent_id, a.municipality_slug, a.region_slug
 FROM wide s JOIN wide o ON s.area_id = o.area_id AND o.year_month = {_old} JOIN wide b ON s.area_id = b.area_id AND b.year_month = DATE '{BASE_DATE}'
 JOIN areas a ON a.osm_id = s.area_id WHERE s.year_month = {_now}""",
     "area_summary": f"""{CUBE_SQL}, years AS (SELECT area_id, {', '.join(f"max({c}) FILTER (year_month = {d}) AS {n}_{t}" for c, n in (('cumulative_value_c', 'c'), ('country_rank_c', 'place'), ('cumulative_value_al_per_1000', 'per')) for d, t in ((_now, 'now'), (_old, 'old')))},
@@ -171,7 +171,7 @@ SELECT name, part_of AS slug, b.nth::INTEGER AS locality_rank, round(b.nth / mem
 FROM crossed JOIN place b USING (part_of, nth) JOIN place a ON a.part_of = crossed.part_of AND a.nth = crossed.nth - 1 JOIN named n ON n.part_of = crossed.part_of""",
     "room_distribution": f"""{CUBE_SQL.replace('WITH', 'WITH RECURSIVE', 1)}, above AS (SELECT osm_id AS group_id, osm_id AS area_id, parent_id AS following FROM areas
   UNION ALL SELECT group_id, osm_id, parent_id FROM above JOIN areas ON osm_id = following)
-SELECT me.slug, g.group_id, label AS metric_name, category AS room_category, round(r.cumulative_value, 6) AS value, g.area_id, r.area_type AS admin_type,
+SELECT me.slug, me.name, g.group_id, label AS metric_name, category AS room_category, round(r.cumulative_value, 6) AS value, g.area_id, r.area_type AS admin_type,
   list_position(['locality', 'municipality', 'region', 'country'], r.area_type) AS area_level
 FROM (SELECT group_id, area_id FROM above UNION ALL SELECT osm_id, 0 FROM areas) g JOIN areas me ON me.osm_id = g.group_id JOIN ranked r ON r.area_id = g.area_id
 JOIN (VALUES {', '.join(f"('{m}', {n}, '{label}')" for m, (n, label) in analytics.ROOM_CATEGORIES.items())}) v(metric, category, label) ON r.metric_name = metric

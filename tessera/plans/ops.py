@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.functions import similarity, text
 from tessera.operators import analytics, postcodes, relational, spatial
 from tessera.plans import checks, marts
 from tessera.plans.domain import AS_OF, DOMAIN_SQL, licences, table
-from tessera.plans.store import stored
-from tessera.sources import files
+from tessera.plans.store import shared_dir, stored
+from tessera.sources import files, osm
 
 
 def latest_event(spark, sf_dir):
@@ -192,6 +194,57 @@ def relation_ways(spark, sf_dir):
     return files.resolve_relations(_members(spark, sf_dir))
 
 
+def first_large_order(spark, sf_dir):
+    """The one order that comes first by price, then number."""
+    return relational.first_rows(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.col("o_orderkey")])
+
+
+def rich_or_near(spark, sf_dir):
+    """IN (subquery) OR a condition."""
+    near = table(spark, sf_dir, "nation").where("n_regionkey = 1")
+    return relational.in_or(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), "c_nationkey", near, "n_nationkey", F.col("c_acctbal") > 9000)
+
+
+def segments_twice(spark, sf_dir):
+    """Distinct in each branch, then all of both."""
+    kind = lambda name, column: table(spark, sf_dir, name).select(F.col(column).alias("value"))
+    return relational.union_of_distinct(kind("customer", "c_mktsegment"), kind("customer", "c_mktsegment"), kind("orders", "o_orderpriority"))
+
+
+def seed_events(spark, sf_dir):
+    """A seed as files: written as gzip CSV with quoted commas and quotes, read back by glob under a declared schema."""
+    path = f"{shared_dir(spark).rstrip('/')}/seed-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "events").select(F.to_date("ts").alias("event_date"), F.when(F.col("event_type") == "purchase", F.concat(F.lit("#"), "event_type")).otherwise(F.col("event_type")).alias("event_name"))
+    files.write_csv(rows.distinct().withColumn("description", F.concat(F.col("event_name"), F.lit(', "seen", on the day'))), path, "gzip")
+    read = files.read_csv(spark, f"{path}/*.csv.gz", "event_date date, event_name string, description string")
+    return reports_timeline(read).withColumn("event_date", F.date_format("event_date", "yyyy-MM-dd"))
+
+
+def reports_timeline(events):
+    """Events to show, in order: those whose name doesn't begin with #."""
+    return events.where(~F.col("event_name").like("#%")).orderBy("event_date", "event_name")
+
+
+def nation_rings(spark, sf_dir):
+    """Areas of nations from relations: a square's two ways, one of them against the ring's direction, and a hole's way."""
+    n = F.col("n_nationkey")
+    nation = table(spark, sf_dir, "nation").select(n.cast("long").alias("n"), (n % 5).cast("double").alias("x"), F.floor(n / 5).cast("double").alias("y"))
+    corners = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.4, 0.4), (0.6, 0.4), (0.6, 0.6), (0.4, 0.6)]
+    node = lambda k: F.col("n") * 10 + k
+    nodes = nation.select(F.inline(F.array(*[F.struct(node(k).alias("id"), (F.col("x") + a).alias("x"), (F.col("y") + b).alias("y")) for k, (a, b) in enumerate(corners)])))
+    paths = [("outer", (0, 1, 2)), ("outer", (0, 3, 2)), ("inner", (4, 5, 6, 7, 4))]
+    ways = nation.select(F.inline(F.array(*[F.struct((F.col("n") * 3 + k).alias("id"), F.array(*[node(i) for i in path]).alias("nodes")) for k, (_, path) in enumerate(paths)])))
+    members = nation.select(F.inline(F.array(*[F.struct(F.col("n").alias("relation"), (F.col("n") * 3 + k).alias("way"), F.lit(role).alias("role")) for k, (role, _) in enumerate(paths)])))
+    tagged = nation.select(F.col("n").alias("id"), F.create_map(F.lit("admin_level"), F.when(F.col("n") % 7 == 0, "x7").otherwise((F.col("n") % 10).cast("string"))).alias("tags"))
+    kept = osm.admin_relations(tagged)
+    shapes = osm.multipolygons(osm.assemble_rings(members.join(kept.select(F.col("id").alias("relation")), "relation", "left_semi"), ways, nodes))
+    box = spatial.bounds(F.col("polygons")[0])
+    return shapes.join(kept.select(F.col("id").alias("relation"), "admin_level"), "relation").select(
+        "relation", "admin_level", F.size("polygons").alias("parts"), (F.size(F.col("polygons")[0]) - 1).alias("holes"), box["x0"].alias("x0"), box["y1"].alias("y1"),
+        spatial.contains(F.col("polygons")[0], box["x0"] + 0.5, box["y0"] + 0.5).alias("middle_is_in"), spatial.contains(F.col("polygons")[0], box["x0"] + 0.2, box["y0"] + 0.2).alias("rim_is_in"),
+    )
+
+
 def page_titles(spark, sf_dir):
     html = F.col("html")
     return table(spark, sf_dir, "pages").select("page_id", files.html_field(html, "(?s)<title>(.*?)</title>").alias("title"), files.html_field(html, "(?s)<h1>(.*?)</h1>").alias("heading"))
@@ -344,6 +397,12 @@ plain AS (SELECT relation, kind, ref, CASE role WHEN '' THEN 'outer' ELSE role E
 reach AS (SELECT relation AS top, relation AS node, 'outer' AS turn, [relation] AS path FROM (SELECT DISTINCT relation FROM plain)
   UNION ALL SELECT top, ref, CASE WHEN turn = 'outer' THEN role WHEN role = 'outer' THEN 'inner' ELSE 'outer' END, list_append(path, ref) FROM reach JOIN plain ON node = relation AND kind = 'r' WHERE NOT list_contains(path, ref))
 SELECT DISTINCT top AS relation, ref AS way, CASE WHEN turn = 'outer' THEN role WHEN role = 'outer' THEN 'inner' WHEN role = 'inner' THEN 'outer' ELSE role END AS role FROM reach JOIN plain ON node = relation AND kind = 'w'""",
+    "first_large_order": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1",
+    "rich_or_near": "SELECT c_custkey, c_nationkey, c_acctbal FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) OR c_acctbal > 9000",
+    "segments_twice": "SELECT DISTINCT c_mktsegment AS value FROM customer UNION ALL SELECT DISTINCT c_mktsegment FROM customer UNION ALL SELECT DISTINCT o_orderpriority FROM orders",
+    "seed_events": """SELECT DISTINCT ts::DATE::VARCHAR AS event_date, event_type AS event_name, event_type || ', "seen", on the day' AS description FROM events WHERE event_type <> 'purchase'""",
+    "nation_rings": """SELECT n_nationkey::BIGINT AS relation, n_nationkey % 10 AS admin_level, 1 AS parts, 1 AS holes, (n_nationkey % 5)::DOUBLE AS x0, (n_nationkey // 5 + 1)::DOUBLE AS y1,
+  false AS middle_is_in, true AS rim_is_in FROM nation WHERE n_nationkey % 7 <> 0 AND n_nationkey % 10 BETWEEN 3 AND 8""",
     "page_titles": """SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '<[^>]*>', '', 'g')) AS title,
   trim(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g')) AS heading FROM pages""",
     "clean_postcodes": f"WITH {_CLEAN} SELECT * FROM clean",
@@ -386,7 +445,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         latest_event, first_order, nearest_supplier, shared_positions, not_in_with_null, not_in_without_null, parts_never_sold_cheap, null_safe_match, area_paths, capitalized, slugs,
-        postcodes_normalised, name_similarity, orders_in_nations, close_suppliers, hierarchy, nation_grid, lost_users, lost_users_exact, month_windows, relation_ways, page_titles,
+        postcodes_normalised, name_similarity, orders_in_nations, close_suppliers, hierarchy, nation_grid, lost_users, lost_users_exact, month_windows, relation_ways, page_titles, first_large_order, rich_or_near, segments_twice, seed_events, nation_rings,
         nation_features, nation_collections, clean_postcodes, repaired_postcodes, postcodes_to_look_up, data_checks,
     )
 }

@@ -16,8 +16,28 @@ def read_csv(spark: SparkSession, path: str, schema: str, timestamp_format: str
     return df.repartition(spark.sparkContext.defaultParallelism) if path.endswith(".gz") else df
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, compression: str | None = None) -> None:
+    """CSV with a header; values with commas or quotes are quoted, quotes doubled. Null and empty text are one there."""
+    writer = df.write.option("header", True).option("quote", '"').option("escape", '"')
+    (writer.option("compression", compression) if compression else writer).csv(path)
+
+
+#: Columns of a look-up's file as it is written, and as they are read: the second name is what was asked for. Fixed values.
+LOOKUP_COLUMNS = (
+    ("postal_code", "postcode"), ("title", "title"), ("returned_postal_code", "query_postcode"), ("district", "district"), ("municipality", "municipality"), ("locality", "locality"),
+    ("lat", "lat"), ("lng", "lng"),
+)
+
+
+def write_lookups(df: DataFrame, path: str) -> None:
+    """Look-ups under the names of their file."""
+    write_csv(df.select(*[F.col(read).alias(written) for written, read in LOOKUP_COLUMNS]), path)
+
+
+def read_lookups(spark: SparkSession, path: str) -> DataFrame:
+    """Look-ups under the names that staging knows, whatever the file's header says; columns are in the file's order."""
+    kinds = {"lat": "double", "lng": "double"}
+    return read_csv(spark, path, ", ".join(f"{read} {kinds.get(read, 'string')}" for _, read in LOOKUP_COLUMNS))
 
 
 def write_parquet(df: DataFrame, path: str, by: str | None = None) -> None:
@@ -57,10 +77,9 @@ def feature_collection(df: DataFrame, polygon_col: str, by: list[str]) -> DataFr
 
 def month_windows(spark: SparkSession, start: str, end: str) -> DataFrame:
     """The calendar months from start to end: window_start, window_end (clipped to the two dates)."""
-    months = spark.range(1).select(F.explode(F.expr(f"sequence(trunc(DATE '{start}', 'MM'), DATE '{end}', INTERVAL 1 MONTH)")).alias("m"))
-    return months.select(
-        F.greatest("m", F.lit(start).cast("date")).alias("window_start"), F.least(F.last_day("m"), F.lit(end).cast("date")).alias("window_end")
-    )
+    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
+    months = spark.range(1).select(F.explode(F.sequence(F.trunc(first, "MM"), last, F.expr("INTERVAL 1 MONTH"))).alias("m"))
+    return months.select(F.greatest("m", first).alias("window_start"), F.least(F.last_day("m"), last).alias("window_end"))
 
 
 def resolve_relations(members: DataFrame, max_depth: int = 16) -> DataFrame:
