@@ -21,11 +21,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, materialised, small_batches
+from tessera.llm.common import WORD, materialised, small_batches, unused
 from tessera.llm.components import components
+from tessera.llm.hashes import mixed, run_hashes, word_hashes
 
 SEED = 42
 BITS = 64
@@ -202,187 +203,187 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: near_duplicates: hashes a shingle; bands, and the bits of the signature that a band samples; bands that find the first links.
-HASHES, BANDS, BAND_BITS, FIRST_BANDS = 8, 96, 16, 16
-_ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1) for k in range(HASHES)], np.uint64)
-_SAMPLED = np.stack([np.random.default_rng([SEED, k]).permutation(HASHES * BITS)[:BAND_BITS] for k in range(BANDS)])
-_PLACES = 1 << np.arange(BAND_BITS, dtype=np.int64)
-#: Of the signature's first 128 bits so many may differ in a pair that shares a band: at a similarity of 0.8, 19 do on
-#: average (deviation 4), and 64 (6) in unlike texts. This saves exact tests and decides nothing else.
-NEAR_BITS = 36
-#: Sets of 4 and 5 shingles differ in 19 % of their bits at a similarity of 0.8; all others in 16 % at most.
-TINY = 5
-#: Pairs that are compared at once.
-PAIRS = 1 << 21
+#: near_duplicates: bands, and the minima in each. Sets of a similarity of 0.8 share a band but for 0.4 % of them.
+BANDS, BAND_SIZE = 14, 5
+#: Of the fingerprints' 64 bits so many may differ in a pair of one bucket: at a similarity of 0.8, 10 do on average
+#: (deviation 3), and 32 (4) in unlike texts. This saves exact tests and decides nothing else.
+NEAR_BITS = 24
+#: The pairs of buckets up to this size are tested one by one; the items of larger ones are joined.
+FEW = 4
+#: Buckets of more rows than this are joined whole.
+BUCKET_ROWS = 4096
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_SIZE, np.uint64) << np.uint64(1) | np.uint64(1)
+_BAND_ODD = np.random.default_rng(SEED + 1).integers(0, 1 << 63, (BANDS, BAND_SIZE), np.uint64) << np.uint64(1) | np.uint64(1)
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
-    """The hashes of the different shingles, sorted."""
-    return np.unique(np.frombuffer(shingle_digests(text, words), ">u8").astype(np.uint64))
-
-
-def signature(base: np.ndarray) -> np.ndarray:
-    """The bits of HASHES fingerprints of a set of shingles, each by a hash of its own."""
-    ones = np.zeros(HASHES * BITS, np.int64)
-    for i in range(0, len(base), BLOCK // HASHES):
-        x = (base[i : i + BLOCK // HASHES, None] ^ (_ODD >> np.uint64(7))) * _ODD
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(32)
-        ones += np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1).sum(axis=0, dtype=np.int64)
-    return (ones * 2 > len(base)).view(np.uint8)
-
-
-def _band_keys(bits: np.ndarray) -> list[int]:
-    return ((bits[_SAMPLED] * _PLACES).sum(axis=1) + (np.arange(BANDS) << BAND_BITS)).tolist()
-
-
-def _tiny_keys(base: np.ndarray) -> list[int]:
-    """Keys that sets of at most TINY shingles share if they are equal but for one shingle: bits of so few shingles say less."""
-    if len(base) > TINY:
-        return []
-    less = [np.delete(base, i) for i in range(len(base))] if len(base) > 1 else []
-    return [_item(x) & (1 << 62) - 1 | 1 << 62 for x in (base, *less)]
-
-
-def _pairs_apart(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of all pairs of rows of one key that are in different groups. group: sorted by key, then group; columns
-    key, group. In a key only the rows outside its largest group are compared with the rest."""
-    n = len(group)
-    edge = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(axis=1)]))
-    size = np.diff(np.append(edge, n))
-    key_edge = np.flatnonzero(np.concatenate([[True], group[1:, 0] != group[:-1, 0]]))
-    key_of = np.searchsorted(key_edge, edge, "right") - 1
-    end = np.append(key_edge[1:], n)
-    largest = np.zeros(len(edge), bool)
-    order = np.lexsort((-size, key_of))
-    largest[order[np.concatenate([[True], key_of[order][1:] != key_of[order][:-1]])]] = True
-    left = np.flatnonzero(np.repeat(~largest, size))
-    row_key = np.repeat(key_of, size)[left]
-    lo, wide = key_edge[row_key], end[row_key] - key_edge[row_key]
-    at = np.concatenate([[0], np.cumsum(wide)])
-    first = 0
-    while first < len(left):
-        last = max(first + 1, int(np.searchsorted(at, at[first] + PAIRS, "right")) - 1)
-        w = wide[first:last]
-        a = np.repeat(left[first:last], w)
-        b = np.arange(len(a)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(lo[first:last], w)
-        apart = group[a, 1] != group[b, 1]
-        yield a[apart], b[apart]
-        first = last
-
-
-def _candidates(keyed: DataFrame, star: bool, batch_rows: int = 200_000) -> DataFrame:
-    """keyed (key, group, item, s0, s1) -> pairs (a, b), a > b: different items of one key that few enough bits tell apart. With
-    star only those of each key's first item, else all those between different groups."""
-
-    def pairs(rows: np.ndarray) -> pa.RecordBatch:
-        rows = rows[:, np.lexsort((rows[2], rows[1], rows[0]))]
-        key, group, item = rows[:3]
-        bits = rows[3:5].view(np.uint64)
-        if star:
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            size = np.diff(np.append(first, len(key)))
-            found = [(np.repeat(first, size), np.arange(len(key)))]
-        else:
-            found = _pairs_apart(np.stack([key, group], 1))
-        kept = [np.zeros((0, 2), np.int64)]
-        for a, b in found:
-            near = np.bitwise_count(bits[:, a] ^ bits[:, b]).sum(axis=0) <= NEAR_BITS
-            near = (near | (key[a] >= 1 << 62)) & (item[a] != item[b])
-            a, b = item[a[near]], item[b[near]]
-            kept.append(np.stack([np.maximum(a, b), np.minimum(a, b)], 1))
-        out = np.unique(np.concatenate(kept), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in batches:
-            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
-            if sum(x.shape[1] for x in held) >= batch_rows:
-                rows = np.concatenate(held, axis=1)
-                whole = int(np.searchsorted(rows[0], rows[0][-1]))  # the last key may go on
-                if whole:
-                    yield pairs(rows[:, :whole])
-                held = [rows[:, whole:]]
-        if held and (rows := np.concatenate(held, axis=1)).shape[1]:
-            yield pairs(rows)
+    """The 64-bit hashes of a text's different shingles, sorted. A-Z count as a-z; a shorter text is one shingle."""
+    found = text.lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    return np.unique(run_hashes(word_hashes(found), min(words, len(found))))
 
-    dealt = keyed.select("key", "group", "item", "s0", "s1").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(of, "a long, b long").distinct()
 
+def sketch(base: np.ndarray) -> tuple[int, int, np.ndarray]:
+    """A set's number (the XXH64 of its hashes), its SimHash fingerprint, and a key for each band."""
+    ones, least = np.zeros(BITS, np.int64), np.full(len(_ODD), (1 << 64) - 1, np.uint64)
+    for i in range(0, len(base), 4096):
+        part = base[i : i + 4096]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        np.minimum(least, (part[None, :] * _ODD[:, None]).min(axis=1), out=least)
+    fingerprint = np.packbits(ones * 2 > len(base)).view(np.int64)[0]
+    keys = mixed((mixed(least.reshape(BANDS, BAND_SIZE)) * _BAND_ODD).sum(axis=1, dtype=np.uint64))
+    return int(np.uint64(xxhash.xxh64_intdigest(base.tobytes(), SEED)).astype(np.int64)), int(fingerprint), keys.view(np.int64)
 
-def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of items whose sets of shingles have the similarity, exactly. Sets are made of the texts in
-    pairs only."""
 
+def _sketches(texts: DataFrame, words: int) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), words) for t in batch.column(1).cast(pa.binary())]
-            items = pa.array([_item(x) for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([items, pa.array([x.tobytes() for x in sets], pa.binary())], ["item", "shingles"])
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                kept.append(both + 1e-9 >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-    pairs = materialised(pairs)
-    named = pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct()
-    ids = classes.join(named, "item", "left_semi").select(F.col("first_id").alias("doc_id")).distinct()
-    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(of, "item long, shingles binary")
-    sets = materialised(sets.dropDuplicates(["item"]))
-    side = lambda name: sets.select(F.col("item").alias(name), F.col("shingles").alias(f"shingles_{name}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "shingles_a", "shingles_b")
-    return materialised(joined.mapInArrow(alike, "a long, b long"))
+            found = [sketch(shingle_set(t.as_py(), words)) for t in batch.column(1).cast(pa.binary())]
+            keys = np.concatenate([x[2] for x in found]) if found else np.zeros(0, np.int64)
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS), pa.array(keys))
+            columns = [batch.column(0), *(pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)), listed]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item", "fp", "keys"])
+
+    return texts.mapInArrow(of, "doc_id long, item long, fp long, keys array<long>")
+
+
+def _bucket_pairs(batches: Iterator[pa.RecordBatch], batch_rows: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """(key, item, fp), by key -> (a, b): each bucket's trie is joined with itself, within NEAR_BITS. Buckets of up to FEW items give
+    their pairs; larger ones give each item that has met another, as a pair with itself."""
+
+    def near(rows: np.ndarray) -> pa.RecordBatch:
+        rows = np.unique(rows.T[:, [0, 2, 1]], axis=0).T  # key, fp, item
+        order = np.lexsort((rows[1].view(np.uint64), rows[0]))
+        key, fp, item = rows[0][order], rows[1][order].view(np.uint64), rows[2][order]
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        ends = np.append(edge[1:], len(key))
+        few = np.repeat(ends - edge <= FEW, ends - edge)
+        node = np.stack([edge, ends, edge, ends, np.full(len(edge), NEAR_BITS)], 1)[ends - edge > 1]
+        found = [np.zeros((0, 2), np.int64)]
+        for x, y in trie_links(fp, node, BITS) if len(node) else []:
+            a, b = np.maximum(item[x], item[y]), np.minimum(item[x], item[y])
+            found.append(np.stack([a, b], 1)[few[x]])
+            met = np.unique(np.concatenate([a[~few[x]], b[~few[x]]]))
+            found.append(np.stack([met, met], 1))
+        out = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
 
+    held: list[np.ndarray] = []
+    for batch in batches:
+        held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
+        if sum(x.shape[1] for x in held) >= batch_rows:
+            rows = np.concatenate(held, axis=1)
+            whole = int(np.searchsorted(rows[0], rows[0][-1]))  # the last bucket may go on
+            if whole:
+                yield near(rows[:, :whole])
+            held = [rows[:, whole:]]
+    if held and (rows := np.concatenate(held, axis=1)).shape[1]:
+        yield near(rows)
 
-def _item(base: np.ndarray) -> int:
-    """The number of a set of shingles: its XXH64, as a signed integer."""
-    return int(np.uint64(xxhash.xxh64_intdigest(base.tobytes(), SEED)).astype(np.int64))
 
+def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) to test, and the items that are to be joined."""
+    banded = rows.select(F.explode("keys").alias("key"), "item", "fp")
+    met = materialised(banded.groupBy("key").agg(F.min("item").alias("lo"), F.max("item").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n"))
+    small = banded.join(met.where(F.col("n") <= BUCKET_ROWS).select("key"), "key", "left_semi").select("key", "item", "fp")
+    large = banded.join(met.where(F.col("n") > BUCKET_ROWS).select("key"), "key", "left_semi").select("item")
+    found = materialised(small.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_pairs, "a long, b long").distinct())
+    return found.where("a <> b"), found.where("a = b").select(F.col("a").alias("item")).unionByName(large).distinct()
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, keep_id) of the rows that a near-duplicate with a smaller id stands for.
 
-    Texts are linked if the Jaccard similarity of their sets of shingles is `similarity` or more; groups are the components
-    of these links. Bits only find the pairs to test: texts that agree in a band, a sample of their signature's bits, are
-    candidates, and each candidate pair is decided by its sets before any component is formed. Pairs that the first
-    bands' stars have already joined by verified links are not tested again, so a text with many copies costs no pair of
-    each two of them. Rows with a null id, or without words, have no near-duplicates; further columns are ignored; an
-    empty table gives an empty result.
-    """
+def _sets(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(item, n, shingles) of the documents named: a row for each different set."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items, keys, s0, s1 = [], [], [], []
             for text in batch.column(1).cast(pa.binary()):
                 base = shingle_set(text.as_py(), words)
-                bits = signature(base)
-                items.append(_item(base))
-                keys.append(_band_keys(bits) + _tiny_keys(base))
-                packed = np.packbits(bits[:128]).view(np.int64)
-                s0.append(int(packed[0]))
-                s1.append(int(packed[1]))
-            columns = [batch.column(0), pa.array(items, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(s0, pa.int64()), pa.array(s1, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item", "keys", "s0", "s1"])
+                shingles = pa.ListArray.from_arrays(pa.array([0, len(base)], pa.int32()), pa.array(base.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([sketch(base)[0]], pa.int64()), pa.array([len(base)], pa.int32()), shingles], ["item", "n", "shingles"])
+
+    named = ids.count()
+    wanted = texts.join(F.broadcast(ids) if named <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    sets = materialised(wanted.mapInArrow(of, "item long, n int, shingles array<long>"))
+    # One document stands for each set; only where rows share an id are there more.
+    return sets if sets.count() == named else materialised(sets.dropDuplicates(["item"]))
+
+
+def _shared_shingles(sets: DataFrame, similarity: float) -> DataFrame:
+    """(item, n, shared, prefix): those of each set's shingles that another set has as well, rare ones first, and how many of them, from
+    the first on, two sets must have one of in common if they are similar enough."""
+    held = sets.select("item", "n", F.explode("shingles").alias("s"))
+    often = held.groupBy("s").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    shared = held.join(often, "s").groupBy("item", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "s")))["s"].alias("shared"))
+    prefix = F.size("shared") - F.ceil(F.col("n") * similarity - 1e-9) + 1
+    return materialised(shared.withColumn("prefix", prefix.cast("int")).where("prefix > 0"))
+
+
+def _may_be_similar(a: str, b: str, similarity: float) -> Column:
+    """Whether two sets of sizes n have enough shingles left, from the one they were met at on, to be similar if it is the first
+    that they have in common. Similar sets pass at their first one; so others needn't."""
+    least = (F.col(f"n{a}") + F.col(f"n{b}")) * (similarity / (1 + similarity)) - 1e-9
+    return (F.least(f"left{a}", f"left{b}") >= least) & (F.col(f"item{a}") != F.col(f"item{b}"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, tokens: str, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of items whose sets have the similarity, exactly. tokens: the column of what a set may have in common."""
+    side = lambda name: sets.select(F.col("item").alias(name), F.col("n").alias(f"n{name}"), F.col(tokens).alias(f"tokens{name}"))
+    both = F.size(F.array_intersect("tokensa", "tokensb"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", both.alias("both"), "na", "nb")
+    return materialised(joined.where(F.col("both") + 1e-9 >= similarity * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"))
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
+
+
+def _similar(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between items that connect just those which pairs of at least the similarity connect.
+
+    Similar sets share one of their first `prefix` shingles, rare ones first. Of each shingle's sets the one with the least of
+    its own is tested against all others; then those in different components are, but for pairs inside the shingle's
+    largest, each at the first shingle that it shares."""
+    first = F.slice("shared", F.lit(1), F.col("prefix"))
+    spread = sets.select("item", "n", F.size("shared").alias("m"), first.alias("head"), F.posexplode(first).alias("at", "s"))
+    keyed = spread.select("item", "n", (F.col("n") - F.col("m")).alias("own"), (F.col("m") - F.col("at")).alias("left"), "head", "s")
+    pivots = keyed.groupBy("s").agg(F.min(F.struct("own", "item", "n", "left")).alias("p"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    pivots = pivots.select("s", *[F.col(f"p.{c}").alias(f"{c}p") for c in ("item", "n", "left")])
+    star = keyed.drop("head").join(pivots, "s").where(_may_be_similar("", "p", similarity)).select(*_pair("item", "itemp")).distinct()
+    sure = _verified(star, sets, "shared", similarity)
+    roots = components(sure)
+    grouped = keyed.join(roots, keyed["item"] == roots["node"], "left").withColumn("group", F.coalesce("root", "item")).select("s", "item", "n", "left", "head", "group")
+    of_group = grouped.groupBy("s", "group").agg(F.count(F.lit(1)).alias("c"))
+    largest = of_group.groupBy("s").agg(F.max(F.struct("c", "group"))["group"].alias("largest"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select("s", "largest")
+    outside = grouped.join(largest, "s").where("group <> largest").select("s", *[F.col(c).alias(f"{c}o") for c in ("item", "n", "left", "head", "group")])
+    apart = (F.col("group") != F.col("groupo")) & _may_be_similar("", "o", similarity) & (F.array_intersect("head", "heado")[0] == F.col("s"))
+    pairs = grouped.join(outside, "s").where(apart).select(*_pair("item", "itemo")).distinct()
+    return sure.unionByName(_verified(pairs, sets, "shared", similarity))
+
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, keep_id) of the rows that a near-duplicate with a smaller id stands for.
+
+    Texts are linked if the Jaccard similarity of their sets of shingles is `similarity` or more; groups are the components
+    of these links. Texts that share a band of minima are in one bucket, whose trie of SimHash fingerprints is joined with
+    itself: who meets nobody there has no near-duplicate. The pairs of small buckets are tested as they are, the sets of
+    larger ones are joined exactly, through their rarest shingles; each link is a pair whose similarity was computed. Texts
+    with the same set are one item. Rows with a null
+    id, or without words, have no near-duplicates; further columns are ignored; an empty table gives an empty result.
+    """
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").rlike(WORD))
-    rows = materialised(texts.mapInArrow(of, "doc_id long, item long, keys array<long>, s0 long, s1 long"))
-    first_ids = rows.groupBy("item").agg(F.min("doc_id").alias("first_id"))
-    classes = materialised(rows.dropDuplicates(["item"]).drop("doc_id").join(first_ids, "item"))
-    early = classes.select("item", F.col("item").alias("group"), F.explode(F.slice("keys", 1, FIRST_BANDS)).alias("key"), "s0", "s1")
-    sure = _verified(_candidates(early, True), texts, classes, words, similarity)
-    roots = components(sure)
-    grouped = classes.join(roots, classes["item"] == roots["node"], "left").withColumn("group", F.coalesce("root", "item"))
-    keyed = grouped.select("item", "group", F.explode("keys").alias("key"), "s0", "s1")
-    sure = sure.unionByName(_verified(_candidates(keyed, False), texts, classes, words, similarity))
-    roots = components(sure)
+    rows = materialised(_sketches(texts, words))
+    classes = materialised(rows.groupBy("item").agg(F.min("doc_id").alias("first_id")))
+    pairs, wide = _candidates(rows)
+    wide = materialised(wide)
+    named = pairs.select(F.explode(F.array("a", "b")).alias("item")).unionByName(wide).distinct()
+    ids = materialised(classes.join(named, "item", "left_semi").select(F.col("first_id").alias("doc_id")).distinct())
+    sets = _sets(texts, ids, words)
+    joined = _shared_shingles(sets.join(wide, "item", "left_semi"), similarity)
+    links = _verified(pairs, sets, "shingles", similarity).unionByName(_similar(joined, similarity))
+    roots = components(links)
     rooted = classes.join(roots, classes["item"] == roots["node"], "left").select("item", "first_id", F.coalesce("root", "item").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("keep_id"))
     kept = materialised(rooted.join(least, "root").select("item", "keep_id"))
@@ -394,7 +395,9 @@ BROADCAST_IDS = 1_000_000
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs that near_duplicates doesn't name, with all their columns."""
-    gone = materialised(near_duplicates(docs, id_col, text_col, words, similarity).select(F.col("doc_id").alias("__gone")).distinct())
+    """The rows of docs that near_duplicates doesn't name, with all their columns, whatever their names. Rows with a null id, null or
+    empty text stay; rows that share an id go together; an empty table stays empty."""
+    name = unused(docs, "__gone")
+    gone = materialised(near_duplicates(docs, id_col, text_col, words, similarity).select(F.col("doc_id").alias(name)).distinct())
     small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    return docs.join(F.broadcast(gone) if small else gone, docs[id_col].cast("long") == gone[name], "left_anti")

@@ -30,55 +30,20 @@ from pyspark.sql import functions as F
 
 from tessera.llm.automaton import SuffixAutomaton
 from tessera.llm.common import fresh_path, materialised, release
+from tessera.llm.hashes import run_hashes, word_hashes
 
 #: A spot is 20 bits of a hash of the text (where ids repeat, they tell their rows apart), the first word, and the windows.
 _MARK, _FIRST, _RUN = 20, 35, 8
-_RATE = np.uint64(0x9E3779B97F4A7C15)
 #: Words hashed at once.
 _BLOCK = 1 << 18
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads their bits."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_BYTE = _mixed(np.arange(1, 257, dtype=np.uint64) * _RATE)
-_powers = np.ones(1, np.uint64)
-
-
-def _power(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        _powers = np.cumprod(np.concatenate([[1], np.full(2 * n, _RATE)]).astype(np.uint64), dtype=np.uint64)
-    return _powers
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each word, by sums over all the words' bytes at once."""
-    out = np.empty(len(words), np.uint64)
-    for i in range(0, len(words), _BLOCK):
-        part = words[i : i + _BLOCK]
-        sizes = np.fromiter(map(len, part), np.int64, len(part))
-        starts = np.cumsum(sizes) - sizes
-        letters = np.frombuffer(b"".join(part), np.uint8)
-        place = np.arange(len(letters)) - np.repeat(starts, sizes)
-        out[i : i + _BLOCK] = np.add.reduceat(_BYTE[letters] * _power(int(sizes.max()))[place], starts)
-    return _mixed(out)
-
-
 def passages(words: list[bytes], window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, first window, windows) of each maximal run of windows that share the place of their minimizer."""
     n = len(words) - window + 1
     if n <= 0:
         return (np.zeros(0, np.int64),) * 3
-    hashed = word_hashes(words)
-    grams = np.zeros(len(words) - gram + 1, np.uint64)
-    for k in range(gram):
-        grams = grams * _RATE + hashed[k : k + len(grams)]
-    grams = _mixed(grams)
+    grams = run_hashes(word_hashes(words), gram)
     span = window - gram + 1
     best = np.empty(n, np.int64)
     for i in range(0, n, _BLOCK):
