@@ -19,43 +19,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import small_batches
-from tessera.llm.tokenize import END_ID, groups, terms_of, tokenizer
+from tessera.llm.tokenize import END_ID, groups, ranges, terms_of, tokenizer  # noqa: F401
 
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
 
 
 class Bm25Index:
-    """An inverted index over documents given as arrays of term numbers (hashes: only their equality counts)."""
+    """An inverted index over documents given as arrays of term numbers (hashes: only their equality counts).
+
+    Terms that many documents hold are rows of a matrix instead of lists; the scores are the same."""
 
     def __init__(self, terms: list[np.ndarray]):
         self.n = len(terms)
         counted = [np.unique(t, return_counts=True) for t in terms]
-        self.of = [c[0] for c in counted]
-        term = np.concatenate([c[0] for c in counted]) if terms else np.zeros(0, np.int64)
-        doc = np.repeat(np.arange(self.n), [len(c[0]) for c in counted])
+        term = np.concatenate([c[0] for c in counted]) if terms else np.zeros(0, np.int32)
+        doc = np.repeat(np.arange(self.n, dtype=np.int32), [len(c[0]) for c in counted])
         tf = np.concatenate([c[1] for c in counted]) if terms else np.zeros(0)
         order = np.argsort(term, kind="stable")
         term, self.doc, tf = term[order], doc[order], tf[order]
-        first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
-        self.terms, self.begins = term[first], np.append(first, len(term))
+        edge = np.concatenate([[True], term[1:] != term[:-1]]) if len(term) else np.zeros(0, bool)
+        self.begins = np.append(np.flatnonzero(edge), len(term))
         df = np.diff(self.begins)
         idf = np.log(1 + (self.n - df + 0.5) / (df + 0.5))
         length = np.array([len(t) for t in terms], float)
         norm = K1 * (1 - B + B * length / max(1.0, length.mean() if self.n else 1.0))
         self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])
-        self.shared = df > 1  # a term of one document finds nothing else
+        # Each document's terms, but for those that find nothing else, as places in the index.
+        place = np.empty(len(term), np.int64)
+        place[order] = np.cumsum(edge) - 1
+        ends = np.cumsum([len(c[0]) for c in counted])
+        common = df > max(8, self.n // 3)
+        row = np.cumsum(common) - 1
+        self.matrix = np.zeros((int(common.sum()), self.n))
+        often = np.repeat(common, df)
+        self.matrix[np.repeat(row, df)[often], self.doc[often]] = self.weight[often]
+        own = np.split(place, ends[:-1]) if self.n else []
+        self.common = [row[x[common[x]]] for x in own]
+        self.rare = [x[(df[x] > 1) & ~common[x]] for x in own]
+
+    def forget(self, used: np.ndarray) -> None:
+        """Takes the documents marked as used out of the lists; their scores mean nothing from now on."""
+        kept = ~used[self.doc]
+        self.begins = np.concatenate([[0], np.cumsum(kept)])[self.begins]
+        self.doc, self.weight = self.doc[kept], self.weight[kept]
 
     def scores(self, doc: int) -> np.ndarray:
         """The BM25 score of every document for the terms of doc."""
-        at = np.searchsorted(self.terms, self.of[doc])
-        at = at[self.shared[at]]
-        sizes = self.begins[at + 1] - self.begins[at]
-        total = int(sizes.sum())
-        if not total:
-            return np.zeros(self.n)
-        posting = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes - self.begins[at], sizes)
-        return np.bincount(self.doc[posting], self.weight[posting], self.n).round(9)
+        at = self.rare[doc]
+        posting = ranges(self.begins[at], self.begins[at + 1] - self.begins[at])
+        score = np.bincount(self.doc[posting], self.weight[posting], self.n)
+        own = np.zeros(len(self.matrix))
+        own[self.common[doc]] = 1
+        return (score + own @ self.matrix).round(9)
 
 
 class Packer:
@@ -91,11 +107,22 @@ class Packer:
         self.open, self.used = [], 0
 
 
+def _best_first(score: np.ndarray, many: int = 64) -> Iterator[int]:
+    """The places of positive scores, highest first, then by place; few of them are asked for as a rule."""
+    found = np.flatnonzero(score > 0)
+    least = 0.0 if len(found) <= many else np.partition(score[found], len(found) - many)[len(found) - many]
+    for part in (found[score[found] >= least], found[score[found] < least]):
+        yield from part[np.argsort(-score[part], kind="stable")].tolist()
+
+
 def _fill(packer: Packer, index: Bm25Index, ids: list, lengths: list[int], base: int) -> Iterator[list]:
     """Packs the documents base, base + 1, ... of a shard. Copies of an id don't share a window while others are left."""
     unused = np.ones(index.n, bool)
-    turn, seed = 0, -1
+    turn, seed, listed = 0, -1, index.n
     while True:
+        if 4 * (left := int(np.count_nonzero(unused))) < 3 * listed:
+            index.forget(~unused)
+            listed = left
         if packer.used == 0 or seed < 0:
             while turn < index.n and not unused[turn]:
                 turn += 1
@@ -107,11 +134,9 @@ def _fill(packer: Packer, index: Bm25Index, ids: list, lengths: list[int], base:
             if packer.used == 0:
                 continue
         score = np.where(unused, index.scores(seed), 0)
-        found = np.flatnonzero(score > 0)
-        found = found[np.argsort(-score[found], kind="stable")]
         number, seed = packer.number, -1
         inside = {ids[p[0] - base] for p in packer.open if p[0] >= base}
-        for d in found.tolist():
+        for d in _best_first(score):
             if ids[d] is not None and ids[d] in inside:
                 continue
             unused[d] = False
@@ -130,13 +155,15 @@ def pack(
     text_col: str = "text",
     window: int = 2048,
     shard_docs: int = 1024,
-    shard_chars: int = 16_000_000,
+    shard_chars: int = 8_000_000,
     cache_pieces: int = 1_000_000,
+    group_chars: int = 8_000_000,
 ) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each row of docs is a document of its own, repeated rows too: its ids and the end id. Null or empty text is the end id
-    alone. cache_pieces bounds what a Python worker remembers (about 250 bytes a piece). A text longer than a window fills
+    alone. cache_pieces bounds what a Python worker remembers (about 50 bytes a piece), group_chars the texts that it encodes at
+    once. A text longer than a window fills
     windows by itself. Every id lies in one piece. Further columns are ignored; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
@@ -169,7 +196,7 @@ def pack(
         id_arrow: list = []
         for batch in batches:
             id_arrow[:] = [batch.schema.field(0).type]
-            for part, texts in groups(batch, 1):
+            for part, texts in groups(batch, 1, group_chars):
                 ids, lengths, words, counts = encoder.encode_all(texts, END_ID)
                 doc_ids += part.column(0).to_pylist()
                 tokens += np.split(ids, np.cumsum(lengths)[:-1])

@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tessera.llm.hashes import column_hashes, word_hashes
+
 END_ID = 1
 _WORD = re.compile(r"\w+")
 _SPACED = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
@@ -36,7 +38,7 @@ _SIGNS = r"!-/:-@\[-`{-~"
 _PLAIN = rf"\A(?P<mark>[\x00\n]?)(?P<letters>[{_LETTERS}]+)(?P<tail>[{_SIGNS}]*)\z"
 _PLAIN_WORD = _PLAIN.replace(r"[\x00\n]?", "")
 #: Pieces whose ids are gathered at once.
-_AT_ONCE = 1 << 20
+_AT_ONCE = 1 << 16
 
 
 def _byte_letters() -> dict[int, int]:
@@ -48,13 +50,17 @@ def _byte_letters() -> dict[int, int]:
 
 _BYTE_LETTERS = _byte_letters()
 _ID = attrgetter("id")
-_SPACE = chr(_BYTE_LETTERS[32])
+#: A space and the letters of Latin-1, as such files write their bytes.
+_SPELLING = {c: "".join(chr(_BYTE_LETTERS.get(b, b)) for b in chr(c).encode()) for c in (32, *range(0xC0, 0x100))}
 
 
 def terms_of(text: str) -> np.ndarray:
-    """The hashes of a text's words, folded, whatever stands between them. They hold within one Python worker."""
-    words = _WORD.findall(text.casefold())
-    return np.fromiter(map(hash, words), np.int64, len(words))
+    """The 32-bit hashes of a text's words, folded, whatever stands between them."""
+    return _short(word_hashes([w.encode(errors="surrogatepass") for w in _WORD.findall(text.casefold())]))
+
+
+def _short(hashed: np.ndarray) -> np.ndarray:
+    return (hashed >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 #: White space that the short writing of pieces can't tell apart.
@@ -65,7 +71,10 @@ def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """begin, begin + 1, ... of each range, one range after the other."""
     ends = np.cumsum(size)
     total = int(ends[-1]) if len(ends) else 0
-    return np.repeat(begin - (ends - size), size) + np.arange(total)
+    kind = np.int32 if total < 1 << 30 and (not total or int(begin.max()) < 1 << 30) else np.int64
+    out = np.repeat((begin - (ends - size)).astype(kind), size)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 class Columns:
@@ -112,6 +121,14 @@ def _joined(found: list[bytes], kind) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(found), kind), np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(kind).itemsize
 
 
+def _merged(first: np.ndarray, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of numbers (end to end, sizes) from a where `first` is true and from b elsewhere, each in order."""
+    place = np.argsort(np.argsort(~first, kind="stable"), kind="stable")
+    size = np.concatenate([a[1], b[1]])
+    begin = np.cumsum(size) - size
+    return np.concatenate([a[0], b[0]])[ranges(begin[place], size[place])], size[place]
+
+
 class CachedTokenizer:
     """One for each Python worker. It remembers up to `room` pieces besides those of the last call; when there are more it keeps
     the last call's, so what is frequent stays."""
@@ -123,7 +140,7 @@ class CachedTokenizer:
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.kind, self.room, self.with_terms = kind, room, with_terms
-        self.ids, self.terms, self.run_ids = Columns(np.uint32), Columns(np.int64), Columns(np.uint32)
+        self.ids, self.terms, self.run_ids = Columns(np.uint32), Columns(np.int32), Columns(np.uint32)
         self.pieces, self.runs = Known(self.ids, self.terms), Known(self.run_ids)
 
     def split(self, text: str) -> str | list[str] | None:
@@ -144,13 +161,14 @@ class CachedTokenizer:
             return piece
         return piece[1:] if piece[:1] == "\0" else piece if piece[:1] == "\n" else " " + piece
 
-    def _run(self, letters: str) -> bytes:
-        """The ids of one letter run, by the library's model: it is a single pre-token."""
-        if letters.isascii():
-            spelled = letters.replace(" ", _SPACE)
-        else:
-            spelled = letters.encode().decode("latin-1").translate(_BYTE_LETTERS)
-        return array("I", map(_ID, self.model.tokenize(spelled))).tobytes()
+    def _runs(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of letter runs, by the library's model: each is a single pre-token."""
+        ids, sizes, model, space = array("I"), array("q"), self.model.tokenize, _SPELLING[32]
+        for letters in fresh:
+            found = model(letters.replace(" ", space) if letters.isascii() else letters.translate(_SPELLING))
+            ids.extend(map(_ID, found))
+            sizes.append(len(found))
+        return np.frombuffer(ids, np.uint32), np.frombuffer(sizes, np.int64)
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -166,7 +184,7 @@ class CachedTokenizer:
             letters = pc.if_else(pc.equal(mark, ""), pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), letters, pa.scalar("", pa.large_string())), letters)
         named, signs = letters.dictionary_encode(), tail.dictionary_encode()
         at, fresh = self.runs.places(named.dictionary)
-        self.run_ids.add(*_joined(list(map(self._run, fresh.to_pylist())), np.uint32))
+        self.run_ids.add(*self._runs(fresh.to_pylist()))
         sign_ids, sign_size = self._batch(signs.dictionary.to_pylist())
         line = np.frombuffer(self._whole("\n"), np.uint32)
         # Three ranges a piece in one array: line ends, runs, signs.
@@ -180,16 +198,22 @@ class CachedTokenizer:
         return every[ranges(begin.ravel(), size.ravel())], size.sum(axis=1)
 
     def _learn(self, fresh: pa.Array) -> None:
-        """Adds the ids of pieces, in order."""
+        """Adds the ids of pieces, in order, and their terms."""
         found = pc.extract_regex(fresh, _PLAIN_WORD if self.kind == "words" else _PLAIN)
         plain = found.is_valid()
         mark, letters, tail = (pc.struct_field(found.filter(plain), k) for k in ("mark", "letters", "tail"))
-        ids, size = self._plain_ids(mark, letters, tail)
-        other_ids, other_size = self._batch([self._spelled(p) for p in fresh.filter(pc.invert(plain)).to_pylist()])
-        place = np.argsort(np.argsort(~plain.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
-        size = np.concatenate([size, other_size])
-        begin = np.cumsum(size) - size
-        self.ids.add(np.concatenate([ids, other_ids])[ranges(begin[place], size[place])], size[place])
+        others = [self._spelled(p) for p in fresh.filter(pc.invert(plain)).to_pylist()]
+        plain = plain.to_numpy(zero_copy_only=False)
+        self.ids.add(*_merged(plain, self._plain_ids(mark, letters, tail), self._batch(others)))
+        if not self.with_terms:
+            self.terms.add(np.zeros(0, np.int32), np.zeros(len(fresh), np.int64))
+            return
+        # A letter run is one word, but for underscores behind it; all but one of its letters fold to one letter.
+        more = pc.or_(pc.match_substring(tail, "_"), pc.match_substring(letters, "\xdf"))
+        one = _short(column_hashes(pc.utf8_lower(letters.filter(pc.invert(more)))))
+        less = _joined([terms_of(a + b).tobytes() for a, b in zip(letters.filter(more).to_pylist(), tail.filter(more).to_pylist())], np.int32)
+        of_plain = _merged(~more.to_numpy(zero_copy_only=False), (one, np.ones(len(one), np.int64)), less)
+        self.terms.add(*_merged(plain, of_plain, _joined([terms_of(p).tobytes() for p in others], np.int32)))
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray | None]]:
         """Each text's ids, and its terms."""
@@ -233,10 +257,10 @@ class CachedTokenizer:
 
         places, fresh = self.pieces.places(pieces)
         self._learn(fresh)
-        self.terms.add(*_joined([terms_of(p).tobytes() for p in fresh.to_pylist()] if self.with_terms else [b""] * len(fresh), np.int64))
         ids, lengths = spread(self.ids, places, [self._whole(texts[i]) for i in whole], end_id)
         terms, counts = spread(self.terms, places, [terms_of(texts[i]).tobytes() for i in whole], None) if self.with_terms else (None, None)
         self.pieces.bound(self.room, places)
+        pa.default_memory_pool().release_unused()
         return ids, lengths, terms, counts
 
 
