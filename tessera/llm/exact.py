@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, materialised
+from tessera.llm.common import ascii_lower, materialised, unused
 
 
 def _normalised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -65,20 +65,23 @@ BROADCAST_KEYS = 500_000
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns; of repeated rows one."""
-    key = lambda i, d: F.concat(d, F.coalesce(i.cast("string"), F.lit("null")).cast("binary"))
+    """The rows of docs that exact_dedup keeps, with all their columns, whatever their names. Of repeated rows (same id, equal text)
+    the one stays whose columns, written as JSON, come first. Null text counts as empty; an empty table stays empty."""
+    key_of = lambda i, d: F.concat(d, F.coalesce(i.cast("string"), F.lit("null")).cast("binary"))
     rows = _rows(docs.select(id_col, text_col), id_col, text_col, salts)
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    other = materialised(rows.where(~stays | (F.col("repeats") > 1)).select(key(F.col("doc_id"), F.col("digest")).alias("__key"), stays.alias("__stays")))
-    small = other.count() <= BROADCAST_KEYS
-    hint = F.broadcast if small else (lambda df: df)
+    key = unused(docs, "__key")
+    other = rows.where(~stays | (F.col("repeats") > 1)).select(key_of(F.col("doc_id"), F.col("digest")).alias(key), stays.alias("stays"))
+    other = materialised(other)
+    hint = F.broadcast if other.count() <= BROADCAST_KEYS else (lambda df: df)
     digest = F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 256))
-    mine = docs.withColumn("__key", key(F.col(id_col), digest))
-    single = mine.join(hint(other.select("__key")), "__key", "left_anti")
-    if not other.where("__stays").head(1):
-        return single.drop("__key")
-    repeated = mine.join(hint(other.where("__stays").select("__key")), "__key", "left_semi").dropDuplicates(["__key"])
-    return single.unionByName(repeated).drop("__key")
+    mine = docs.withColumn(key, key_of(F.col(id_col), digest))
+    single = mine.join(hint(other.select(key)), key, "left_anti").drop(key)
+    if not other.where("stays").head(1):
+        return single
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    repeated = mine.join(hint(other.where("stays").select(key)), key, "left_semi").groupBy(key).agg(F.min_by(whole, F.to_json(whole)).alias("row"))
+    return single.unionByName(repeated.select("row.*"))
 
 
 ORACLE = """
