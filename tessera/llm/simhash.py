@@ -288,7 +288,10 @@ def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = materialised(banded.groupBy("key").agg(F.min("item").alias("lo"), F.max("item").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n"))
     small = banded.join(met.where(F.col("n") <= BUCKET_ROWS).select("key"), "key", "left_semi").select("key", "item", "fp")
     large = banded.join(met.where(F.col("n") > BUCKET_ROWS).select("key"), "key", "left_semi").select("item")
-    found = materialised(small.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_pairs, "a long, b long").distinct())
+    # Dealt by a hash of the key: Spark drops a repartition by the join's own key, and may then make the join a broadcast, which
+    # leaves a key's rows where they were.
+    dealt = small.repartition(F.xxhash64("key")).sortWithinPartitions("key")
+    found = materialised(dealt.mapInArrow(_bucket_pairs, "a long, b long").distinct())
     return found.where("a <> b"), found.where("a = b").select(F.col("a").alias("item")).unionByName(large).distinct()
 
 
