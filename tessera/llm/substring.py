@@ -14,8 +14,9 @@ So shards are made such that a passage can only match inside one of them, and ea
    the window's length, and then adds the passage to the reference.
 4. Spans are brought back to their documents.
 
-Keys are hashes, matches are not: only equal words count. A key that more than `hot_rows` passages share is replaced by a
-hash of each whole window, so that an automaton holds few different passages however common a phrase is.
+Keys are hashes, matches are not: only equal words count. The passages of a key that more than `hot_rows` share don't go to
+one task: they fall into whole windows, Spark's partial aggregation finds the first document of each window, and every
+later one loses it by a join. So an automaton meets `hot_rows` passages at most, however common a phrase is.
 """
 
 from __future__ import annotations
@@ -72,13 +73,14 @@ def _keyed(docs: DataFrame, window: int, gram: int, marked: bool) -> DataFrame:
     return docs.where("doc_id IS NOT NULL AND text <> ''").mapInArrow(keyed, "key long, doc_id long, spot long")
 
 
-def _cut(window: int, marked: bool):
-    """(text, doc_id, found) -> the passages found, with their words; hot ones window by window. A passage that a document
+def _cut(window: int, marked: bool, hot: bool):
+    """(text, doc_id, found) -> the passages found, with their words; only hot ones, window by window, or only others. A passage that a document
     repeats is one row: `more` holds the first words of the repeats, as 64-bit integers."""
+    split = hot
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "doc_id", "spot", "more", "passage"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
 
         def rows(out: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
@@ -92,7 +94,7 @@ def _cut(window: int, marked: bool):
                 places: dict[tuple[int, bytes], list[int]] = {}
                 found = batch.column(2)[i].values
                 for spot, key, hot in zip(*(found.field(k).to_pylist() for k in range(3))):
-                    if spot >> (_FIRST + _RUN) != mark:
+                    if hot != split or spot >> (_FIRST + _RUN) != mark:
                         continue
                     first, run = spot >> _RUN & ((1 << _FIRST) - 1), spot & ((1 << _RUN) - 1)
                     for at, n in ((first + k, 1) for k in range(run)) if hot else ((first, run),):
@@ -100,9 +102,8 @@ def _cut(window: int, marked: bool):
                         own = xxhash.xxh64_intdigest(passage) - (1 << 63) if hot else key
                         places.setdefault((own, passage), []).append(at)
                 for (key, passage), at in places.items():
-                    more = np.array(at[1:], np.int64).tobytes() if len(at) > 1 else None
-                    out.append((key, doc_id, mark << (_FIRST + _RUN) | at[0] << _RUN, more, passage))
-                    size += len(passage)
+                    out.append((key, doc_id, mark << (_FIRST + _RUN) | at[0] << _RUN, at[1:] or None, passage))
+                    size += len(passage) + 8 * len(at)
                 if size > 8_000_000:
                     yield rows(out)
                     out, size = [], 0
@@ -146,6 +147,9 @@ class _Shard:
 def _matched(window: int):
     """Passages by key and id -> (doc_id, spot of the passage, first word, last word + 1)."""
 
+    def spans(out: tuple[list, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "mark", "start", "stop"])
+
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, shard, doc, fresh = None, _Shard(), None, []
         for batch in batches:
@@ -159,13 +163,16 @@ def _matched(window: int):
                     doc, fresh = doc_id, []
                 if shard.known:
                     first = spot >> _RUN & ((1 << _FIRST) - 1)
-                    firsts = [first, *np.frombuffer(more, np.int64).tolist()] if more else [first]
+                    firsts = [first, *more] if more else [first]
                     for start, end in shard.spans(passage, window):
                         for f in firsts:
                             for x, v in zip(out, (doc_id, spot >> (_FIRST + _RUN), f + start, f + end)):
                                 x.append(v)
                 fresh.append(passage)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "mark", "start", "stop"])
+                if len(out[0]) > 100_000:
+                    yield spans(out)
+                    out = ([], [], [], [])
+            yield spans(out)
 
     return matched
 
@@ -190,8 +197,26 @@ def _removed(batches: Iterator[pa.RecordBatch], marked: bool) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept"])
 
 
+#: Hot windows that are broadcast at most (about 150 bytes each); beyond it Spark joins them by shuffling.
+BROADCAST_WINDOWS = 100_000
+
+
+def _hot_spans(with_found: DataFrame, window: int, marked: bool, columns: str) -> DataFrame:
+    """(doc_id, mark, start, stop) of the windows of hot keys that an earlier document has."""
+    path = fresh_path(with_found.sparkSession, "hot-windows")
+    with_found.where(F.exists("found", lambda x: x["hot"])).mapInArrow(_cut(window, marked, True), columns).write.parquet(path)
+    windows = with_found.sparkSession.read.parquet(path)
+    first = windows.groupBy("passage").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
+    first = materialised(first)
+    later = windows.join(F.broadcast(first) if first.count() <= BROADCAST_WINDOWS else first, "passage").where("doc_id > first_id")
+    at = F.shiftrightunsigned("spot", _RUN).bitwiseAND(F.lit((1 << _FIRST) - 1))
+    firsts = F.explode(F.concat(F.array(at), F.coalesce("more", F.array().cast("array<long>"))))
+    mark = F.shiftright("spot", _FIRST + _RUN)
+    return later.select("doc_id", mark.alias("mark"), firsts.alias("start")).select("doc_id", "mark", "start", (F.col("start") + window).alias("stop"))
+
+
 def drop_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, gram: int = 6, hot_rows: int = 20_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, gram: int = 6, hot_rows: int = 2_000
 ) -> DataFrame:
     """One row for each row of docs: doc_id (long), n_words, n_removed, kept (the words that stay, joined by one space).
 
@@ -214,9 +239,13 @@ def drop_repeats(
     release(spark)
     # Both joins are left joins of the same rows by id, so that the texts are dealt once.
     with_found = rows.join(found.withColumnRenamed("doc_id", "found_id"), F.col("doc_id") == F.col("found_id"), "left")
-    cut = with_found.select("doc_id", "text", "found").mapInArrow(_cut(window, marked), "key long, doc_id long, spot long, more binary, passage binary")
-    dealt = cut.repartition("key").sortWithinPartitions("key", "doc_id")
+    with_found = with_found.select("doc_id", "text", "found")
+    columns = "key long, doc_id long, spot long, more array<long>, passage binary"
+    cold = with_found.mapInArrow(_cut(window, marked, False), columns)
+    dealt = cold.repartition("key").sortWithinPartitions("key", "doc_id")
     spans = dealt.mapInArrow(_matched(window), "doc_id long, mark long, start long, stop long")
+    if shared.where("hot").head(1):
+        spans = spans.unionByName(_hot_spans(with_found, window, marked, columns))
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("mark", "start", "stop")).alias("spans"))
     with_spans = rows.join(spans.withColumnRenamed("doc_id", "span_id"), F.col("doc_id") == F.col("span_id"), "left")
     return with_spans.select("doc_id", "text", "spans").mapInArrow(lambda b: _removed(b, marked), "doc_id long, n_words long, n_removed long, kept string")
