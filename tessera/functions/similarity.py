@@ -1,4 +1,5 @@
-"""String similarities. Levenshtein is Spark's own; the others are Arrow UDFs over whole columns."""
+"""String similarities. Levenshtein is Spark's own and jaccard is made of its functions; the others are Arrow UDFs over columns: give
+them different pairs only."""
 
 from __future__ import annotations
 
@@ -60,11 +61,6 @@ def _damerau(a: str, b: str) -> int:
     return grid[-1][-1]
 
 
-def _jaccard(a: str, b: str) -> float:
-    x, y = set(a), set(b)
-    return len(x & y) / len(x | y) if x | y else 0.0
-
-
 def _over_columns(name: str, kind: str, one):
     def of(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else one(x, y) for x, y in zip(a, b)])
@@ -80,4 +76,10 @@ def _over_columns(name: str, kind: str, one):
 jaro = _over_columns("jaro", "double", _jaro)
 jaro_winkler = _over_columns("jaro_winkler", "double", _jaro_winkler)
 damerau_levenshtein = _over_columns("damerau_levenshtein", "int", _damerau)
-jaccard = _over_columns("jaccard", "double", _jaccard)
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Shared letters over all letters of two texts; 0 if neither has any, null if either is null."""
+    letters = lambda t: F.array_remove(F.array_distinct(F.split(t, "")), "")
+    both, all_letters = F.size(F.array_intersect(letters(a), letters(b))), F.size(F.array_union(letters(a), letters(b)))
+    return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(F.try_divide(both.cast("double"), all_letters.cast("double")), F.lit(0.0)))
