@@ -446,3 +446,20 @@ def test_token_files_and_packing_of_very_long_texts(spark):
     assert [f[1:] for f in found[1:]] == [(2, len(ids), zlib.crc32(ids.tobytes()))] * 2
     rows = [(1, text), (1, text), (None, text[:50_000])]
     packed_right(rows, packing.pack(frame(spark, rows), tokenizer_path("byte_bpe_50k.json")).collect())
+
+
+def test_near_duplicates_meet_however_spark_joins(spark):
+    """A bucket's rows must be in one task even where Spark makes the join before it a broadcast."""
+    rng = np.random.default_rng(21)
+    rows = []
+    for i in range(1500):
+        own = [f"w{x}" for x in rng.integers(10**7, size=60)]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join([*own[:-2], "new", "end"]))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        gone = {(r.keep_id, r.doc_id) for r in simhash.near_duplicates(frame(spark, rows).repartition(12)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    true = {(2 * i, 2 * i + 1) for i in range(1500)}
+    assert gone <= true and len(gone) >= 0.99 * len(true)
