@@ -15,8 +15,9 @@ So shards are made such that a passage can only match inside one of them, and ea
 4. Spans are brought back to their documents.
 
 Keys are hashes, matches are not: only equal words count. The passages of a key that more than `hot_rows` share don't go to
-one task: they fall into whole windows, Spark's partial aggregation finds the first document of each window, and every
-later one loses it by a join. So an automaton meets `hot_rows` passages at most, however common a phrase is.
+one task: Spark's partial aggregation finds the first document of each passage, and every later one loses the passage by a
+join; of the different passages, a row each, the windows are compared in the same way. So an automaton meets `hot_rows`
+passages at most, however common a phrase is.
 """
 
 from __future__ import annotations
@@ -74,9 +75,9 @@ def _keyed(docs: DataFrame, window: int, gram: int, marked: bool) -> DataFrame:
 
 
 def _cut(window: int, marked: bool, hot: bool):
-    """(text, doc_id, found) -> the passages found, with their words; only hot ones, window by window, or only others. A passage that a document
+    """(text, doc_id, found) -> the passages found, with their words; only hot ones or only others. A passage that a document
     repeats is one row: `more` holds the first words of the repeats, as 64-bit integers."""
-    split = hot
+    wanted = hot
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "doc_id", "spot", "more", "passage"]
@@ -94,15 +95,13 @@ def _cut(window: int, marked: bool, hot: bool):
                 places: dict[tuple[int, bytes], list[int]] = {}
                 found = batch.column(2)[i].values
                 for spot, key, hot in zip(*(found.field(k).to_pylist() for k in range(3))):
-                    if hot != split or spot >> (_FIRST + _RUN) != mark:
+                    if hot != wanted or spot >> (_FIRST + _RUN) != mark:
                         continue
                     first, run = spot >> _RUN & ((1 << _FIRST) - 1), spot & ((1 << _RUN) - 1)
-                    for at, n in ((first + k, 1) for k in range(run)) if hot else ((first, run),):
-                        passage = b" ".join(words[at : at + n + window - 1])
-                        own = xxhash.xxh64_intdigest(passage) - (1 << 63) if hot else key
-                        places.setdefault((own, passage), []).append(at)
+                    passage = b" ".join(words[first : first + run + window - 1])
+                    places.setdefault((key, passage), []).append(first)
                 for (key, passage), at in places.items():
-                    out.append((key, doc_id, mark << (_FIRST + _RUN) | at[0] << _RUN, at[1:] or None, passage))
+                    out.append((key, doc_id, mark << (_FIRST + _RUN) | at[0] << _RUN | passage.count(b" ") + 2 - window, at[1:] or None, passage))
                     size += len(passage) + 8 * len(at)
                 if size > 8_000_000:
                     yield rows(out)
@@ -197,22 +196,29 @@ def _removed(batches: Iterator[pa.RecordBatch], marked: bool) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept"])
 
 
-#: Hot windows that are broadcast at most (about 150 bytes each); beyond it Spark joins them by shuffling.
-BROADCAST_WINDOWS = 100_000
+#: Hot passages that are broadcast at most (about 150 bytes each); beyond it Spark joins them by shuffling.
+BROADCAST_PASSAGES = 100_000
 
 
 def _hot_spans(with_found: DataFrame, window: int, marked: bool, columns: str) -> DataFrame:
     """(doc_id, mark, start, stop) of the windows of hot keys that an earlier document has."""
-    path = fresh_path(with_found.sparkSession, "hot-windows")
+    path = fresh_path(with_found.sparkSession, "hot-passages")
     with_found.where(F.exists("found", lambda x: x["hot"])).mapInArrow(_cut(window, marked, True), columns).write.parquet(path)
-    windows = with_found.sparkSession.read.parquet(path)
-    first = windows.groupBy("passage").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
-    first = materialised(first)
-    later = windows.join(F.broadcast(first) if first.count() <= BROADCAST_WINDOWS else first, "passage").where("doc_id > first_id")
+    rows = with_found.sparkSession.read.parquet(path)
+    first = materialised(rows.groupBy("key", "passage").agg(F.min("doc_id").alias("first_id")))
+    held = rows.join(F.broadcast(first) if first.count() <= BROADCAST_PASSAGES else first, ["key", "passage"])
     at = F.shiftrightunsigned("spot", _RUN).bitwiseAND(F.lit((1 << _FIRST) - 1))
-    firsts = F.explode(F.concat(F.array(at), F.coalesce("more", F.array().cast("array<long>"))))
-    mark = F.shiftright("spot", _FIRST + _RUN)
-    return later.select("doc_id", mark.alias("mark"), firsts.alias("start")).select("doc_id", "mark", "start", (F.col("start") + window).alias("stop"))
+    starts = F.concat(F.array(at), F.coalesce("more", F.array().cast("array<long>")))
+    mark, run = F.shiftright("spot", _FIRST + _RUN).alias("mark"), F.col("spot").bitwiseAND(F.lit((1 << _RUN) - 1))
+    later = held.where("doc_id > first_id").select("doc_id", mark, F.explode(starts).alias("start"), run.alias("run"))
+    later = later.select("doc_id", "mark", "start", (F.col("start") + F.col("run") + (window - 1)).alias("stop"))
+    words = F.split(F.col("passage").cast("string"), " ")
+    windows = F.transform(F.sequence(F.lit(1), run.cast("int")), lambda i: F.array_join(F.slice(words, i, window), " "))
+    own = held.where("doc_id = first_id").select("doc_id", mark, starts.alias("starts"), F.posexplode(windows).alias("place", "words"))
+    shared = own.groupBy("words").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
+    seen = own.join(shared, "words").where("doc_id > first_id").select("doc_id", "mark", "place", F.explode("starts").alias("at"))
+    start = F.col("at") + F.col("place")
+    return later.unionByName(seen.select("doc_id", "mark", start.alias("start"), (start + window).alias("stop")))
 
 
 def drop_repeats(
