@@ -24,7 +24,7 @@ _powers = np.ones(1, np.uint64)
 def _power(n: int) -> np.ndarray:
     global _powers
     if len(_powers) < n:
-        _powers = np.cumprod(np.concatenate([[1], np.full(2 * n, _RATE)]).astype(np.uint64), dtype=np.uint64)
+        _powers = np.cumprod(np.append(np.ones(1, np.uint64), np.full(2 * n, _RATE)), dtype=np.uint64)
     return _powers
 
 

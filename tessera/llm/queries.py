@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, exact, lines, mixing, packing, simhash, substring, token_files, topk, toxicity
+from tessera.llm import chat, codes, collocation, exact, lines, mixing, packing, sharding, simhash, substring, token_files, topk, toxicity
 from tessera.llm.common import fresh_path, table
 
 
@@ -56,5 +56,17 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), "bytes")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat, op3_substring, op4_token_files, op5_mixing, op6_toxicity, op7_exact_dedup, op8_top_k, op9_simhash, op10_packing)}
-ORACLE_SQL = {"op1_line_dedup": lines.ORACLE, "op2_chat": chat.ORACLE, "op5_mixing": mixing.ORACLE, "op7_exact_dedup": exact.ORACLE, "op8_top_k": topk.ORACLE}
+def op11_vector_codes(spark, sf_dir):
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_sharding(spark, sf_dir):
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark, sf_dir):
+    return collocation.phrases(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat, op3_substring, op4_token_files, op5_mixing, op6_toxicity, op7_exact_dedup, op8_top_k, op9_simhash, op10_packing, op11_vector_codes, op12_sharding, op13_collocations)}
+ORACLE_SQL = {"op1_line_dedup": lines.ORACLE, "op2_chat": chat.ORACLE, "op5_mixing": mixing.ORACLE, "op7_exact_dedup": exact.ORACLE, "op8_top_k": topk.ORACLE, "op11_vector_codes": codes.ORACLE, "op12_sharding": sharding.ORACLE, "op13_collocations": collocation.ORACLE}
