@@ -30,11 +30,15 @@ def _power(n: int) -> np.ndarray:
 
 def _hashes(letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     place = np.arange(len(letters)) - np.repeat(starts, sizes)
-    return mixed(np.add.reduceat(_BYTE[letters] * _power(int(sizes.max()))[place], starts))
+    out = np.zeros(len(starts), np.uint64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        out[some] = np.add.reduceat(_BYTE[letters] * _power(int(sizes.max()))[place], starts[some])
+    return mixed(out)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each word (none is empty), by sums over all the words' bytes at once."""
+    """A 64-bit hash of each word, by sums over all the words' bytes at once."""
     out = np.empty(len(words), np.uint64)
     for i in range(0, len(words), _BLOCK):
         part = words[i : i + _BLOCK]

@@ -54,9 +54,15 @@ _ID = attrgetter("id")
 _SPELLING = {c: "".join(chr(_BYTE_LETTERS.get(b, b)) for b in chr(c).encode()) for c in (32, *range(0xC0, 0x100))}
 
 
+def terms_of_all(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit hashes of the texts' words, folded, whatever stands between them, end to end, and how many are each text's."""
+    found = [_WORD.findall(t.casefold()) for t in texts]
+    return _short(word_hashes([w.encode(errors="surrogatepass") for x in found for w in x])), np.fromiter(map(len, found), np.int64, len(found))
+
+
 def terms_of(text: str) -> np.ndarray:
-    """The 32-bit hashes of a text's words, folded, whatever stands between them."""
-    return _short(word_hashes([w.encode(errors="surrogatepass") for w in _WORD.findall(text.casefold())]))
+    """One text's."""
+    return terms_of_all([text])[0]
 
 
 def _short(hashed: np.ndarray) -> np.ndarray:
@@ -77,35 +83,80 @@ def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
+class Store:
+    """A growing array of numbers, in a buffer that doubles."""
+
+    def __init__(self, kind) -> None:
+        self.buffer, self.n = np.zeros(1024, kind), 0
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.buffer[: self.n]
+
+    def before(self, *more: np.ndarray) -> np.ndarray:
+        """The numbers with others behind them, which don't stay."""
+        upto = self.n
+        for x in more:
+            if upto + len(x) > len(self.buffer):
+                self.buffer = np.concatenate([self.buffer[:upto], np.zeros(max(upto, len(x)) + len(x), self.buffer.dtype)])
+            self.buffer[upto : upto + len(x)] = x
+            upto += len(x)
+        return self.buffer[:upto]
+
+    def add(self, values: np.ndarray) -> None:
+        self.n = len(self.before(values))
+
+    def become(self, values: np.ndarray) -> None:
+        self.buffer, self.n = values.copy(), len(values)
+
+
 class Columns:
     """Runs of numbers, by place, held as columns and not as objects: end to end in one array."""
 
     def __init__(self, kind) -> None:
-        self.values = np.zeros(0, kind)
-        self.begin = self.size = np.zeros(0, np.int64)
+        self.numbers, self._begin, self._size = Store(kind), Store(np.int64), Store(np.int64)
+
+    values = property(lambda self: self.numbers.values)
+    begin = property(lambda self: self._begin.values)
+    size = property(lambda self: self._size.values)
 
     def add(self, values: np.ndarray, size: np.ndarray) -> None:
-        self.begin = np.concatenate([self.begin, len(self.values) + np.cumsum(size) - size])
-        self.values, self.size = np.concatenate([self.values, values]), np.concatenate([self.size, size])
+        self._begin.add(self.numbers.n + np.cumsum(size) - size)
+        self.numbers.add(values)
+        self._size.add(size)
 
     def keep(self, places: np.ndarray) -> None:
         size = self.size[places]
-        self.values = self.values[ranges(self.begin[places], size)]
-        self.begin, self.size = np.cumsum(size) - size, size
+        self.numbers.become(self.values[ranges(self.begin[places], size)])
+        self._begin.become(np.cumsum(size) - size)
+        self._size.become(size)
 
 
 class Known:
-    """Texts and the places of their numbers in some columns."""
+    """Texts and the places of their numbers in some columns. Their 64-bit hashes are kept in order, so what a look-up costs
+    follows what is looked up; texts are compared where hashes meet."""
 
     def __init__(self, *columns: Columns) -> None:
         self.keys, self.columns = pa.array([], pa.large_string()), columns
+        self.hashes, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def places(self, keys: pa.Array) -> tuple[np.ndarray, pa.Array]:
         """The places of different keys, and those of them that have no numbers yet. These come behind the others, in order."""
-        found = pc.fill_null(pc.index_in(keys, value_set=self.keys), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        lacking = found < 0
-        fresh = keys.filter(pa.array(lacking))
-        found[lacking] = len(self.keys) + np.arange(len(fresh))
+        hashed = column_hashes(keys)
+        order = np.argsort(hashed)
+        below = np.empty(len(keys), np.int64)
+        below[order] = np.searchsorted(self.hashes, hashed[order])
+        met = np.flatnonzero(below < len(self.hashes))
+        met = met[self.hashes[below[met]] == hashed[met]]
+        found = np.full(len(keys), -1, np.int64)
+        there = self.at[below[met]]
+        same = pc.equal(self.keys.take(pa.array(there)), keys.take(pa.array(met))).to_numpy(zero_copy_only=False)
+        found[met[same]] = there[same]
+        lacking = order[found[order] < 0]
+        new = np.sort(lacking)
+        fresh = keys.take(pa.array(new))
+        found[new] = len(self.keys) + np.arange(len(new))
+        self.hashes, self.at = np.insert(self.hashes, below[lacking], hashed[lacking]), np.insert(self.at, below[lacking], found[lacking])
         self.keys = pa.concat_arrays([self.keys, fresh])
         return found, fresh
 
@@ -113,6 +164,9 @@ class Known:
         """If there are more than room, only places stay."""
         if len(self.keys) > room:
             self.keys = self.keys.take(pa.array(places))
+            hashed = column_hashes(self.keys)
+            self.at = np.argsort(hashed)
+            self.hashes = hashed[self.at]
             for c in self.columns:
                 c.keep(places)
 
@@ -187,15 +241,16 @@ class CachedTokenizer:
         self.run_ids.add(*self._runs(fresh.to_pylist()))
         sign_ids, sign_size = self._batch(signs.dictionary.to_pylist())
         line = np.frombuffer(self._whole("\n"), np.uint32)
-        # Three ranges a piece in one array: line ends, runs, signs.
-        every = np.concatenate([line, self.run_ids.values, sign_ids])
+        # Three ranges a piece in one array of runs, line ends and signs.
+        every, known = self.run_ids.numbers.before(line, sign_ids), self.run_ids.numbers.n
         run, sign = at[named.indices.to_numpy()], signs.indices.to_numpy()
         has_line = pc.equal(mark, "\n").to_numpy(zero_copy_only=False)
-        sign_begin = len(line) + len(self.run_ids.values) + np.cumsum(sign_size) - sign_size
-        begin = np.stack([np.zeros(len(run), np.int64), len(line) + self.run_ids.begin[run], sign_begin[sign]], 1)
+        sign_begin = known + len(line) + np.cumsum(sign_size) - sign_size
+        begin = np.stack([np.full(len(run), known, np.int64), self.run_ids.begin[run], sign_begin[sign]], 1)
         size = np.stack([np.where(has_line, len(line), 0), self.run_ids.size[run], sign_size[sign]], 1)
+        ids = every[ranges(begin.ravel(), size.ravel())]
         self.runs.bound(self.room, at)
-        return every[ranges(begin.ravel(), size.ravel())], size.sum(axis=1)
+        return ids, size.sum(axis=1)
 
     def _learn(self, fresh: pa.Array) -> None:
         """Adds the ids of pieces, in order, and their terms."""
@@ -211,9 +266,9 @@ class CachedTokenizer:
         # A letter run is one word, but for underscores behind it; all but one of its letters fold to one letter.
         more = pc.or_(pc.match_substring(tail, "_"), pc.match_substring(letters, "\xdf"))
         one = _short(column_hashes(pc.utf8_lower(letters.filter(pc.invert(more)))))
-        less = _joined([terms_of(a + b).tobytes() for a, b in zip(letters.filter(more).to_pylist(), tail.filter(more).to_pylist())], np.int32)
+        less = terms_of_all([a + b for a, b in zip(letters.filter(more).to_pylist(), tail.filter(more).to_pylist())])
         of_plain = _merged(~more.to_numpy(zero_copy_only=False), (one, np.ones(len(one), np.int64)), less)
-        self.terms.add(*_merged(plain, of_plain, _joined([terms_of(p).tobytes() for p in others], np.int32)))
+        self.terms.add(*_merged(plain, of_plain, terms_of_all(others)))
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray | None]]:
         """Each text's ids, and its terms."""
@@ -237,11 +292,11 @@ class CachedTokenizer:
         del split, lists, named
         order = np.argsort(np.array(even + odd + whole, np.int64), kind="stable")
 
-        def spread(store: Columns, places: np.ndarray, of_whole: list[bytes], end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        def spread(store: Columns, places: np.ndarray, of_whole: tuple[np.ndarray, np.ndarray], end: int | None) -> tuple[np.ndarray, np.ndarray]:
             """The numbers of all texts: those of the store, then of texts encoded whole, then the end, as ranges of one array."""
-            own, own_size = _joined(of_whole, store.values.dtype)
-            every = np.concatenate([store.values, own, np.array([] if end is None else [end], store.values.dtype)])
-            begin = np.concatenate([store.begin[places], len(store.values) + np.cumsum(own_size) - own_size, [len(every) - 1]])
+            own, own_size = of_whole
+            every = store.numbers.before(own, np.array([] if end is None else [end], own.dtype))
+            begin = np.concatenate([store.begin[places], store.numbers.n + np.cumsum(own_size) - own_size, [len(every) - 1]])
             size = np.concatenate([store.size[places], own_size, [1]])
             at = np.concatenate([index, len(places) + np.arange(len(whole), dtype=index.dtype)])
             upto = np.cumsum(pieces_of)
@@ -257,8 +312,8 @@ class CachedTokenizer:
 
         places, fresh = self.pieces.places(pieces)
         self._learn(fresh)
-        ids, lengths = spread(self.ids, places, [self._whole(texts[i]) for i in whole], end_id)
-        terms, counts = spread(self.terms, places, [terms_of(texts[i]).tobytes() for i in whole], None) if self.with_terms else (None, None)
+        ids, lengths = spread(self.ids, places, _joined([self._whole(texts[i]) for i in whole], np.uint32), end_id)
+        terms, counts = spread(self.terms, places, terms_of_all([texts[i] for i in whole]), None) if self.with_terms else (None, None)
         self.pieces.bound(self.room, places)
         pa.default_memory_pool().release_unused()
         return ids, lengths, terms, counts
