@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.fixpoint import ancestors_of
+
 
 def _month(as_of: str) -> Column:
     return F.trunc(F.lit(as_of).cast("date"), "MM")
@@ -94,17 +96,12 @@ def distribution_skew(wide: DataFrame, areas: DataFrame, as_of: str, thresholds:
     return ranked.withColumn("threshold", passed).where("threshold IS NOT NULL")
 
 
-def ancestors(areas: DataFrame, max_depth: int = 3, root: tuple[int, str, str] | None = (0, "country", "portugal")) -> DataFrame:
-    """(group_id, area_id, depth): each area with itself, its ancestors, and the root. Registries have few levels; areas nested
-    deeper than max_depth fail the job instead of losing ancestors."""
-    links = areas.select(F.col("osm_id").alias("child"), F.col("parent_id").alias("parent"))
-    level = areas.select(F.col("osm_id").alias("group_id"), F.col("osm_id").alias("area_id"), F.lit(0).alias("depth"))
-    out = level
-    for depth in range(1, max_depth + 2):
-        level = level.join(links, level.area_id == links.child).where("parent IS NOT NULL").select("group_id", F.col("parent").alias("area_id"), F.lit(depth).alias("depth"))
-        if depth > max_depth:
-            level = level.withColumn("depth", F.raise_error(F.lit(f"areas are nested deeper than {max_depth} levels")).cast("int"))
-        out = out.unionByName(level)
+def ancestors(areas: DataFrame, max_depth: int | None = None, root: tuple[int, str, str] | None = (0, "country", "portugal")) -> DataFrame:
+    """(group_id, area_id, depth): each area with itself, its ancestors, and the root. Areas that lie in each other are each other's
+    ancestors. Where max_depth is given, areas nested deeper are an error, at once and not when rows are read."""
+    own = areas.select(F.col("osm_id").alias("group_id"), F.col("osm_id").alias("area_id"), F.lit(0).alias("depth"))
+    above = ancestors_of(areas.select(F.col("osm_id").alias("child"), F.col("parent_id").alias("parent")), max_depth)
+    out = own.unionByName(above.select(F.col("node").alias("group_id"), F.col("ancestor").alias("area_id"), "depth"))
     if root:
         out = out.unionByName(areas.select(F.col("osm_id").alias("group_id"), F.lit(root[0]).cast("long").alias("area_id"), F.lit(99).alias("depth")))
     return out

@@ -5,10 +5,14 @@ A polygon is a list of rings, a ring a list of (x, y), outer ring first; holes f
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import capitalize, slugify
+from tessera.operators.rings import clipped, nested, outline
 
 
 def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -71,24 +75,105 @@ def within_distance(left: DataFrame, right: DataFrame, limit: float, x: str = "x
     return joined.withColumn("distance", gap).where(F.col("distance") <= limit).drop("__cx", "__cy", "__px", "__py", "__dx", "__dy")
 
 
-def split_grid(polygons: DataFrame, id_col: str, polygon_col: str, n: int) -> DataFrame:
-    """The parts of each polygon's bounds on an n x n grid that lie in it or on its border: id, cell_x, cell_y, x0, y0, x1, y1,
-    inside (all four corners are in). For rectangles these are their parts exactly."""
-    b = bounds(F.col(polygon_col))
-    axis = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    cells = polygons.select(F.col(id_col).alias("id"), F.col(polygon_col).alias("p"), b.alias("b")).withColumn("cell_x", axis).withColumn("cell_y", axis)
-    at = lambda lo, hi, k: F.col(lo) + (F.col(hi) - F.col(lo)) * k / float(n)
-    cells = cells.select(
-        "id", "p", "cell_x", "cell_y",
-        at("b.x0", "b.x1", F.col("cell_x")).alias("x0"), at("b.y0", "b.y1", F.col("cell_y")).alias("y0"),
-        at("b.x0", "b.x1", F.col("cell_x") + 1).alias("x1"), at("b.y0", "b.y1", F.col("cell_y") + 1).alias("y1"),
-    )
-    middle = contains(F.col("p"), (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2)
-    eps = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * 1e-6
-    corners = [contains(F.col("p"), eps(*cx), eps(*cy)) for cx in (("x0", "x1"), ("x1", "x0")) for cy in (("y0", "y1"), ("y1", "y0"))]
-    inside = corners[0] & corners[1] & corners[2] & corners[3]
-    touched = middle | corners[0] | corners[1] | corners[2] | corners[3]
-    return cells.where(touched).select("id", "cell_x", "cell_y", "x0", "y0", "x1", "y1", inside.alias("inside"))
+def directed_edges(polygons: DataFrame, id_col: str, polygon_col: str) -> DataFrame:
+    """(id, ax, ay, bx, by): each edge of each polygon with the inside on its left, whatever the direction of its rings."""
+    rings = polygons.select(F.col(id_col).alias("id"), F.posexplode(polygon_col).alias("k", "ring"))
+    edges = _edges(F.col("ring"))
+    area = F.aggregate(edges, F.lit(0.0), lambda s, e: s + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])
+    turned = F.when((area > 0) == (F.col("k") == 0), edges).otherwise(F.transform(edges, lambda e: F.struct(e["b"].alias("a"), e["a"].alias("b"))))
+    one = rings.select("id", F.explode(turned).alias("e")).select("id", *[F.col(f"e.{p}.{c}").alias(f"{p}{c}") for p in "ab" for c in "xy"])
+    return one.where("ax <> bx OR ay <> by")
+
+
+def grid_cells(edges: DataFrame, grids: DataFrame, n: int) -> DataFrame:
+    """directed_edges() and grids (id, x0, y0, x1, y1: bounds) -> the n x n cells of each grid that its polygon touches: id, cell_x,
+    cell_y, x0, y0, x1, y1, corner_in, edges (null in cells that lie inside whole).
+
+    A cell's edges are those whose bounds touch it; no shape is copied to cells. Whether a cell's lower left corner is inside is
+    the parity of the edges right of it on the line through it, which all cells of a row share.
+    """
+    at = lambda axis, k: F.col(f"g{axis}0") + (F.col(f"g{axis}1") - F.col(f"g{axis}0")) * k / float(n)
+    grid = grids.select("id", *[F.col(c).alias(f"g{c}") for c in ("x0", "y0", "x1", "y1")])
+    known = edges.join(grid, "id")
+    # A first guess of the cells between two places, one wider on each side; lines' places, by one formula each time, decide.
+    place = lambda axis, v: F.floor((v - F.col(f"g{axis}0")) / (F.col(f"g{axis}1") - F.col(f"g{axis}0")) * n).cast("int")
+    low, high = (lambda axis: F.least(f"a{axis}", f"b{axis}")), (lambda axis: F.greatest(f"a{axis}", f"b{axis}"))
+    first, last = (lambda axis: F.greatest(place(axis, low(axis)) - 1, F.lit(0))), (lambda axis: F.least(place(axis, high(axis)) + 1, F.lit(n - 1)))
+    near = lambda axis: F.when(first(axis) <= last(axis), F.sequence(first(axis), last(axis)))
+    touches = lambda axis: (at(axis, F.col(f"cell_{axis}")) <= high(axis)) & (at(axis, F.col(f"cell_{axis}") + 1) >= low(axis))
+    edge = F.struct("ax", "ay", "bx", "by")
+    of_cells = known.withColumn("cell_x", F.explode(near("x"))).withColumn("cell_y", F.explode(near("y"))).where(touches("x") & touches("y")).groupBy("id", "cell_x", "cell_y").agg(F.collect_list(edge).alias("edges"))
+    crossing = known.withColumn("cell_y", F.explode(near("y"))).where((F.col("ay") > at("y", F.col("cell_y"))) != (F.col("by") > at("y", F.col("cell_y"))))
+    crossing = crossing.select("id", "cell_y", ((F.col("bx") - F.col("ax")) * (at("y", F.col("cell_y")) - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax")).alias("cut"))
+    rows = crossing.groupBy("id", "cell_y").agg(F.collect_list("cut").alias("cuts"))
+    corners = rows.join(grid, "id").withColumn("cell_x", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    corners = corners.select("id", "cell_x", "cell_y", (F.size(F.filter("cuts", lambda c: c > at("x", F.col("cell_x")))) % 2 == 1).alias("corner_in")).where("corner_in")
+    cells = of_cells.join(corners, ["id", "cell_x", "cell_y"], "full").join(grid, "id")
+    box = [at("x", F.col("cell_x")).alias("x0"), at("y", F.col("cell_y")).alias("y0"), at("x", F.col("cell_x") + 1).alias("x1"), at("y", F.col("cell_y") + 1).alias("y1")]
+    return cells.select("id", "cell_x", "cell_y", *box, F.coalesce("corner_in", F.lit(False)).alias("corner_in"), "edges")
+
+
+def ring_area(ring: Column) -> Column:
+    """Positive if the ring runs counter-clockwise."""
+    return F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + (e["a"]["x"] - ring[0]["x"]) * (e["b"]["y"] - ring[0]["y"]) - (e["b"]["x"] - ring[0]["x"]) * (e["a"]["y"] - ring[0]["y"])) / 2
+
+
+def n_points(polygons: Column) -> Column:
+    """Points of all rings, each with its first point at the end again."""
+    return F.aggregate(F.flatten(polygons), F.lit(0), lambda s, ring: s + F.size(ring) + 1)
+
+
+_PARTS = "array<array<array<struct<x: double, y: double>>>>"
+
+
+def split_grid(polygons: DataFrame, id_col: str, polygon_col: str, n: int, whole: DataFrame | None = None) -> DataFrame:
+    """The parts of each polygon in the n x n cells of its bounds, or of the bounds `whole` (id, x0, y0, x1, y1): id, cell_x, cell_y, x0, y0,
+    x1, y1, inside (the cell lies in the polygon), parts (polygons), n_points, area.
+
+    Cells that no edge touches are taken as they are. In the others the edges that touch them are cut at the cell's borders and
+    closed along those stretches of them that are inside. Holes may be there; rings must not cross. Parts without area are left out.
+    """
+    grids = whole if whole is not None else polygons.select(F.col(id_col).alias("id"), bounds(F.col(polygon_col)).alias("b")).select("id", "b.*")
+    cells = grid_cells(directed_edges(polygons, id_col, polygon_col), grids, n)
+    point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    box = F.array(F.array(F.array(point("x0", "y0"), point("x1", "y0"), point("x1", "y1"), point("x0", "y1"))))
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = []
+            for r in rows.itertuples():
+                edges = [((e["ax"], e["ay"]), (e["bx"], e["by"])) for e in r.edges]
+                found.append([[[{"x": x, "y": y} for x, y in ring] for ring in polygon] for polygon in nested(clipped((r.x0, r.y0, r.x1, r.y1), r.corner_in, edges))])
+            yield rows.drop(columns=["edges", "corner_in"]).assign(parts=pd.Series(found, dtype=object, index=rows.index))
+
+    kind = dict(cells.dtypes)["id"]
+    cut = cells.where("edges IS NOT NULL").mapInPandas(parts, f"id {kind}, cell_x int, cell_y int, x0 double, y0 double, x1 double, y1 double, parts {_PARTS}").where(F.size("parts") > 0)
+    plain = cells.where("edges IS NULL").select("id", "cell_x", "cell_y", "x0", "y0", "x1", "y1", box.alias("parts"))
+    area = F.aggregate(F.flatten("parts"), F.lit(0.0), lambda s, ring: s + ring_area(ring))
+    both = cut.unionByName(plain).withColumn("n_points", n_points(F.col("parts"))).withColumn("area", area)
+    full = (F.col("n_points") == 5) & (F.abs(F.col("area") - (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))) <= 1e-12 * F.col("area"))
+    return both.select("id", "cell_x", "cell_y", "x0", "y0", "x1", "y1", full.alias("inside"), "parts", "n_points", "area")
+
+
+def coverage_union(polygons: DataFrame, id_col: str, polygon_col: str, by: list[str]) -> DataFrame:
+    """The union of the polygons of each key in `by`: by, polygons. They must not overlap, and share corners where they share borders.
+
+    An edge that two polygons of a key have, in opposite directions as the inside is on its left, lies within the union; one
+    aggregation finds the edges that are left, and only those of a key's outline meet in one task.
+    """
+    keys = polygons.select(F.col(id_col).alias("id"), *by).distinct()
+    edges = directed_edges(polygons, id_col, polygon_col).join(keys, "id")
+    ahead = (F.col("ax") < F.col("bx")) | ((F.col("ax") == F.col("bx")) & (F.col("ay") < F.col("by")))
+    ends = [F.when(ahead, F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("ax", "bx", "ax"), ("ay", "by", "ay"), ("bx", "ax", "bx"), ("by", "ay", "by"))]
+    left = edges.select(*by, *ends, F.when(ahead, 1).otherwise(-1).alias("way")).groupBy(*by, "ax", "ay", "bx", "by").agg(F.sum("way").alias("way")).where("way <> 0")
+
+    def traced(group: pd.DataFrame) -> pd.DataFrame:
+        edges = [((r.ax, r.ay), (r.bx, r.by)) if r.way > 0 else ((r.bx, r.by), (r.ax, r.ay)) for r in group.itertuples()]
+        found = [[[{"x": x, "y": y} for x, y in ring] for ring in polygon] for polygon in nested(outline(edges))]
+        return pd.DataFrame([(*(group[c].iloc[0] for c in by), found)], columns=[*by, "polygons"])
+
+    kinds = dict(polygons.dtypes)
+    return left.groupBy(*by).applyInPandas(traced, ", ".join([*(f"{c} {kinds[c]}" for c in by), f"polygons {_PARTS}"]))
 
 
 def _edges(ring: Column) -> Column:

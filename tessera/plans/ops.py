@@ -164,6 +164,58 @@ def nation_grid(spark, sf_dir):
     return spatial.split_grid(shapes, "area_id", "polygon", 4).select("id", "cell_x", "cell_y", F.round("x0", 6).alias("x0"), F.round("y1", 6).alias("y1"), "inside")
 
 
+def nation_parts(spark, sf_dir):
+    """Squares with holes, cut by a grid whose lines run through the holes."""
+    found = spatial.split_grid(nation_shapes(spark, sf_dir), "area_id", "polygon", 4)
+    return found.select("id", "cell_x", "cell_y", "inside", F.size("parts").alias("parts"), "n_points", F.round("area", 6).alias("area"))
+
+
+def shape_parts(spark, sf_dir):
+    """Concave and thin shapes on a grid of seven."""
+    found = spatial.split_grid(area_shapes(spark, sf_dir).where("osm_id < 1000"), "osm_id", "polygon", 7)
+    return found.select("id", "cell_x", "cell_y", F.round("area", 6).alias("area"))
+
+
+def _regions(spark, sf_dir):
+    """The nations' squares, without holes, by region: regions are in many pieces and have holes."""
+    n = F.col("n_nationkey")
+    x, y = (n % 5).cast("double"), F.floor(n / 5).cast("double")
+    return table(spark, sf_dir, "nation").select(n.alias("area_id"), F.col("n_regionkey").cast("long").alias("region"), F.array(_square(x, y, x + 1, y + 1)).alias("polygon"))
+
+
+def region_outlines(spark, sf_dir):
+    """Unions by region: borders that nations share are gone."""
+    union = spatial.coverage_union(_regions(spark, sf_dir), "area_id", "polygon", ["region"])
+    rings = F.flatten("polygons")
+    return union.select("region", (spatial.n_points(F.col("polygons")) - F.size(rings)).cast("long").alias("edges"), F.round(F.aggregate(rings, F.lit(0.0), lambda s, r: s + spatial.ring_area(r)), 6).alias("area"))
+
+
+def region_grid(spark, sf_dir):
+    """Regions' unions on one grid of six by six over all of them."""
+    union = spatial.coverage_union(_regions(spark, sf_dir), "area_id", "polygon", ["region"])
+    pieces = union.select("region", F.explode("polygons").alias("polygon")).withColumn("id", F.col("region"))
+    box = pieces.select(spatial.bounds(F.col("polygon")).alias("b")).agg(F.min("b.x0").alias("x0"), F.min("b.y0").alias("y0"), F.max("b.x1").alias("x1"), F.max("b.y1").alias("y1"))
+    whole = union.select(F.col("region").alias("id")).join(F.broadcast(box), F.lit(True))
+    return spatial.split_grid(pieces, "id", "polygon", 6, whole).groupBy("id", "cell_x", "cell_y").agg(F.round(F.sum("area"), 6).alias("area"))
+
+
+#: Corners of a nation's ways, and the ways: a square in two, a spur, a triangle that touches it, and a bridge to a square of its own.
+_RING_NODES = ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (1.3, 1.2), (1.25, 1.0), (1.0, 1.25), (0.4, 0.4), (0.6, 0.4), (0.6, 0.6), (0.4, 0.6))
+_RING_WAYS = ((0, 1, 2), (2, 4), (0, 3, 2), (2, 5), (6, 5), (2, 6), (7, 8, 9, 10, 7), (0, 7))
+
+
+def nation_spurs(spark, sf_dir):
+    """Rings from ways that dangle, touch and bridge: ring, corners and area."""
+    n = F.col("n_nationkey")
+    nation = table(spark, sf_dir, "nation").select(n.cast("long").alias("n"), (n % 5).cast("double").alias("x"), F.floor(n / 5).cast("double").alias("y"))
+    node = lambda k: F.col("n") * 20 + k
+    nodes = nation.select(F.inline(F.array(*[F.struct(node(k).alias("id"), (F.col("x") + a).alias("x"), (F.col("y") + b).alias("y")) for k, (a, b) in enumerate(_RING_NODES)])))
+    ways = nation.select(F.inline(F.array(*[F.struct(node(k).alias("id"), F.array(*[node(i) for i in path]).alias("nodes")) for k, path in enumerate(_RING_WAYS)])))
+    members = ways.select(F.floor(F.col("id") / 20).cast("long").alias("relation"), F.col("id").alias("way"), F.lit("outer").alias("role"))
+    rings = osm.assemble_rings(members, ways, nodes)
+    return rings.select("relation", "ring", F.size("points").alias("corners"), F.round(spatial.ring_area(F.col("points")), 6).alias("area"))
+
+
 def lost_users(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
     return analytics.lost_licences(rows, "user_id", "day")
@@ -385,6 +437,28 @@ SELECT n.osm_id::BIGINT AS osm_id, n.name, n.admin_level, n.admin_type, n.depth,
 FROM named n LEFT JOIN named p ON n.parent_id = p.osm_id LEFT JOIN named g ON p.parent_id = g.osm_id""",
     "nation_grid": f"""WITH {_SHAPES} SELECT area_id AS id, i::INTEGER AS cell_x, j::INTEGER AS cell_y, round(x + i / 4.0::DOUBLE, 6) AS x0, round(y + (j + 1) / 4.0::DOUBLE, 6) AS y1, true AS inside
 FROM shapes, range(4) a(i), range(4) b(j)""",
+    "nation_parts": f"""WITH {_SHAPES}, cell AS (SELECT area_id AS id, i::INTEGER AS cell_x, j::INTEGER AS cell_y, i / 4.0::DOUBLE AS x0, j / 4.0::DOUBLE AS y0 FROM shapes, range(4) a(i), range(4) b(j)),
+cut AS (SELECT *, greatest(least(x0 + 0.25, 0.6) - greatest(x0, 0.4), 0)::DOUBLE * greatest(least(y0 + 0.25, 0.6) - greatest(y0, 0.4), 0)::DOUBLE AS gone,
+  (SELECT count(*) FROM (VALUES (0.4), (0.6)) h(hx), (VALUES (0.4), (0.6)) v(hy) WHERE hx BETWEEN x0 AND x0 + 0.25 AND hy BETWEEN y0 AND y0 + 0.25) AS corners FROM cell)
+SELECT id, cell_x, cell_y, gone = 0 AS inside, 1 AS parts, (5 + 2 * corners)::INTEGER AS n_points, round(0.0625 - gone, 6) AS area FROM cut""",
+    "shape_parts": f"""WITH {_SHAPES}, r(first, x0, y0, x1, y1) AS (VALUES (100, 0.1, 0.1, 0.9, 0.3), (100, 0.1, 0.3, 0.3, 0.9), (100, 0.7, 0.3, 0.9, 0.9), (200, 0.35, 0.35, 0.65, 0.85),
+  (300, 0.15, 0.15, 0.85, 0.25), (300, 0.15, 0.25, 0.25, 0.85), (300, 0.75, 0.25, 0.85, 0.85), (400, 0.15, 0.8, 0.85, 0.88)),
+b AS (SELECT first, min(x0)::DOUBLE AS bx, min(y0)::DOUBLE AS bottom, (max(x1) - min(x0))::DOUBLE AS w, (max(y1) - min(y0))::DOUBLE AS h FROM r GROUP BY first),
+p AS (SELECT first, i, j, sum(greatest(least(x1, bx + w * (i + 1) / 7) - greatest(x0, bx + w * i / 7), 0) * greatest(least(y1, bottom + h * (j + 1) / 7) - greatest(y0, bottom + h * j / 7), 0)) AS area
+  FROM r JOIN b USING (first), range(7) c(i), range(7) d(j) GROUP BY ALL)
+SELECT first + area_id AS id, i::INTEGER AS cell_x, j::INTEGER AS cell_y, round(area, 6) AS area FROM p, shapes WHERE area > 1e-9""",
+    "region_outlines": """WITH s AS (SELECT n_nationkey % 5 AS x, n_nationkey // 5 AS y, n_regionkey AS region FROM nation),
+e AS (SELECT region, unnest([[x, y, x + 1, y], [x, y + 1, x + 1, y + 1], [x, y, x, y + 1], [x + 1, y, x + 1, y + 1]]) AS edge FROM s),
+left_over AS (SELECT region, edge FROM e GROUP BY ALL HAVING count(*) = 1)
+SELECT region::BIGINT AS region, count(*) AS edges, (SELECT count(*) FROM s WHERE s.region = l.region)::DOUBLE AS area FROM left_over l GROUP BY region""",
+    "region_grid": """WITH s AS (SELECT (n_nationkey % 5)::DOUBLE AS x, (n_nationkey // 5)::DOUBLE AS y, n_regionkey AS region FROM nation),
+b AS (SELECT min(x) AS bx, min(y) AS bottom, max(x) + 1 - min(x) AS w, max(y) + 1 - min(y) AS h FROM s),
+p AS (SELECT region, i, j, sum(greatest(least(x + 1, bx + w * (i + 1) / 6) - greatest(x, bx + w * i / 6), 0) * greatest(least(y + 1, bottom + h * (j + 1) / 6) - greatest(y, bottom + h * j / 6), 0)) AS area
+  FROM s, b, range(6) c(i), range(6) d(j) GROUP BY ALL)
+SELECT region::BIGINT AS id, i::INTEGER AS cell_x, j::INTEGER AS cell_y, round(area, 6) AS area FROM p WHERE area > 1e-9""",
+    "nation_spurs": f"""WITH {_SHAPES}, r(ring, corners) AS (VALUES (0, {[list(_RING_NODES[k]) for k in (0, 1, 2, 3)]}), (1, {[list(_RING_NODES[k]) for k in (2, 5, 6)]}), (2, {[list(_RING_NODES[k]) for k in (7, 8, 9, 10)]})),
+e AS (SELECT ring, len(corners) AS n, corners[i] AS a, corners[i % len(corners) + 1] AS b FROM (SELECT *, unnest(range(1, len(corners) + 1)) AS i FROM r))
+SELECT area_id::BIGINT AS relation, ring::BIGINT AS ring, n::INTEGER AS corners, round(sum(a[1] * b[2] - b[1] * a[2]) / 2, 6) AS area FROM e, shapes GROUP BY ALL""",
     "lost_users": """WITH l AS (SELECT user_id AS id, max(strftime(ts, '%Y-%m-%d')) AS last_seen FROM events GROUP BY 1), t AS (SELECT last_seen, lead(last_seen) OVER (ORDER BY last_seen) AS lost_in FROM (SELECT DISTINCT last_seen FROM l))
 SELECT id, last_seen, lost_in FROM l JOIN t USING (last_seen) WHERE lost_in IS NOT NULL""",
     "lost_users_exact": """WITH s AS (SELECT DISTINCT user_id AS id, strftime(ts, '%Y-%m-%d') AS day FROM events), t AS (SELECT day, lead(day) OVER (ORDER BY day) AS lost_in FROM (SELECT DISTINCT day FROM s))
@@ -445,7 +519,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         latest_event, first_order, nearest_supplier, shared_positions, not_in_with_null, not_in_without_null, parts_never_sold_cheap, null_safe_match, area_paths, capitalized, slugs,
-        postcodes_normalised, name_similarity, orders_in_nations, close_suppliers, hierarchy, nation_grid, lost_users, lost_users_exact, month_windows, relation_ways, page_titles, first_large_order, rich_or_near, segments_twice, seed_events, nation_rings,
+        postcodes_normalised, name_similarity, orders_in_nations, close_suppliers, hierarchy, nation_grid, nation_parts, shape_parts, region_outlines, region_grid, nation_spurs, lost_users, lost_users_exact, month_windows, relation_ways, page_titles, first_large_order, rich_or_near, segments_twice, seed_events, nation_rings,
         nation_features, nation_collections, clean_postcodes, repaired_postcodes, postcodes_to_look_up, data_checks,
     )
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.fixpoint import reached_states
+
 
 def read_csv(spark: SparkSession, path: str, schema: str, timestamp_format: str | None = None) -> DataFrame:
     """CSV files by glob, plain or gzip, with a header, quoted commas and either kind of line end. Gzip files can't be split, so
@@ -82,29 +84,21 @@ def month_windows(spark: SparkSession, start: str, end: str) -> DataFrame:
     return months.select(F.greatest("m", first).alias("window_start"), F.least(F.last_day("m"), last).alias("window_end"))
 
 
-def resolve_relations(members: DataFrame, max_depth: int = 16) -> DataFrame:
+def resolve_relations(members: DataFrame, max_depth: int | None = None) -> DataFrame:
     """members (relation, kind "w" or "r", ref, role) -> (relation, way, role): the ways of a relation and of the relations in it.
 
     A blank role is outer; `subarea` members are skipped; below a relation that isn't outer, inner and outer change places. A
-    relation inside itself is not entered again. Each round is a join of all relations, so the depth bounds the rounds;
-    relations nested deeper than max_depth are an error.
+    relation inside itself is not entered again. Where max_depth is given, relations nested deeper are an error.
     """
     plain = members.where(F.coalesce("role", F.lit("")) != "subarea").select(
         "relation", "kind", "ref", F.when(F.coalesce("role", F.lit("")) == "", "outer").otherwise(F.col("role")).alias("role")
     )
     ways = plain.where("kind = 'w'").select("relation", F.col("ref").alias("way"), "role")
-    links = plain.where("kind = 'r'").select(F.col("relation").alias("up"), F.col("ref").alias("down"), F.col("role").alias("link_role"))
-    reached = links.select(F.col("up").alias("top"), "down", F.col("link_role").alias("turn"), F.array("up", "down").alias("path")).where("top <> down")
-    out = ways
-    for _ in range(max_depth):
-        flipped = F.when((F.col("turn") != "outer") & (F.col("role") == "outer"), "inner").when((F.col("turn") != "outer") & (F.col("role") == "inner"), "outer").otherwise(F.col("role"))
-        out = out.unionByName(reached.join(ways, reached.down == ways.relation).select(F.col("top").alias("relation"), "way", flipped.alias("role")))
-        step = reached.join(links.withColumnRenamed("down", "next"), reached.down == F.col("up")).where(~F.array_contains("path", F.col("next")))
-        turned = F.when(F.col("turn") == "outer", F.col("link_role")).when(F.col("link_role") == "outer", F.lit("inner")).otherwise(F.lit("outer"))
-        reached = step.select("top", F.col("next").alias("down"), turned.alias("turn"), F.concat("path", F.array("next")).alias("path"))
-        if reached.isEmpty():
-            return out.distinct()
-    raise RuntimeError(f"relations are nested deeper than {max_depth} rounds")
+    links = plain.where("kind = 'r'").select(F.col("relation").alias("up"), F.col("ref").alias("down"), (F.col("role") != "outer").alias("turns"))
+    below = reached_states(links, max_depth)
+    other = F.when(F.col("turned") & (F.col("role") == "outer"), "inner").when(F.col("turned") & (F.col("role") == "inner"), "outer").otherwise(F.col("role"))
+    found = below.join(ways, below.node == ways.relation).select(F.col("top").alias("relation"), "way", other.alias("role"))
+    return ways.unionByName(found).distinct()
 
 
 def html_field(html, pattern: str):

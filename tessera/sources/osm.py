@@ -1,4 +1,4 @@
-"""Areas from relations, ways and nodes, as joins of three tables; the chaining of a relation's ways runs by relation."""
+"""Areas from relations, ways and nodes, as joins of three tables; the tracing of a relation's rings runs by relation."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.rings import faces
 from tessera.operators.spatial import contains_polygon
 
 
@@ -15,43 +16,22 @@ def admin_relations(relations: DataFrame, above: int = 2, upto: int = 8) -> Data
     return relations.where(level.rlike(r"\A[0-9]+\z")).withColumn("admin_level", level.try_cast("int")).where(F.col("admin_level").between(above + 1, upto))
 
 
-def _closed(ways: list[list[int]]) -> list[list[int]]:
-    """The rings that ways make, joined at their ends in either direction; what never closes is left out."""
-    rings, open_ways = [], []
-    for nodes in ways:
-        (rings if nodes[0] == nodes[-1] and len(nodes) > 3 else open_ways).append(nodes)
-    while open_ways:
-        path = open_ways.pop(0)
-        grown = True
-        while path[0] != path[-1] and grown:
-            grown = False
-            for k, other in enumerate(open_ways):
-                if path[-1] in (other[0], other[-1]):
-                    path = path + (other[1:] if other[0] == path[-1] else other[-2::-1])
-                    del open_ways[k]
-                    grown = True
-                    break
-        if path[0] == path[-1] and len(path) > 3:
-            rings.append(path)
-    return rings
-
-
 def assemble_rings(members: DataFrame, ways: DataFrame, nodes: DataFrame) -> DataFrame:
-    """members (relation, way, role), ways (id, nodes), nodes (id, x, y) -> relation, role, ring, points: each closed ring once. Ways of
-    under two nodes and ways or nodes that are missing are left out. A relation's ways meet in one task."""
+    """members (relation, way, role), ways (id, nodes), nodes (id, x, y) -> relation, role, ring, points: the ring around each face that
+    a relation's ways of one role cut out, counter-clockwise. Ways meet at their ends; spurs and bridges are cut off, and rings that
+    touch come out apart. Missing nodes are left out, and ways of under two nodes. A relation's ways meet in one task."""
 
-    def chained(group: pd.DataFrame) -> pd.DataFrame:
-        rings = _closed([list(n) for n in group.sort_values("way")["nodes"]])
+    def traced(group: pd.DataFrame) -> pd.DataFrame:
+        lines = [([p["node"] for p in w], [(p["x"], p["y"]) for p in w]) for w in group["line"]]
         first = group.iloc[0]
-        rows = [(first["relation"], first["role"], i, nodes) for i, nodes in enumerate(rings)]
-        return pd.DataFrame(rows, columns=["relation", "role", "ring", "nodes"], dtype=object)
-
-    known = members.select("relation", "way", "role").distinct().join(ways.select(F.col("id").alias("way"), "nodes"), "way").where(F.size("nodes") > 1)
-    rings = known.groupBy("relation", "role").applyInPandas(chained, "relation long, role string, ring long, nodes array<long>")
-    placed = rings.select("relation", "role", "ring", F.posexplode(F.slice("nodes", F.lit(1), F.size("nodes") - 1)).alias("at", "node"))
-    placed = placed.join(nodes.select(F.col("id").alias("node"), "x", "y"), "node")
-    points = F.transform(F.sort_array(F.collect_list(F.struct("at", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
-    return placed.groupBy("relation", "role", "ring").agg(points.alias("points"))
+        rows = [(first["relation"], first["role"], i, [{"x": x, "y": y} for x, y in at]) for i, (_, at) in enumerate(faces(lines))]
+        return pd.DataFrame(rows, columns=["relation", "role", "ring", "points"], dtype=object)
+
+    wanted = members.select("relation", "way", "role").distinct()
+    steps = ways.join(wanted.select(F.col("way").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("way"), F.posexplode("nodes").alias("at", "node"))
+    steps = steps.join(nodes.select(F.col("id").alias("node"), "x", "y"), "node")
+    lines = steps.groupBy("way").agg(F.sort_array(F.collect_list(F.struct("at", "node", "x", "y"))).alias("line")).where(F.size("line") > 1)
+    return wanted.join(lines, "way").groupBy("relation", "role").applyInPandas(traced, "relation long, role string, ring long, points array<struct<x: double, y: double>>")
 
 
 def multipolygons(rings: DataFrame) -> DataFrame:
