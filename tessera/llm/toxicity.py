@@ -7,7 +7,7 @@ function of its matches' weights, summed and divided by a power of its length in
 
 The lexicon's entries are learned from labelled documents, besides a short list of known insults: beginnings and words
 that labelled toxic documents hold far more often than others. Spark counts them; the driver receives at most
-`max_candidates` counted entries, and three numbers for each of at most `max_rows` labelled documents of each label for the
+the entries that pass the tests, and three numbers for each of at most `max_rows` labelled documents of each label for the
 logistic function and the power. Both bounds are parameters; everything else covers all documents.
 """
 
@@ -136,7 +136,7 @@ RATIO = 5
 SURE = 12.0
 
 
-def _choose(found: list, toxic: int, clean: int, max_entries: int) -> dict[str, float]:
+def _choose(found: list, toxic: int, clean: int) -> dict[str, float]:
     """Entries that tell toxic documents apart; weights are log odds. Of a beginning and its continuations the shortest that
     qualifies is taken, then lengthened as long as a longer one keeps nearly all of its matches."""
     stats, longer = {}, {}
@@ -154,8 +154,7 @@ def _choose(found: list, toxic: int, clean: int, max_entries: int) -> dict[str,
         while ends := [e for e in longer.get(best, ()) if stats[e][0] >= 0.8 * stats[best][0]]:
             best = max(ends, key=lambda e: (stats[e][0], e))
         chosen[best] = stats[best][1]
-    ranked = sorted(chosen, key=lambda e: (-math.sqrt(stats[e][0]) * chosen[e], e))[:max_entries]
-    return {e: chosen[e] for e in ranked}
+    return chosen
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 0.05) -> tuple[float, float]:
@@ -181,8 +180,6 @@ def fit(
     text_col: str = "text",
     label_col: str = "toxic",
     max_rows: int = 4000,
-    max_candidates: int = 20_000,
-    max_entries: int = 2_000,
 ) -> Model:
     """A model from the labelled rows whose crc32(id as text) leaves a remainder other than 1 by 3.
 
@@ -210,9 +207,8 @@ def fit(
         n, p = a + F.col("clean"), toxic / (toxic + clean)
         unlike = a * F.log(a / (n * p)) + F.col("clean") * F.log(F.greatest(F.col("clean"), F.lit(0.5)) / (n * (1 - p)))
         likely = _counted(rows).where((F.col("toxic0") > 0) & (F.col("toxic1") > 0) & (unlike >= SURE) & often)
-        gain = F.sqrt(a) * F.log((a + 0.5) * clean / ((F.col("clean") + 0.5) * toxic))
-        found = likely.orderBy(F.desc(F.round(gain, 6)), "entry").limit(max_candidates).collect()
-        learned = _choose([tuple(r) for r in found], toxic, clean, max_entries)
+        # As many as the labelled rows give, of which there are 2 * max_rows.
+        learned = _choose(sorted(tuple(r) for r in likely.collect()), toxic, clean)
         weights = {**weights, **learned}
         model = Model(weights, EXCEPTIONS, slope, offset, power)
 
