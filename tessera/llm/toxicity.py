@@ -8,7 +8,7 @@ function of its matches' weights, summed and divided by a power of its length in
 The lexicon's entries are learned from labelled documents, besides a short list of known insults: beginnings and words
 that labelled toxic documents hold far more often than others. Spark counts them; the driver receives at most
 the entries that pass the tests, and three numbers for each of at most `max_rows` labelled documents of each label for the
-logistic function and the power. Both bounds are parameters; everything else covers all documents.
+logistic function and the power. `max_rows` bounds both; everything else covers all documents.
 """
 
 from __future__ import annotations
