@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators.fixpoint import ancestors_of
+from tessera.operators.prefix import over_ranges
+from tessera.operators.relational import equal_or_both_missing
 
 
 def _month(as_of: str) -> Column:
@@ -80,15 +81,18 @@ def distribution_skew(wide: DataFrame, areas: DataFrame, as_of: str, thresholds:
         F.when(F.col("top") == "portugal", F.col("sum_al")).otherwise(F.col("top_al")).alias("top_al"),
     )
     rows = above.where("area_id IS NOT NULL").join(groups, "top")
-    by_size = W.partitionBy("top").orderBy(F.desc_nulls_last("num_al"))
-    peers = by_size.rangeBetween(W.unboundedPreceding, W.currentRow)
-    place = F.dense_rank().over(W.partitionBy("top").orderBy(F.desc_nulls_last("num_al"), "slug"))
+    # The country holds all localities, so running sums go over ranges: one row a size, then one row a place.
+    sizes = rows.groupBy("top", "num_al").agg(F.sum("num_al").alias("al"), F.sum("population").alias("people"))
+    sizes = over_ranges(sizes, ["top"], [F.desc_nulls_last("num_al")], sums={"upto_al": F.col("al"), "upto_people": F.col("people")})
+    rows = equal_or_both_missing(rows, sizes.select("top", "num_al", "upto_al", "upto_people"), ["top", "num_al"])
+    share = _ratio(F.col("upto_al"), F.col("top_al"))
+    places = rows.select("top", "num_al", "slug", share.alias("share")).distinct()
+    places = over_ranges(places, ["top"], [F.desc_nulls_last("num_al"), F.col("slug")], sums={"locality_rank": F.lit(1)}, before={"prev_total_al_pcnt": F.col("share")})
+    rows = equal_or_both_missing(rows, places.drop("share"), ["top", "num_al", "slug"])
     ranked = rows.select(
-        "name", F.col("top").alias("slug"), place.alias("locality_rank"), (place / F.col("num_localities")).alias("locality_rank_pcnt"),
-        _ratio(F.sum("num_al").over(peers), F.col("top_al")).alias("total_al_pcnt"), _ratio(F.sum("population").over(peers), F.col("top_population")).alias("total_population_pcnt"),
+        "name", F.col("top").alias("slug"), F.col("locality_rank").cast("int").alias("locality_rank"), (F.col("locality_rank") / F.col("num_localities")).alias("locality_rank_pcnt"),
+        share.alias("total_al_pcnt"), _ratio(F.col("upto_people"), F.col("top_population")).alias("total_population_pcnt"), "prev_total_al_pcnt",
     )
-    before = F.lag("total_al_pcnt").over(W.partitionBy("slug").orderBy("locality_rank"))
-    ranked = ranked.withColumn("prev_total_al_pcnt", before)
     passed = None
     for t in thresholds:
         hit = (F.col("total_al_pcnt") >= t / 100) & (F.col("prev_total_al_pcnt") < t / 100)
@@ -149,9 +153,8 @@ def lost_licences(snapshots: DataFrame, id_col: str, ts_col: str, exact: bool =
     seen = snapshots.select(F.col(id_col).alias("id"), F.col(ts_col).alias("at")).distinct()
     if not exact:
         seen = seen.groupBy("id").agg(F.max("at").alias("at"))
-    # One row a snapshot; their number grows with time and not with licences, but is not taken on trust: Spark joins as it sees fit.
     times = seen.select("at").distinct()
-    following = times.withColumn("lost_in", F.lead("at").over(W.orderBy("at"))).where("lost_in IS NOT NULL")
+    following = over_ranges(times, [], [F.col("at")], after={"lost_in": F.col("at")}).where("lost_in IS NOT NULL")
     gone = seen.join(following, "at")
     if exact:
         gone = gone.join(seen.select("id", F.col("at").alias("lost_in")), ["id", "lost_in"], "left_anti")

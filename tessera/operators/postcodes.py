@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from tessera.operators.relational import nearest_within, shared_position
 from tessera.operators.spatial import point_in_polygon_join
 from tessera.operators.staging import area_chain
 
+#: (name, what makes the rows) -> the rows, written or not.
+Step = Callable[[str, Callable[[], DataFrame]], DataFrame]
 COLUMNS = ("postcode", "district", "municipality", "locality", "lng", "lat")
 
 
@@ -116,10 +120,18 @@ def _localities_at(points: DataFrame, areas: DataFrame, polygons: DataFrame, siz
     return joined.groupBy("postcode").agg(F.min("osm_id").alias("osm_id"))
 
 
-def postcode_chain(used: DataFrame, api: DataFrame, bulk: DataFrame, areas: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
-    """Codes in use, looked-up codes and bulk codes -> all codes with a locality, their position and the areas that they lie in."""
-    clean, shared = clean_codes(api, bulk)
-    return located(with_localities(clean, code_aliases(used, api, clean, shared), api), areas, polygons, size)
+def postcode_chain(used: DataFrame, api: DataFrame, bulk: DataFrame, areas: DataFrame, polygons: DataFrame, size: float, step: Step = lambda name, build: build()) -> DataFrame:
+    """Codes in use, looked-up codes and bulk codes -> all codes with a locality, their position and the areas that they lie in.
+    step(name, build) may write what several later steps read, and gives what they read."""
+    aliases, clean = chain_aliases(used, api, bulk, step)
+    return located(step("codes-with-localities", lambda: with_localities(clean, aliases, api)), areas, polygons, size)
+
+
+def chain_aliases(used: DataFrame, api: DataFrame, bulk: DataFrame, step: Step = lambda name, build: build()) -> tuple[DataFrame, DataFrame]:
+    """(code_aliases(), reliable codes), each a step."""
+    reliable, same_place = clean_codes(api, bulk)
+    clean, shared = step("clean-codes", lambda: reliable), step("shared-codes", lambda: same_place)
+    return step("code-aliases", lambda: code_aliases(used, api, clean, shared)), clean
 
 
 def similar_codes(used: DataFrame, codes: DataFrame, areas: DataFrame, polygons: DataFrame, size: float) -> DataFrame:

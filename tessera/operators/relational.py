@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.prefix import over_ranges
+from tessera.plans.store import shared_dir
+
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: str, tiebreak: Sequence[str] = ()) -> DataFrame:
     """The row with the greatest `order` of each key (then of the tie-breaks); ROW_NUMBER() = 1, limited before the shuffle."""
@@ -20,26 +23,32 @@ def distinct_on(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
     return df.withColumn("__place", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("__place = 1").drop("__place")
 
 
-def nearest_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_value: str, right_value: str, tiers: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
+def nearest_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_value: str, right_value: str, tiers: Sequence[tuple[str, Sequence[str]]], parts: int | None = None) -> DataFrame:
     """For each left row the right row with the nearest value, from the first tier (name, shared key columns) that has one.
 
-    left_id, right_id, tier, distance; ties go to the smaller right_id. Instead of pairing a group's rows with each other,
-    both sides' values are put in one order and each left row takes the nearest right one below and above it.
+    left_id, right_id, tier, distance; ties go to the smaller right_id, and of several rows of a left_id the nearest counts. Both
+    sides' values are put in one order and each left row takes the nearest right one below and above it, across ranges of the
+    order, so a key may hold all rows. A tier gets only what the tiers before it left. Null ids, values and keys meet nothing.
     """
+    shared_dir(left.sparkSession)
+    columns = list(dict.fromkeys(k for _, keys in tiers for k in keys))
+    waiting = left.select(*columns, F.col(left_value).alias("v"), F.col(left_id).alias("i")).where("v IS NOT NULL AND i IS NOT NULL")
+    targets = right.select(*columns, F.col(right_value).alias("v"), F.col(right_id).alias("i")).where("v IS NOT NULL AND i IS NOT NULL")
     found = None
-    for place, (name, keys) in enumerate(tiers):
-        side = lambda df, i, v, is_right: df.select(*[F.col(k) for k in keys], F.col(v).alias("v"), F.col(i).alias("i"), F.lit(is_right).alias("r"))  # noqa: E731,B023
-        both = side(left, left_id, left_value, 0).unionByName(side(right, right_id, right_value, 1)).where("v IS NOT NULL")
-        kept = F.struct("v", "i")
-        up = W.partitionBy(*keys).orderBy("v", F.desc("r"), F.desc("i"))
-        down = W.partitionBy(*keys).orderBy(F.desc("v"), F.desc("r"), F.desc("i"))
-        own = F.when(F.col("r") == 1, kept)
-        near = both.withColumn("below", F.last(own, True).over(up.rowsBetween(W.unboundedPreceding, 0))).withColumn("above", F.last(own, True).over(down.rowsBetween(W.unboundedPreceding, 0)))
+    for name, keys in tiers:
+        keyed = " AND ".join(f"`{k}` IS NOT NULL" for k in keys)
+        own = targets.where(keyed).groupBy(*keys, "v").agg(F.min("i").alias("hit"))
+        asking = waiting.where(keyed).select(*keys, "v", "i", F.lit(None).cast(own.schema["hit"].dataType).alias("hit"))
+        both = asking.unionByName(own, allowMissingColumns=True)
+        at = F.when(F.col("hit").isNotNull(), F.struct("v", F.col("hit").alias("i")))
+        # A target comes before what asks for the same value; whoever asks is told apart by its id.
+        near = over_ranges(both, keys, [F.col("v"), F.col("hit").asc_nulls_last(), F.col("i")], before={"below": at}, after={"above": at}, parts=parts).where("hit IS NULL")
         gap = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c)["v"] - F.col("v")).alias("distance"), F.col(c)["i"].alias("i")))
-        near = near.where("r = 0").select(F.col("i").alias(left_id), F.lit(place).alias("place"), F.lit(name).alias("tier"), F.least(gap("below"), gap("above")).alias("hit")).where("hit IS NOT NULL")
-        found = near if found is None else found.unionByName(near)
-    best = found.groupBy(left_id).agg(F.min(F.struct("place", "tier", "hit")).alias("best"))
-    return best.select(left_id, F.col("best.hit.i").alias(right_id), F.col("best.tier").alias("tier"), F.col("best.hit.distance").alias("distance"))
+        best = near.select("i", F.least(gap("below"), gap("above")).alias("best")).where("best IS NOT NULL").groupBy("i").agg(F.min("best").alias("best"))
+        best = best.select(F.col("i").alias(left_id), F.col("best.i").alias(right_id), F.lit(name).alias("tier"), F.col("best.distance").alias("distance")).checkpoint(eager=True)
+        found = best if found is None else found.unionByName(best)
+        waiting = waiting.join(best.select(F.col(left_id).alias("i")), "i", "left_anti")
+    return found
 
 
 def shared_position(df: DataFrame, code: str, x: str, y: str) -> DataFrame:

@@ -102,15 +102,18 @@ def _used(spark, sf_dir):
     return staged_licences(spark, sf_dir).select(F.col("postal_code").alias("postcode"), "municipality", "district")
 
 
+def _step(spark, sf_dir):
+    return lambda name, build: stored(spark, name, sf_dir, build)
+
+
 def code_aliases(spark, sf_dir):
-    api, bulk = looked_up(spark, sf_dir), bulk_codes(spark, sf_dir)
-    return postcodes.code_aliases(_used(spark, sf_dir), api, *postcodes.clean_codes(api, bulk))
+    return postcodes.chain_aliases(_used(spark, sf_dir), looked_up(spark, sf_dir), bulk_codes(spark, sf_dir), _step(spark, sf_dir))[0]
 
 
 def postcode_chain(spark, sf_dir):
-    """All codes with a locality and the areas that they lie in."""
-    build = lambda: postcodes.postcode_chain(_used(spark, sf_dir), looked_up(spark, sf_dir), bulk_codes(spark, sf_dir), marts.known(spark, sf_dir), locality_shapes(spark, sf_dir), CELL)
-    return stored(spark, "postcodes", sf_dir, build)
+    """All codes with a locality and the areas that they lie in; each step is written once."""
+    tables = _used(spark, sf_dir), looked_up(spark, sf_dir), bulk_codes(spark, sf_dir), marts.known(spark, sf_dir), locality_shapes(spark, sf_dir)
+    return stored(spark, "postcodes", sf_dir, lambda: postcodes.postcode_chain(*tables, CELL, _step(spark, sf_dir)))
 
 
 def similar_codes(spark, sf_dir):
