@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators.fixpoint import ancestors_of
 from tessera.operators.prefix import over_ranges
 from tessera.operators.relational import equal_or_both_missing
+from tessera.plans.store import written
 
 
 def _month(as_of: str) -> Column:
@@ -80,7 +81,7 @@ def distribution_skew(wide: DataFrame, areas: DataFrame, as_of: str, thresholds:
         "top", F.coalesce("name", F.when(F.col("top") == "portugal", "Portugal")).alias("name"), "num_localities", "top_population",
         F.when(F.col("top") == "portugal", F.col("sum_al")).otherwise(F.col("top_al")).alias("top_al"),
     )
-    rows = above.where("area_id IS NOT NULL").join(groups, "top")
+    rows = written(above.where("area_id IS NOT NULL").join(groups, "top"), "localities")
     # The country holds all localities, so running sums go over ranges: one row a size, then one row a place.
     sizes = rows.groupBy("top", "num_al").agg(F.sum("num_al").alias("al"), F.sum("population").alias("people"))
     sizes = over_ranges(sizes, ["top"], [F.desc_nulls_last("num_al")], sums={"upto_al": F.col("al"), "upto_people": F.col("people")})

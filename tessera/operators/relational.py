@@ -9,7 +9,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators.prefix import over_ranges
-from tessera.plans.store import shared_dir
 
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: str, tiebreak: Sequence[str] = ()) -> DataFrame:
@@ -26,29 +25,34 @@ def distinct_on(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
 def nearest_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_value: str, right_value: str, tiers: Sequence[tuple[str, Sequence[str]]], parts: int | None = None) -> DataFrame:
     """For each left row the right row with the nearest value, from the first tier (name, shared key columns) that has one.
 
-    left_id, right_id, tier, distance; ties go to the smaller right_id, and of several rows of a left_id the nearest counts. Both
-    sides' values are put in one order and each left row takes the nearest right one below and above it, across ranges of the
-    order, so a key may hold all rows. A tier gets only what the tiers before it left. Null ids, values and keys meet nothing.
+    left_id, right_id, tier, distance; ties go to the smaller right_id, and of several rows of a left_id the nearest counts. Each row
+    stands once in each tier; both sides' values are put in one order by tier, key and value, and each left row takes the nearest
+    right one below and above it, across ranges of the order. So all tiers are one pass, and a key may hold all rows. Null ids,
+    values and keys meet nothing.
     """
-    shared_dir(left.sparkSession)
     columns = list(dict.fromkeys(k for _, keys in tiers for k in keys))
-    waiting = left.select(*columns, F.col(left_value).alias("v"), F.col(left_id).alias("i")).where("v IS NOT NULL AND i IS NOT NULL")
-    targets = right.select(*columns, F.col(right_value).alias("v"), F.col(right_id).alias("i")).where("v IS NOT NULL AND i IS NOT NULL")
-    found = None
-    for name, keys in tiers:
-        keyed = " AND ".join(f"`{k}` IS NOT NULL" for k in keys)
-        own = targets.where(keyed).groupBy(*keys, "v").agg(F.min("i").alias("hit"))
-        asking = waiting.where(keyed).select(*keys, "v", "i", F.lit(None).cast(own.schema["hit"].dataType).alias("hit"))
-        both = asking.unionByName(own, allowMissingColumns=True)
-        at = F.when(F.col("hit").isNotNull(), F.struct("v", F.col("hit").alias("i")))
-        # A target comes before what asks for the same value; whoever asks is told apart by its id.
-        near = over_ranges(both, keys, [F.col("v"), F.col("hit").asc_nulls_last(), F.col("i")], before={"below": at}, after={"above": at}, parts=parts).where("hit IS NULL")
-        gap = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c)["v"] - F.col("v")).alias("distance"), F.col(c)["i"].alias("i")))
-        best = near.select("i", F.least(gap("below"), gap("above")).alias("best")).where("best IS NOT NULL").groupBy("i").agg(F.min("best").alias("best"))
-        best = best.select(F.col("i").alias(left_id), F.col("best.i").alias(right_id), F.lit(name).alias("tier"), F.col("best.distance").alias("distance")).checkpoint(eager=True)
-        found = best if found is None else found.unionByName(best)
-        waiting = waiting.join(best.select(F.col(left_id).alias("i")), "i", "left_anti")
-    return found
+    left, right = _in_tiers(left, left_id, left_value, tiers, columns), _in_tiers(right, right_id, right_value, tiers, columns)
+    keys = ["place", *[f"k{n}" for n in range(len(columns))]]
+    targets = right.groupBy(*keys, "v").agg(F.min("i").alias("hit"))
+    both = left.withColumn("hit", F.lit(None).cast(targets.schema["hit"].dataType)).unionByName(targets, allowMissingColumns=True)
+    at = F.when(F.col("hit").isNotNull(), F.struct("v", F.col("hit").alias("i")))
+    # A target comes before what asks for the same value; who asks is told apart by its id.
+    near = over_ranges(both, keys, [F.col("v"), F.col("hit").asc_nulls_last(), F.col("i")], before={"below": at}, after={"above": at}, parts=parts).where("hit IS NULL")
+    gap = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c)["v"] - F.col("v")).alias("distance"), F.col(c)["i"].alias("i")))
+    hits = near.select("i", "place", F.least(gap("below"), gap("above")).alias("hit")).where("hit IS NOT NULL")
+    best = hits.groupBy("i").agg(F.min(F.struct("place", "hit")).alias("best"))
+    names = F.array(*[F.lit(name) for name, _ in tiers])
+    return best.select(F.col("i").alias(left_id), F.col("best.hit.i").alias(right_id), F.get(names, F.col("best.place")).alias("tier"), F.col("best.hit.distance").alias("distance"))
+
+
+def _in_tiers(df: DataFrame, i: str, v: str, tiers: Sequence[tuple[str, Sequence[str]]], columns: Sequence[str]) -> DataFrame:
+    """place, k0, k1, ..., v, i: a row for each tier that it has all keys of; key columns that a tier doesn't use are null."""
+    rows = []
+    for place, (_, keys) in enumerate(tiers):
+        key = [(F.col(k) if k in keys else F.lit(None).cast(df.schema[k].dataType)).alias(f"k{n}") for n, k in enumerate(columns)]
+        rows.append(F.when(F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)), F.struct(F.lit(place).alias("place"), *key)))
+    known = df.where(F.col(i).isNotNull() & F.col(v).isNotNull())
+    return known.select(F.explode(F.array_compact(F.array(*rows))).alias("t"), F.col(v).alias("v"), F.col(i).alias("i")).select("t.*", "v", "i")
 
 
 def shared_position(df: DataFrame, code: str, x: str, y: str) -> DataFrame:

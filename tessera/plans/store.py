@@ -24,6 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """df's rows, written to the shared folder in one job and read from there: its lineage ends."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stored(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table called name, built from source: written at first use, then read; filters and columns are pushed to its files."""
     key = (spark.sparkContext.applicationId, name, source)
