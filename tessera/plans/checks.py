@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import fold
+from tessera.operators.names import close_names
 from tessera.operators.staging import area_chain
 
 
@@ -42,13 +43,15 @@ def missing_growth(summary: DataFrame, wide: DataFrame, areas: DataFrame, before
 
 
 def far_names(licences: DataFrame, areas: DataFrame, limit: int = 1) -> DataFrame:
-    """Licences whose locality's name is more than `limit` edits from every locality of their municipality. Different names are
-    compared once."""
-    chain = area_chain(areas).select(fold(F.col("municipality_name")).alias("m"), fold(F.col("locality_name")).alias("l")).distinct()
-    asked = licences.select(fold(F.col("municipality")).alias("m"), fold(F.col("locality")).alias("own")).distinct()
-    near = asked.join(chain, "m").groupBy("m", "own").agg(F.min(F.levenshtein("own", "l")).alias("distance")).where(F.col("distance") > limit)
-    keyed = licences.select("al_id", fold(F.col("municipality")).alias("m"), fold(F.col("locality")).alias("own"))
-    return keyed.join(near, ["m", "own"]).select("al_id", "distance")
+    """Licences whose locality's name is more than `limit` edits from every locality of their municipality, with the distance of the
+    nearest one. Those without a locality's name, and those of municipalities without localities, are no violations. Only names that
+    have no close one meet all names of their municipality."""
+    chain = area_chain(areas).select(fold(F.col("municipality_name")).alias("m"), fold(F.col("locality_name")).alias("own")).where("own IS NOT NULL").distinct()
+    keyed = licences.select("al_id", fold(F.col("municipality")).alias("m"), fold(F.col("locality")).alias("own")).where("own IS NOT NULL")
+    near = close_names(keyed, chain, "own", ["m"], limit).select("m", F.col("name").alias("own"))
+    far = keyed.select("m", "own").distinct().join(near.distinct(), ["m", "own"], "left_anti")
+    far = far.join(chain.withColumnRenamed("own", "l"), "m").groupBy("m", "own").agg(F.min(F.levenshtein("own", "l")).alias("distance"))
+    return keyed.join(far, ["m", "own"]).select("al_id", "distance")
 
 
 def run_checks(checks: dict[str, DataFrame]) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.functions import similarity, text
-from tessera.operators import analytics, postcodes, relational, spatial
+from tessera.operators import analytics, names, postcodes, proximity, relational, spatial
 from tessera.plans import checks, marts
 from tessera.plans.domain import AS_OF, DOMAIN_SQL, licences, table
 from tessera.plans.store import shared_dir, stored
@@ -216,6 +216,31 @@ def nation_spurs(spark, sf_dir):
     return rings.select("relation", "ring", F.size("points").alias("corners"), F.round(spatial.ring_area(F.col("points")), 6).alias("area"))
 
 
+def similar_customers(spark, sf_dir):
+    """Customers of one nation whose names are one letter apart."""
+    customer = table(spark, sf_dir, "customer").select("c_nationkey", F.col("c_name").alias("name"))
+    return names.close_names(customer, customer, "name", ["c_nationkey"]).where("name < other")
+
+
+def _customer_points(spark, sf_dir):
+    """Customers all over the nations' grid and around it."""
+    k = F.col("c_custkey").cast("double")
+    return table(spark, sf_dir, "customer").select("c_custkey", (k * 0.6180339 % 7.0 - 1.0).alias("x"), (k * 0.7548776 % 9.0 - 2.0).alias("y"))
+
+
+def nearest_area(spark, sf_dir):
+    """The nearest concave shape of each customer, itself if the customer is in it."""
+    shapes = area_shapes(spark, sf_dir).where("osm_id < 1000")
+    found = proximity.nearest_areas(_customer_points(spark, sf_dir), shapes, "c_custkey", "osm_id", 0.25)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+def close_areas(spark, sf_dir):
+    """All nations within 0.3 of each customer; nations have holes, which are outside."""
+    found = proximity.areas_within(_customer_points(spark, sf_dir), nation_shapes(spark, sf_dir), "c_custkey", "area_id", 0.3, 0.5)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
 def lost_users(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
     return analytics.lost_licences(rows, "user_id", "day")
@@ -380,7 +405,21 @@ clean AS (SELECT * FROM good_api UNION SELECT * FROM bulk WHERE postcode NOT IN
 #: A square's ring as GeoJSON writes it.
 _ring = "concat('[', array_to_string(list_transform([[{a}, {a}], [{b}, {a}], [{b}, {b}], [{a}, {b}]], lambda p: concat('[', (x + p[1])::DOUBLE, ',', (y + p[2])::DOUBLE, ']')), ','), ']')"
 
+#: From each customer to each shape of `corner` (id, a, b: an edge's ends): id, distance.
+_TO_SHAPES = """p AS (SELECT c_custkey, c_custkey::DOUBLE * 0.6180339::DOUBLE % 7 - 1 AS x, c_custkey::DOUBLE * 0.7548776::DOUBLE % 9 - 2 AS y FROM customer),
+t AS (SELECT c_custkey, x, y, id, a, b, greatest(0, least(1, ((x - a[1]) * (b[1] - a[1]) + (y - a[2]) * (b[2] - a[2])) / (pow(b[1] - a[1], 2) + pow(b[2] - a[2], 2)))) AS t FROM p, corner),
+d AS (SELECT c_custkey, id, CASE WHEN count(*) FILTER ((a[2] > y) <> (b[2] > y) AND x < (b[1] - a[1]) * (y - a[2]) / nullif(b[2] - a[2], 0) + a[1]) % 2 = 1 THEN 0
+  ELSE min(sqrt(pow(x - a[1] - t * (b[1] - a[1]), 2) + pow(y - a[2] - t * (b[2] - a[2]), 2))) END AS distance FROM t GROUP BY ALL)"""
+
 ORACLE_SQL = {
+    "similar_customers": """SELECT a.c_nationkey, a.c_name AS name, b.c_name AS other, levenshtein(a.c_name, b.c_name)::INTEGER AS distance
+FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_name < b.c_name WHERE levenshtein(a.c_name, b.c_name) <= 1""",
+    "nearest_area": f"""WITH {_SHAPES}, shape AS ({' UNION ALL '.join(f"SELECT {first} + area_id AS id, list_transform({[list(c) for c in corners]}, lambda c: [x + c[1]::DOUBLE, y + c[2]::DOUBLE]) AS corners FROM shapes" for first, _, _, corners in _SHAPES_OF)}),
+corner AS (SELECT id, corners[i] AS a, corners[i % len(corners) + 1] AS b FROM (SELECT *, unnest(range(1, len(corners) + 1)) AS i FROM shape)), {_TO_SHAPES}
+SELECT c_custkey, id::BIGINT AS osm_id, round(distance, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY distance, id) = 1""",
+    "close_areas": f"""WITH {_SHAPES}, r(corners) AS (VALUES ([[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0]]), ([[0.4, 0.4], [0.6, 0.4], [0.6, 0.6], [0.4, 0.6]])),
+corner AS (SELECT area_id AS id, [x + corners[i][1]::DOUBLE, y + corners[i][2]::DOUBLE] AS a, [x + corners[i % 4 + 1][1]::DOUBLE, y + corners[i % 4 + 1][2]::DOUBLE] AS b FROM shapes, r, range(1, 5) u(i)), {_TO_SHAPES}
+SELECT c_custkey, id AS area_id, round(distance, 6) AS distance FROM d WHERE distance <= 0.3""",
     "latest_event": "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "first_order": "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_custkey, o_orderpriority, o_totalprice DESC, o_orderkey",
     "nearest_supplier": """WITH l AS (SELECT c_custkey, c_acctbal, n_nationkey AS nation, n_regionkey AS region FROM customer JOIN nation ON c_nationkey = n_nationkey),
@@ -519,7 +558,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         latest_event, first_order, nearest_supplier, shared_positions, not_in_with_null, not_in_without_null, parts_never_sold_cheap, null_safe_match, area_paths, capitalized, slugs,
-        postcodes_normalised, name_similarity, orders_in_nations, close_suppliers, hierarchy, nation_grid, nation_parts, shape_parts, region_outlines, region_grid, nation_spurs, lost_users, lost_users_exact, month_windows, relation_ways, page_titles, first_large_order, rich_or_near, segments_twice, seed_events, nation_rings,
+        postcodes_normalised, name_similarity, orders_in_nations, close_suppliers, hierarchy, nation_grid, nation_parts, shape_parts, region_outlines, region_grid, nation_spurs, similar_customers, nearest_area, close_areas, lost_users, lost_users_exact, month_windows, relation_ways, page_titles, first_large_order, rich_or_near, segments_twice, seed_events, nation_rings,
         nation_features, nation_collections, clean_postcodes, repaired_postcodes, postcodes_to_look_up, data_checks,
     )
 }
