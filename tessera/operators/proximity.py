@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.operators.spatial import all_edges, contains, directed_edges, point_in_polygon_join
+from tessera.operators.spatial import all_edges, contains, covering, directed_edges, located, spread_edges
 from tessera.plans.store import written
 
 #: Tables of cells are broadcast while they can't have more rows than this (five numbers each), else shuffled.
@@ -37,22 +37,15 @@ def _asked(points: DataFrame, point_id: str, x: str, y: str) -> DataFrame:
     return rows.where(F.col("__p").isNotNull() & finite("__x") & finite("__y")).distinct()
 
 
-def _inside(asked: DataFrame, polygons: DataFrame, area_id: str, polygon_col: str, size: float) -> DataFrame:
-    shapes = polygons.select(F.col(area_id).alias("__area"), F.col(polygon_col).alias("__shape"))
-    return point_in_polygon_join(asked, shapes, "__x", "__y", "__shape", size).select("__p", "__area", F.lit(0.0).alias("distance"))
+def _inside(asked: DataFrame, edges: DataFrame, size: float) -> DataFrame:
+    found = located(asked, covering(edges, size), size, "__x", "__y")
+    return found.select("__p", F.col("id").alias("__area"), F.lit(0.0).alias("distance"))
 
 
 def _gap() -> Column:
     return segment_distance(*[F.col(c) for c in ("__x", "__y", "ax", "ay", "bx", "by")])
 
 
-def _spread(edges: DataFrame, size: float, x0: float = 0.0, y0: float = 0.0, margin: float = 0.0) -> DataFrame:
-    """A row for each cell (cx, cy), counted from (x0, y0), that an edge's bounds and margin touch."""
-    place = lambda v, origin: F.floor((v - origin) / size).cast("long")
-    along = lambda a, b, origin: F.explode(F.sequence(place(F.least(a, b) - margin, origin), place(F.greatest(a, b) + margin, origin)))
-    return edges.withColumn("cx", along("ax", "bx", x0)).withColumn("cy", along("ay", "by", y0))
-
-
 def areas_within(points: DataFrame, polygons: DataFrame, point_id: str, area_id: str, limit: float, size: float, x: str = "x", y: str = "y", polygon_col: str = "polygon") -> DataFrame:
     """point_id, area_id, distance: all areas at most `limit` from each point, 0 from those that hold it.
 
@@ -61,11 +54,11 @@ def areas_within(points: DataFrame, polygons: DataFrame, point_id: str, area_id:
     point with several places.
     """
     asked = _asked(points, point_id, x, y)
-    edges = _spread(directed_edges(polygons, area_id, polygon_col), size, margin=limit)
+    edges = directed_edges(polygons, area_id, polygon_col)
     here = lambda c: F.floor(F.col(c) / size).cast("long")
-    near = asked.withColumn("cx", here("__x")).withColumn("cy", here("__y")).join(edges, ["cx", "cy"])
+    near = asked.withColumn("cx", here("__x")).withColumn("cy", here("__y")).join(spread_edges(edges, size, margin=limit), ["cx", "cy"])
     near = near.select("__p", F.col("id").alias("__area"), _gap().alias("distance")).where(F.col("distance") <= limit)
-    pairs = near.unionByName(_inside(asked, polygons, area_id, polygon_col, size)).groupBy("__p", "__area").agg(F.min("distance").alias("distance"))
+    pairs = near.unionByName(_inside(asked, edges, size)).groupBy("__p", "__area").agg(F.min("distance").alias("distance"))
     return pairs.select(F.col("__p").alias(point_id), F.col("__area").alias(area_id), "distance")
 
 
@@ -89,7 +82,7 @@ def nearest_areas(points: DataFrame, polygons: DataFrame, point_id: str, area_id
     while size * 2**levels <= max(wide, high):
         levels += 1
 
-    in_cells = _spread(edges, size, x0, y0)
+    in_cells = spread_edges(edges, size, x0, y0)
     # What is known of a cell: the place of one of its edges that is nearest to the middle.
     mx, my = x0 + (F.col("cx") + 0.5) * size, y0 + (F.col("cy") + 0.5) * size
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
@@ -115,5 +108,5 @@ def nearest_areas(points: DataFrame, polygons: DataFrame, point_id: str, area_id
         left = left.withColumn("best", F.min(F.hypot(F.col("__x") - F.col("wx"), F.col("__y") - F.col("wy"))).over(mine))
         left = left.where(F.col("least") <= F.col("best") + slack + 1e-9 * F.col("best")).select("__p", "__x", "__y", "cx", "cy")
     met = left.join(in_cells, ["cx", "cy"]).select("__p", F.col("id").alias("__area"), _gap().alias("distance"))
-    found = met.unionByName(_inside(asked, polygons, area_id, polygon_col, size)).groupBy("__p").agg(F.min(F.struct("distance", "__area")).alias("n"))
+    found = met.unionByName(_inside(asked, edges, size)).groupBy("__p").agg(F.min(F.struct("distance", "__area")).alias("n"))
     return found.select(F.col("__p").alias(point_id), F.col("n.__area").alias(area_id), "n.distance")

@@ -113,6 +113,50 @@ def grid_cells(edges: DataFrame, grids: DataFrame, n: int) -> DataFrame:
     return cells.select("id", "cell_x", "cell_y", *box, F.coalesce("corner_in", F.lit(False)).alias("corner_in"), "edges")
 
 
+def spread_edges(edges: DataFrame, size: float, x0: float = 0.0, y0: float = 0.0, margin: float = 0.0) -> DataFrame:
+    """A row for each cell (cx, cy), counted from (x0, y0), that an edge's bounds and margin touch."""
+    place = lambda v, origin: _cell(v - origin, size)
+    along = lambda a, b, origin: F.explode(F.sequence(place(F.least(a, b) - margin, origin), place(F.greatest(a, b) + margin, origin)))
+    return edges.withColumn("cx", along("ax", "bx", x0)).withColumn("cy", along("ay", "by", y0))
+
+
+def covering(edges: DataFrame, size: float) -> DataFrame:
+    """directed_edges() -> the cells of `size` that their polygons touch: id, cx, cy, corner_in (the lower left corner is inside), edges (null
+    in cells that lie inside whole). A cell has the edges whose bounds touch it and nothing else of its polygon."""
+    of_cells = spread_edges(edges, size).groupBy("id", "cx", "cy").agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("edges"))
+    line = F.col("cy") * size
+    lines = edges.withColumn("cy", F.explode(F.sequence(_cell(F.least("ay", "by"), size), _cell(F.greatest("ay", "by"), size) + 1))).where((F.col("ay") > line) != (F.col("by") > line))
+    cuts = lines.groupBy("id", "cy").agg(F.sort_array(F.collect_list((F.col("bx") - F.col("ax")) * (line - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax"))).alias("cuts"))
+    # From an odd cut to the next one a line is inside.
+    stretch = F.transform(F.sequence(F.lit(0), F.size("cuts") - 2, F.lit(2)), lambda i: F.struct(F.get("cuts", i).alias("a"), F.get("cuts", i + 1).alias("b")))
+    inside = cuts.select("id", "cy", F.inline(stretch)).withColumn("cx", F.explode(F.sequence(_cell(F.col("a"), size), _cell(F.col("b"), size))))
+    corners = inside.where((F.col("cx") * size >= F.col("a")) & (F.col("cx") * size < F.col("b"))).select("id", "cx", "cy", F.lit(True).alias("corner_in"))
+    return of_cells.join(corners, ["id", "cx", "cy"], "full").select("id", "cx", "cy", F.coalesce("corner_in", F.lit(False)).alias("corner_in"), "edges")
+
+
+def located(points: DataFrame, cover: DataFrame, size: float, x: str, y: str) -> DataFrame:
+    """points with the `id` of each polygon of a covering() of the same size that contains them, borders as in contains(). Points without
+    position are in none.
+
+    The way from a cell's corner goes up its left border, then right, and each edge on it changes sides; in cells without edges
+    nothing is tested. A place on an edge counts as right of it, so on the way up an edge that rises is passed behind it, and one that falls at it.
+    """
+    px, py, x0, y0 = F.col(x), F.col(y), F.col("cx") * size, F.col("cy") * size
+
+    def passed(e: Column) -> Column:
+        ax, ay, bx, by = (e[c] for c in ("ax", "ay", "bx", "by"))
+        cut = (by - ay) * (x0 - ax) / F.nullif(bx - ax, F.lit(0.0)) + ay
+        at = (bx - ax) * (py - ay) / F.nullif(by - ay, F.lit(0.0)) + ax
+        rises = (bx > ax) == (by > ay)
+        upward = ((ax > x0) != (bx > x0)) & F.when(rises & (ay != by), (cut >= y0) & (cut < py)).otherwise((cut > y0) & (cut <= py))
+        across = ((ay > py) != (by > py)) & (at > x0) & (at <= px)
+        return F.coalesce(upward, F.lit(False)) != F.coalesce(across, F.lit(False))
+
+    keyed = points.withColumn("cx", _cell(px, size)).withColumn("cy", _cell(py, size)).join(cover, ["cx", "cy"])
+    odd = F.coalesce(F.size(F.filter("edges", passed)), F.lit(0)) % 2 == 1
+    return keyed.where(F.col("corner_in") != F.when(F.col("edges").isNull(), False).otherwise(odd)).drop("cx", "cy", "corner_in", "edges")
+
+
 def ring_area(ring: Column) -> Column:
     """Positive if the ring runs counter-clockwise."""
     return F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + (e["a"]["x"] - ring[0]["x"]) * (e["b"]["y"] - ring[0]["y"]) - (e["b"]["x"] - ring[0]["x"]) * (e["a"]["y"] - ring[0]["y"])) / 2

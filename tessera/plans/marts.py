@@ -77,7 +77,9 @@ def map_values(spark, sf_dir):
 
 
 def metrics(spark, sf_dir):
-    return cube.metric_table(spark)
+    """The literal table of metrics, with what the cube holds of each: values, totals and the longest ranking."""
+    held = long_cube(spark, sf_dir).groupBy("metric_name").agg(F.count("value").alias("months_with_value"), F.count("cumulative_value").alias("months_with_total"), F.max("rank_cumulative").alias("last_rank"))
+    return held.join(F.broadcast(cube.metric_table(spark)), "metric_name", "right")
 
 
 def conditional_totals(spark, sf_dir):
@@ -180,7 +182,8 @@ WHERE r.context_area_type = 'country' AND r.year_month = {_now}""",
   round(population::DOUBLE / nullif(cumulative_value_c, 0), 2) AS people_per_al FROM areas JOIN wide ON osm_id = area_id WHERE admin_type = 'locality' AND year_month = {_now}""",
     "conditional_totals": f"""WITH {DOMAIN_SQL} SELECT {', '.join(f"count(*) FILTER ({c} = '2001-08') AS {n}_month, count(*) FILTER ({c}[1:4] = '2001' AND {c} <= '2001-08') AS {n}_year, count(*) FILTER ({c}[1:4] = '2000') AS {n}_last_year"
   for n, c in (('new', 'year_month'), ('lost', 'lost_in_year_month')))} FROM licences""",
-    "metrics": f"SELECT * FROM (VALUES {', '.join(str(x) for x in cube.METRICS.items())}) v(metric_name, aggregation)",
+    "metrics": f"""{CUBE_SQL} SELECT metric_name, aggregation, count(value) AS months_with_value, count(cumulative_value) AS months_with_total, max(rank_cumulative) AS last_rank
+FROM (VALUES {', '.join(str(x) for x in cube.METRICS.items())}) v(metric_name, aggregation) LEFT JOIN ranked USING (metric_name) GROUP BY ALL""",
     "ancestor_pairs": f"""WITH {DOMAIN_SQL} SELECT osm_id AS group_id, osm_id AS area_id, 0 AS depth FROM areas UNION ALL SELECT osm_id, parent_id, 1 FROM areas WHERE parent_id IS NOT NULL
   UNION ALL SELECT a.osm_id, p.parent_id, 2 FROM areas a JOIN areas p ON a.parent_id = p.osm_id WHERE p.parent_id IS NOT NULL UNION ALL SELECT osm_id, 0, 99 FROM areas""",
     "area_table": f"WITH {DOMAIN_SQL} SELECT * FROM areas",

@@ -235,6 +235,12 @@ def nearest_area(spark, sf_dir):
     return found.withColumn("distance", F.round("distance", 6))
 
 
+def customers_in_shapes(spark, sf_dir):
+    """Customers with the concave shapes that they lie in; shapes lie in and over each other."""
+    edges = spatial.directed_edges(area_shapes(spark, sf_dir), "osm_id", "polygon")
+    return spatial.located(_customer_points(spark, sf_dir), spatial.covering(edges, 0.25), 0.25, "x", "y").select("c_custkey", F.col("id").alias("osm_id"))
+
+
 def close_areas(spark, sf_dir):
     """All nations within 0.3 of each customer; nations have holes, which are outside."""
     found = proximity.areas_within(_customer_points(spark, sf_dir), nation_shapes(spark, sf_dir), "c_custkey", "area_id", 0.3, 0.5)
@@ -252,8 +258,9 @@ def lost_users_exact(spark, sf_dir):
 
 
 def month_windows(spark, sf_dir):
-    out = files.month_windows(spark, "1995-01-15", "2001-08-10")
-    return out.select(*[F.date_format(c, "yyyy-MM-dd").alias(c) for c in out.columns])
+    """The months that orders span, as windows to fetch, with their orders."""
+    out = files.month_windows_of(table(spark, sf_dir, "orders"), "o_orderdate")
+    return out.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("window_start", "window_end")})
 
 
 def _members(spark, sf_dir):
@@ -410,13 +417,17 @@ _TO_SHAPES = """p AS (SELECT c_custkey, c_custkey::DOUBLE * 0.6180339::DOUBLE %
 t AS (SELECT c_custkey, x, y, id, a, b, greatest(0, least(1, ((x - a[1]) * (b[1] - a[1]) + (y - a[2]) * (b[2] - a[2])) / (pow(b[1] - a[1], 2) + pow(b[2] - a[2], 2)))) AS t FROM p, corner),
 d AS (SELECT c_custkey, id, CASE WHEN count(*) FILTER ((a[2] > y) <> (b[2] > y) AND x < (b[1] - a[1]) * (y - a[2]) / nullif(b[2] - a[2], 0) + a[1]) % 2 = 1 THEN 0
   ELSE min(sqrt(pow(x - a[1] - t * (b[1] - a[1]), 2) + pow(y - a[2] - t * (b[2] - a[2]), 2))) END AS distance FROM t GROUP BY ALL)"""
+_CONCAVE = " UNION ALL ".join(f"SELECT {first} + area_id AS id, list_transform({[list(c) for c in corners]}, lambda c: [x + c[1]::DOUBLE, y + c[2]::DOUBLE]) AS corners FROM shapes" for first, _, _, corners in _SHAPES_OF)
+_CORNER = "corner AS (SELECT id, corners[i] AS a, corners[i % len(corners) + 1] AS b FROM (SELECT *, unnest(range(1, len(corners) + 1)) AS i FROM shape))"
 
 ORACLE_SQL = {
     "similar_customers": """SELECT a.c_nationkey, a.c_name AS name, b.c_name AS other, levenshtein(a.c_name, b.c_name)::INTEGER AS distance
 FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_name < b.c_name WHERE levenshtein(a.c_name, b.c_name) <= 1""",
-    "nearest_area": f"""WITH {_SHAPES}, shape AS ({' UNION ALL '.join(f"SELECT {first} + area_id AS id, list_transform({[list(c) for c in corners]}, lambda c: [x + c[1]::DOUBLE, y + c[2]::DOUBLE]) AS corners FROM shapes" for first, _, _, corners in _SHAPES_OF)}),
-corner AS (SELECT id, corners[i] AS a, corners[i % len(corners) + 1] AS b FROM (SELECT *, unnest(range(1, len(corners) + 1)) AS i FROM shape)), {_TO_SHAPES}
+    "nearest_area": f"""WITH {_SHAPES}, shape AS ({_CONCAVE}), {_CORNER}, {_TO_SHAPES}
 SELECT c_custkey, id::BIGINT AS osm_id, round(distance, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY distance, id) = 1""",
+    "customers_in_shapes": f"""WITH {_SHAPES}, shape AS ({_CONCAVE}
+  UNION ALL SELECT 9000, {[list(c) for c in _LAND]} UNION ALL SELECT 9001 + i, list_transform({[list(c) for c in _COLUMN]}, lambda c: [i + c[1], c[2]]) FROM range(5) t(i)), {_CORNER}, {_TO_SHAPES}
+SELECT c_custkey, id::BIGINT AS osm_id FROM d WHERE distance = 0""",
     "close_areas": f"""WITH {_SHAPES}, r(corners) AS (VALUES ([[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0]]), ([[0.4, 0.4], [0.6, 0.4], [0.6, 0.6], [0.4, 0.6]])),
 corner AS (SELECT area_id AS id, [x + corners[i][1]::DOUBLE, y + corners[i][2]::DOUBLE] AS a, [x + corners[i % 4 + 1][1]::DOUBLE, y + corners[i % 4 + 1][2]::DOUBLE] AS b FROM shapes, r, range(1, 5) u(i)), {_TO_SHAPES}
 SELECT c_custkey, id AS area_id, round(distance, 6) AS distance FROM d WHERE distance <= 0.3""",
@@ -502,8 +513,9 @@ SELECT area_id::BIGINT AS relation, ring::BIGINT AS ring, n::INTEGER AS corners,
 SELECT id, last_seen, lost_in FROM l JOIN t USING (last_seen) WHERE lost_in IS NOT NULL""",
     "lost_users_exact": """WITH s AS (SELECT DISTINCT user_id AS id, strftime(ts, '%Y-%m-%d') AS day FROM events), t AS (SELECT day, lead(day) OVER (ORDER BY day) AS lost_in FROM (SELECT DISTINCT day FROM s))
 SELECT id, s.day AS last_seen, lost_in FROM s JOIN t USING (day) WHERE lost_in IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s o WHERE o.id = s.id AND o.day = t.lost_in)""",
-    "month_windows": """SELECT greatest(m::DATE, DATE '1995-01-15')::VARCHAR AS window_start, least(last_day(m::DATE), DATE '2001-08-10')::VARCHAR AS window_end
-FROM range(DATE '1995-01-01', DATE '2001-08-11', INTERVAL 1 MONTH) t(m)""",
+    "month_windows": """WITH d AS (SELECT o_orderdate::DATE AS day FROM orders), e AS (SELECT min(day) AS first, max(day) AS last FROM d),
+w AS (SELECT greatest(m::DATE, first) AS s, least(last_day(m::DATE), last) AS e FROM e, unnest(generate_series(date_trunc('month', first), last::TIMESTAMP, INTERVAL 1 MONTH)) t(m))
+SELECT s::VARCHAR AS window_start, e::VARCHAR AS window_end, count(day) AS rows FROM w LEFT JOIN d ON day BETWEEN s AND e GROUP BY ALL""",
     "relation_ways": """WITH RECURSIVE m AS (SELECT p_partkey // 10 AS relation, 'w' AS kind, p_partkey AS ref, ['outer', 'inner', '', 'subarea'][p_size % 4 + 1] AS role FROM part
   UNION ALL SELECT p_partkey // 10, 'r', p_partkey // 10 // 3, ['outer', 'inner', '', 'subarea'][max(p_size) % 4 + 1] FROM part GROUP BY p_partkey // 10),
 plain AS (SELECT relation, kind, ref, CASE role WHEN '' THEN 'outer' ELSE role END AS role FROM m WHERE role <> 'subarea'),
@@ -558,7 +570,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         latest_event, first_order, nearest_supplier, shared_positions, not_in_with_null, not_in_without_null, parts_never_sold_cheap, null_safe_match, area_paths, capitalized, slugs,
-        postcodes_normalised, name_similarity, orders_in_nations, close_suppliers, hierarchy, nation_grid, nation_parts, shape_parts, region_outlines, region_grid, nation_spurs, similar_customers, nearest_area, close_areas, lost_users, lost_users_exact, month_windows, relation_ways, page_titles, first_large_order, rich_or_near, segments_twice, seed_events, nation_rings,
+        postcodes_normalised, name_similarity, orders_in_nations, close_suppliers, hierarchy, nation_grid, nation_parts, shape_parts, region_outlines, region_grid, nation_spurs, similar_customers, nearest_area, customers_in_shapes, close_areas, lost_users, lost_users_exact, month_windows, relation_ways, page_titles, first_large_order, rich_or_near, segments_twice, seed_events, nation_rings,
         nation_features, nation_collections, clean_postcodes, repaired_postcodes, postcodes_to_look_up, data_checks,
     )
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.fixpoint import reached_states
@@ -77,11 +77,24 @@ def feature_collection(df: DataFrame, polygon_col: str, by: list[str]) -> DataFr
     return grouped.select(*by, F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join("features", ","), F.lit("]}")).alias("json"))
 
 
+def _windows(first: Column, last: Column) -> Column:
+    months = F.sequence(F.trunc(first, "MM"), last, F.expr("INTERVAL 1 MONTH"))
+    return F.inline(F.transform(months, lambda m: F.struct(F.greatest(m, first).alias("window_start"), F.least(F.last_day(m), last).alias("window_end"))))
+
+
 def month_windows(spark: SparkSession, start: str, end: str) -> DataFrame:
     """The calendar months from start to end: window_start, window_end (clipped to the two dates)."""
-    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
-    months = spark.range(1).select(F.explode(F.sequence(F.trunc(first, "MM"), last, F.expr("INTERVAL 1 MONTH"))).alias("m"))
-    return months.select(F.greatest("m", first).alias("window_start"), F.least(F.last_day("m"), last).alias("window_end"))
+    return spark.range(1).select(_windows(F.lit(start).cast("date"), F.lit(end).cast("date")))
+
+
+def month_windows_of(df: DataFrame, day_col: str) -> DataFrame:
+    """The calendar months from a table's first day to its last, with the number of its rows in each, 0 in gaps: window_start, window_end,
+    rows. Rows without a day are in none; without days there are no windows."""
+    days = df.select(F.col(day_col).cast("date").alias("day")).where("day IS NOT NULL")
+    per = days.groupBy(F.trunc("day", "MM").alias("m")).agg(F.count(F.lit(1)).alias("rows"), F.min("day").alias("first"), F.max("day").alias("last"))
+    windows = per.agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first IS NOT NULL").select(_windows(F.col("first"), F.col("last")))
+    counted = windows.join(per.select("m", "rows"), F.trunc("window_start", "MM") == F.col("m"), "left")
+    return counted.select("window_start", "window_end", F.coalesce("rows", F.lit(0)).cast("long").alias("rows"))
 
 
 def resolve_relations(members: DataFrame, max_depth: int | None = None) -> DataFrame:

@@ -47,3 +47,12 @@ def test_month_windows(spark):
 
     rows = month_windows(spark, "2020-01-15", "2020-03-02").collect()
     assert [tuple(r) for r in rows] == [(date(2020, 1, 15), date(2020, 1, 31)), (date(2020, 2, 1), date(2020, 2, 29)), (date(2020, 3, 1), date(2020, 3, 2))]
+
+
+def test_month_windows_of_a_table(spark):
+    from tessera.sources.files import month_windows_of
+
+    days = spark.createDataFrame([(date(2020, 1, 15), 1), (date(2020, 1, 31), 2), (date(2020, 3, 2), 3), (None, 4)], "d date, rows int")
+    want = [(date(2020, 1, 15), date(2020, 1, 31), 2), (date(2020, 2, 1), date(2020, 2, 29), 0), (date(2020, 3, 1), date(2020, 3, 2), 1)]
+    assert sorted(map(tuple, month_windows_of(days, "d").collect())) == want
+    assert month_windows_of(days.where("d IS NULL"), "d").count() == 0

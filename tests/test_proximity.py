@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tessera.operators import names, proximity
+from tessera.operators import names, proximity, spatial
 
 SHAPE = "id long, polygon array<array<struct<x: double, y: double>>>"
 POINT = "p long, x double, y double"
@@ -85,6 +85,32 @@ def test_odd_points_and_ties(spark):
         assert none.count() == 0 and none.columns == ["p", "id", "distance"]
 
 
+def test_located(spark):
+    polygons, points = world(7)
+    points = points[:-1]  # a corner, which has no distance but isn't inside
+    for size in (0.3, 5.0, 1000.0):
+        cover = spatial.covering(spatial.directed_edges(shapes(spark, polygons), "id", "polygon"), size)
+        rows = spatial.located(spark.createDataFrame(points, POINT), cover, size, "x", "y").collect()
+        assert {(r.p, r.id) for r in rows} == {(k, i) for k, x, y in points for i, p in polygons.items() if exact(p, x, y) == 0} and len(rows) == len({(r.p, r.id) for r in rows})
+
+
+def test_located_on_borders(spark):
+    """Corners, edges and points on the lines of the grid: the same side as contains()."""
+    polygons = {
+        0: [[(0, 0), (4, 0), (4, 4), (0, 4)], [(1, 1), (1, 3), (3, 3), (3, 1)]],
+        1: [[(0, 2), (2, 0), (4, 2), (2, 4)]],
+        2: [[(0, 0), (4, 4), (0, 4)]],
+        3: [[(4, 0), (4, 4), (0, 0)]],
+        4: [[(-2, -1), (1, -2), (2, 1), (1, 3), (1, 1), (-1, 1), (-1, 3), (-2, 2)]],
+    }
+    points = [(k, x / 2, y / 2) for k, (x, y) in enumerate(itertools.product(range(-6, 11), repeat=2))] + [(999, None, 1.0)]
+    rows, areas = spark.createDataFrame(points, POINT), shapes(spark, polygons)
+    want = {(r.p, r.id) for r in rows.crossJoin(F.broadcast(areas)).where(spatial.contains(F.col("polygon"), F.col("x"), F.col("y"))).collect()}
+    for size in (0.5, 1.0, 2.0, 16.0):
+        cover = spatial.covering(spatial.directed_edges(areas, "id", "polygon"), size)
+        assert {(r.p, r.id) for r in spatial.located(rows, cover, size, "x", "y").collect()} == want
+
+
 def test_distance_column(spark):
     polygons, points = world(6)
     both = spark.createDataFrame(points, POINT).crossJoin(F.broadcast(shapes(spark, polygons)))
