@@ -24,7 +24,8 @@ def close_names(left: DataFrame, right: DataFrame, name_col: str, keys: Sequence
     that at most `limit` insertions, deletions and substitutions of letters part.
 
     A name of n letters is n + 1 rows for a limit of 1, of which each holds a hash and the name; the work grows with the names and
-    the pairs found, whatever number of names a key has. Repeated names count once; null names and null keys meet nothing; the empty
+    the pairs found, whatever number of names a key has. Both sides are shuffled: Spark takes the rows of names for as many as the names, so it
+    would broadcast them twenty times too large. Repeated names count once; null names and null keys meet nothing; the empty
     name is a name. Meant for names: remainders of long texts take memory by the square of their length for each limit.
     """
 
@@ -32,6 +33,6 @@ def close_names(left: DataFrame, right: DataFrame, name_col: str, keys: Sequence
         rows = df.select(*keys, F.col(name_col).alias(name)).where(F.col(name).isNotNull()).distinct()
         return rows.withColumn("__left", F.explode(remainders(F.col(name), limit)))
 
-    met = keyed(left, "name").join(keyed(right, "other"), [*keys, "__left"])
+    met = keyed(left, "name").join(keyed(right, "other").hint("merge"), [*keys, "__left"])
     # Hashes only bring names together; Spark's own distance, which is -1 beyond the limit, decides.
     return met.select(*keys, "name", "other", F.levenshtein("name", "other", limit).alias("distance")).where("distance >= 0").distinct()

@@ -139,3 +139,11 @@ def test_close_names(spark):
         want = {(k, a, b, edits(a, b)) for (k, a), (m, b) in itertools.product(left, right) if k and k == m and a is not None and b is not None and edits(a, b) <= limit}
         assert len(found) == len(want) and set(map(tuple, found)) == want
     assert names.close_names(rows[0].where("key = 'z'"), rows[1], "name").count() == 0
+
+
+def test_close_names_broadcast_nothing(spark, tmp_path):
+    spark.createDataFrame([("k", "ab"), ("k", "ac")], "key string, name string").write.parquet(str(tmp_path / "names"))
+    rows = spark.read.parquet(str(tmp_path / "names"))
+    found = names.close_names(rows, rows, "name", ["key"])
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.where("name < other").collect())) == [("k", "ab", "ac", 1)]
