@@ -23,6 +23,10 @@ ACCENTED = "".join(_MARKED) + "".join(map(chr, range(0x300, 0x370)))
 PLAIN = "".join(_MARKED.values())
 
 
+#: ASCII but for letters, in a class of a pattern.
+_ASCII_GAP = r"\x00-\x40\x5B-\x60\x7B-\x7F"
+
+
 def cap(word: Column) -> Column:
     """First character in upper case, the rest in lower case."""
     return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, F.lit(2), F.length(word))))
@@ -39,9 +43,15 @@ def capitalize(text: Column) -> Column:
     gaps = F.split(text, r"\p{L}+", -1)
     paired = F.transform(F.arrays_zip(gaps.alias("gap"), words.alias("word")), lambda p: F.concat(F.coalesce(p["gap"], F.lit("")), cap(F.coalesce(p["word"], F.lit("")))))
     joined = F.regexp_replace(F.array_join(paired, ""), " {2,}", " ")
+    # A text that starts with a letter and has plain ASCII gaps, as most have, is cut once, before each word; lower case leaves such gaps alone.
+    # Spark compiles the pattern of split() for each row, that of regexp_extract_all() once.
+    squashed = F.when(text.contains("  "), F.regexp_replace(text, " {2,}", " ")).otherwise(text)
+    plain = F.array_join(F.transform(F.regexp_extract_all(squashed, F.lit(rf"\p{{L}}+[{_ASCII_GAP}]*"), F.lit(0)), cap), "")
     return (
-        F.when(text.isNull() | (text == "") | ~text.rlike(r"\p{L}"), text)
-        .when(text.rlike(r"\A\p{L}+\z") | text.rlike(r"\A\P{L}+\p{L}+\z"), cap(text))
+        F.when(text.rlike(r"\A\p{L}+\z"), cap(text))
+        .when(text.rlike(rf"\A\p{{L}}[\p{{L}}{_ASCII_GAP}]*\z"), plain)
+        .when(text.isNull() | (text == "") | ~text.rlike(r"\p{L}"), text)
+        .when(text.rlike(r"\A\P{L}+\p{L}+\z"), cap(text))
         .otherwise(joined)
     )
 
@@ -86,7 +96,7 @@ def postcode_number(code: Column) -> Column:
 
 def without_suffix(name: Column) -> Column:
     """A municipality's name without a remark in brackets, which white space goes before."""
-    return F.regexp_replace(name, r"(.*)\s+\(.*\)", "$1")
+    return F.when(name.contains("("), F.regexp_replace(name, r"(.*)\s+\(.*\)", "$1")).otherwise(name)
 
 
 def island_district(district: Column) -> Column:

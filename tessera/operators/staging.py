@@ -58,13 +58,18 @@ def stage_licences(raw: DataFrame) -> DataFrame:
 
     What is no date or number becomes null instead of failing the job. Of rows with one time stamp the greatest number and
     address are taken; rows without a licence number are one licence."""
-    rows = raw.select(F.regexp_replace("Nº de registo", r"/AL\z", "").alias("al_id"), *[_read(r, kind).alias(name) for r, name, kind in RAW_COLUMNS])
-    rows = rows.withColumns({
+    raw_names = {name: (column, kind) for column, name, kind in RAW_COLUMNS}
+    read = lambda name: _read(*raw_names[name]).alias(f"__{name}")
+    number = F.col("`Nº de registo`").cast("string")
+    al_id = F.when(number.endswith("/AL"), number.substr(F.lit(1), F.length(number) - 3)).otherwise(number)
+    # Only what the choice of a row needs is read of all rows, the rest of the chosen ones.
+    chosen = latest_by(raw.select("*", al_id.alias("__al_id"), read("registration_number"), read("address")), ["__al_id"], "etl_timestamp", ["__registration_number", "__address"])
+    rows = chosen.select(F.col("__al_id").alias("al_id"), *[_read(column, kind).alias(name) for column, name, kind in RAW_COLUMNS])
+    return rows.withColumns({
         "postal_code": normalize_postcode(F.col("postal_code")),
         "municipality": without_suffix(F.col("municipality")),
         "district": island_district(F.col("district")),
     })
-    return latest_by(rows, ["al_id"], "etl_timestamp", ["registration_number", "address"])
 
 
 def active_licences(staged: DataFrame, postcodes: DataFrame) -> DataFrame:

@@ -161,3 +161,22 @@ def test_counts_by_calendar_month(spark, tmp_path):
     query = stream.writeStream.outputMode("complete").format("memory").queryName("by_month").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted((str(r.month)[:7], r.n) for r in spark.table("by_month").collect()) == [("2024-01", 2), ("2024-02", 2), ("2024-03", 1)]
+
+
+def in_files(df, path):
+    """df read from Parquet files, whose small size Spark knows."""
+    df.write.parquet(str(path))
+    return df.sparkSession.read.parquet(str(path))
+
+
+def plan(df, optimized=False):
+    execution = df._jdf.queryExecution()
+    return (execution.optimizedPlan() if optimized else execution.executedPlan()).toString()
+
+
+def test_names_are_cleaned_of_chosen_rows_only(spark):
+    rows = [{"etl_timestamp": t, "Nº de registo": n, "Nome do Alojamento": f"CASA {t}-d'água"} for t in "12" for n in ("7/AL", "8/AL/AL", "9/ALx", None)]
+    staged = staging.stage_licences(raw_rows(spark, rows))
+    text = plan(staged, optimized=True)
+    assert "lambda" in text and "lambda" not in text[text.index("Window [") :]
+    assert {(r.al_id, r.registration_number, r.lodging_name) for r in staged.collect()} == {(i, n, "Casa 2-D'Água") for i, n in (("7", "7/AL"), ("8/AL", "8/AL/AL"), ("9/ALx", "9/ALx"), (None, None))}
