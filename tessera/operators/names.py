@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.relational import shuffled
+
 
 def remainders(text: Column, limit: int) -> Column:
     """Hashes of all that is left of a text when up to `limit` letters are taken from it, the text itself among them."""
@@ -33,6 +35,6 @@ def close_names(left: DataFrame, right: DataFrame, name_col: str, keys: Sequence
         rows = df.select(*keys, F.col(name_col).alias(name)).where(F.col(name).isNotNull()).distinct()
         return rows.withColumn("__left", F.explode(remainders(F.col(name), limit)))
 
-    met = keyed(left, "name").join(keyed(right, "other").hint("merge"), [*keys, "__left"])
+    met = keyed(left, "name").join(shuffled(keyed(right, "other")), [*keys, "__left"])
     # Hashes only bring names together; Spark's own distance, which is -1 beyond the limit, decides.
     return met.select(*keys, "name", "other", F.levenshtein("name", "other", limit).alias("distance")).where("distance >= 0").distinct()

@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from tessera.operators.prefix import over_ranges
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join that must not be broadcast. Spark goes by compressed files and the share of their columns, so of tables that grow
+    with the input it would broadcast what is many times larger in memory."""
+    return df.hint("merge")
+
+
 def latest_by(df: DataFrame, keys: Sequence[str], order: str, tiebreak: Sequence[str] = ()) -> DataFrame:
     """The row with the greatest `order` of each key (then of the tie-breaks); ROW_NUMBER() = 1, limited before the shuffle."""
     by = W.partitionBy(*keys).orderBy(F.desc_nulls_last(order), *[F.desc_nulls_last(c) for c in tiebreak])

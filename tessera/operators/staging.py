@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import capitalize, fold, island_district, normalize_postcode, without_suffix
-from tessera.operators.relational import latest_by
+from tessera.operators.relational import latest_by, shuffled
+
+#: Areas are broadcast while there are no more of them than this.
+BROADCAST_AREAS = 100_000
 
 #: Columns of a scraped list, what they are called here, and how they are read. Fixed values, in order.
 RAW_COLUMNS = (
@@ -83,7 +86,7 @@ def active_licences(staged: DataFrame, postcodes: DataFrame) -> DataFrame:
     seen = F.col("etl_timestamp") == F.col("last")
     rows = staged.crossJoin(F.broadcast(last)).select(*columns, seen.alias("is_active"), F.when(~seen, F.col("last")).alias("closed_month"))
     at = postcodes.select(F.col("postcode").alias("__code"), "lng", "lat", "real_postcode")
-    return rows.join(at, F.col("postal_code") == F.col("__code"), "left").drop("__code")
+    return rows.join(shuffled(at), F.col("postal_code") == F.col("__code"), "left").drop("__code")
 
 
 def area_chain(areas: DataFrame) -> DataFrame:
@@ -101,12 +104,17 @@ def map_licences(licences: DataFrame, areas: DataFrame, postcodes: DataFrame, si
     locality_id), else by the code that is most like it (similar: postcode, locality_osm_id). A name that two localities of
     one municipality share stands for the one with the smaller id."""
     chain = area_chain(areas)
+    few = F.broadcast if areas.count() <= BROADCAST_AREAS else shuffled
     keys = [fold(F.col(f"{c}_name")).alias(f"__{c}") for c in ("locality", "municipality", "region")]
     named = chain.select(*keys, "locality_osm_id").groupBy("__locality", "__municipality", "__region").agg(F.min("locality_osm_id").alias("__by_name"))
     on = [fold(F.col(c)) == F.col(k) for c, k in (("locality", "__locality"), ("municipality", "__municipality"), ("district", "__region"))]
     coded = postcodes.select(F.col("postcode").alias("__code"), F.col("locality_id").alias("__by_code"))
     alike = similar.select(F.col("postcode").alias("__like"), F.col("locality_osm_id").alias("__by_like"))
-    rows = licences.join(named, reduce(Column.__and__, on), "left").join(coded, F.col(code_col) == F.col("__code"), "left").join(alike, F.col(code_col) == F.col("__like"), "left")
-    rows = rows.withColumn("__id", F.coalesce("__by_name", "__by_code", "__by_like"))
-    found = rows.join(chain, F.col("__id") == F.col("locality_osm_id"), "left").where(F.col("region_osm_id").isNotNull() & ~F.col("region_osm_id").isin(*excluded_regions))
+    known = coded.join(shuffled(alike), F.col("__code") == F.col("__like"), "full").select(F.coalesce("__code", "__like").alias("__code"), F.coalesce("__by_code", "__by_like").alias("__by_code"))
+    rows = licences.join(few(named), reduce(Column.__and__, on), "left")
+    # Codes are asked for by those without a name only, and who has neither goes anyway.
+    by_code = rows.where(F.col("__by_name").isNull() & F.col(code_col).isNotNull()).join(shuffled(known.where("__by_code IS NOT NULL")), F.col(code_col) == F.col("__code"))
+    own = [F.col(c) for c in licences.columns]
+    rows = rows.where("__by_name IS NOT NULL").select(*own, F.col("__by_name").alias("__id")).unionByName(by_code.select(*own, F.col("__by_code").alias("__id")))
+    found = rows.join(few(chain), F.col("__id") == F.col("locality_osm_id"), "left").where(F.col("region_osm_id").isNotNull() & ~F.col("region_osm_id").isin(*excluded_regions))
     return found.select(*[F.col(c) for c in licences.columns], *chain.columns)

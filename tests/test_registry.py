@@ -180,3 +180,13 @@ def test_names_are_cleaned_of_chosen_rows_only(spark):
     text = plan(staged, optimized=True)
     assert "lambda" in text and "lambda" not in text[text.index("Window [") :]
     assert {(r.al_id, r.registration_number, r.lodging_name) for r in staged.collect()} == {(i, n, "Casa 2-D'Água") for i, n in (("7", "7/AL"), ("8/AL", "8/AL/AL"), ("9/ALx", "9/ALx"), (None, None))}
+
+
+def test_no_broadcast_of_codes_and_licences(spark, areas, tmp_path):
+    rows = [("a", "ÁGUA", "sao joao", "NORTE", "1"), ("b", "nowhere", "Faro", "Sul", "2"), ("c", None, None, None, "3"), ("d", "x", "Faro", "Sul", None)]
+    al = in_files(spark.createDataFrame(rows, "al_id string, locality string, municipality string, district string, real_postcode string"), tmp_path / "al")
+    codes = in_files(spark.createDataFrame([("1", 121), ("2", 121), ("3", None)], "postcode string, locality_id long"), tmp_path / "codes")
+    like = in_files(spark.createDataFrame([("3", 122), ("2", 111)], "postcode string, locality_osm_id long"), tmp_path / "like")
+    mapped = staging.map_licences(al, in_files(areas, tmp_path / "areas"), codes, like, excluded_regions=(77,))
+    assert "SortMergeJoin [real_postcode" in plan(mapped)
+    assert {r.al_id: r.locality_osm_id for r in mapped.collect()} == {"a": 111, "b": 121, "c": 122}
