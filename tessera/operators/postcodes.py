@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.text import capitalize, fold, postcode_number
-from tessera.operators.relational import nearest_within, shared_position
+from tessera.operators.relational import nearest_within, shared_position, shuffled
 from tessera.operators.spatial import point_in_polygon_join
 from tessera.operators.staging import area_chain
 
@@ -22,13 +22,18 @@ def clean_codes(api: DataFrame, bulk: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(reliable codes, aliases of the others). A position that several codes share says nothing, so its codes aren't reliable;
     looked-up codes go before bulk ones."""
     shared_api, shared_bulk = shared_position(api, "postcode", "lng", "lat"), shared_position(bulk, "postcode", "lng", "lat")
-    good_api = api.select(*COLUMNS).join(shared_api, "postcode", "left_anti")
-    good_bulk = bulk.select(*COLUMNS).join(shared_bulk, "postcode", "left_anti")
-    clean = good_api.unionByName(good_bulk.join(good_api.select("postcode"), "postcode", "left_anti")).distinct()
+    good_api = api.select(*COLUMNS).join(shuffled(shared_api), "postcode", "left_anti")
+    good_bulk = bulk.select(*COLUMNS).join(shuffled(shared_bulk), "postcode", "left_anti")
+    clean = good_api.unionByName(good_bulk.join(shuffled(good_api.select("postcode")), "postcode", "left_anti")).distinct()
     both = api.select("postcode", "lng", "lat").unionByName(bulk.select("postcode", "lng", "lat"))
     return clean, shared_position(both, "postcode", "lng", "lat")
 
 
+def _codes_in_use(used: DataFrame) -> DataFrame:
+    """One row a code, with the first of its municipalities and districts by name. Repeats go first, by hash: minima of texts are found by sorting."""
+    return used.select("postcode", "municipality", "district").distinct().groupBy("postcode").agg(F.min("municipality").alias("municipality"), F.min("district").alias("district"))
+
+
 def _nearest(codes: DataFrame, clean: DataFrame) -> DataFrame:
     """Codes (postcode, municipality, district) -> postcode, alias, correction_type: the nearest reliable code by number within the
     district, municipality or first two digits. Codes that aren't digits have no number."""
@@ -56,26 +61,26 @@ def repair(used: DataFrame, clean: DataFrame, aliases: DataFrame, api: DataFrame
     first two digits, the code that shares their position, or the one that a look-up (api: postcode, query_postcode) gave for
     them; of several the first in the order of the correction's name. Codes that aren't digits have no number.
     """
-    codes = used.groupBy("postcode").agg(F.min("municipality").alias("municipality"), F.min("district").alias("district"))
-    near = _nearest(codes.join(clean.select("postcode").distinct(), "postcode", "left_anti"), clean)
+    codes = _codes_in_use(used)
+    near = _nearest(codes.join(shuffled(clean.select("postcode").distinct()), "postcode", "left_anti"), clean)
     reliable = clean.select(F.col("postcode").alias("alias")).distinct()
     other = aliases.select("postcode", "alias", F.lit("duplicate").alias("correction_type"))
     if api is not None:
         other = other.unionByName(_other_names(api))
-    same = codes.select("postcode").join(other, "postcode").join(reliable, "alias", "left_semi").select("postcode", "alias", "correction_type")
-    exact = codes.select("postcode").join(clean.select("postcode"), "postcode", "left_semi").select("postcode", F.col("postcode").alias("alias"), F.lit("_exact").alias("correction_type"))
+    same = codes.select("postcode").join(shuffled(other), "postcode").join(shuffled(reliable), "alias", "left_semi").select("postcode", "alias", "correction_type")
+    exact = codes.select("postcode").join(shuffled(clean.select("postcode")), "postcode", "left_semi").select("postcode", F.col("postcode").alias("alias"), F.lit("_exact").alias("correction_type"))
     chosen = _first_choice(exact.unionByName(near).unionByName(same))
     at = clean.groupBy(F.col("postcode").alias("alias")).agg(F.min(F.struct("lng", "lat")).alias("at"))
-    return chosen.join(at, "alias", "left").select("postcode", F.col("alias").alias("real_postcode"), "correction_type", F.col("at.lng").alias("lng"), F.col("at.lat").alias("lat"))
+    return chosen.join(shuffled(at), "alias", "left").select("postcode", F.col("alias").alias("real_postcode"), "correction_type", F.col("at.lng").alias("lng"), F.col("at.lat").alias("lat"))
 
 
 def code_aliases(used: DataFrame, api: DataFrame, clean: DataFrame, shared: DataFrame) -> DataFrame:
     """postcode, alias_postcode, correction_type: one alias for each code that is used but not reliable (the nearest), that shares its
     position with another (shared: postcode, alias), or that a look-up called otherwise. Codes looked up for an unreliable
     one are searched for like it."""
-    codes = used.groupBy("postcode").agg(F.min("municipality").alias("municipality"), F.min("district").alias("district"))
-    missing = codes.join(clean.select("postcode").distinct(), "postcode", "left_anti")
-    asked = api.join(missing.select(F.col("postcode").alias("query_postcode")), "query_postcode", "left_semi").select("postcode", "municipality", "district")
+    codes = _codes_in_use(used)
+    missing = codes.join(shuffled(clean.select("postcode").distinct()), "postcode", "left_anti")
+    asked = api.join(shuffled(missing.select(F.col("postcode").alias("query_postcode"))), "query_postcode", "left_semi").select("postcode", "municipality", "district")
     options = _nearest(missing.unionByName(asked), clean).unionByName(shared.select("postcode", "alias", F.lit("duplicate").alias("correction_type"))).unionByName(_other_names(api))
     return _first_choice(options).select("postcode", F.col("alias").alias("alias_postcode"), "correction_type")
 

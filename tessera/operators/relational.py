@@ -65,8 +65,8 @@ def shared_position(df: DataFrame, code: str, x: str, y: str) -> DataFrame:
     """Codes whose exact position another code has too, with the smallest other one: code, alias."""
     placed = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(code, x, y).distinct()
     groups = placed.groupBy(x, y).agg(F.count(F.lit(1)).alias("n"), F.min(code).alias("low")).where("n > 1")
-    second = placed.join(groups, [x, y]).where(F.col(code) != F.col("low")).groupBy(x, y).agg(F.min(code).alias("next"))
-    joined = placed.join(groups.join(second, [x, y]), [x, y])
+    second = placed.join(shuffled(groups), [x, y]).where(F.col(code) != F.col("low")).groupBy(x, y).agg(F.min(code).alias("next"))
+    joined = placed.join(shuffled(groups.join(shuffled(second), [x, y])), [x, y])
     alias = F.when(F.col(code) == F.col("low"), F.col("next")).otherwise(F.col("low"))
     return joined.groupBy(code).agg(F.min(alias).alias("alias"))
 

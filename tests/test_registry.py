@@ -190,3 +190,11 @@ def test_no_broadcast_of_codes_and_licences(spark, areas, tmp_path):
     mapped = staging.map_licences(al, in_files(areas, tmp_path / "areas"), codes, like, excluded_regions=(77,))
     assert "SortMergeJoin [real_postcode" in plan(mapped)
     assert {r.al_id: r.locality_osm_id for r in mapped.collect()} == {"a": 111, "b": 121, "c": 122}
+
+
+def test_codes_are_not_broadcast(spark, tmp_path):
+    rows = [("1000-001", "1000-001", "n", "m", "l", 0.0, 0.0), ("1000-002", "1000-002", "n", "m", "l", 0.0, 0.0), ("1000-003", "1000-001", "n", "m", "l", 1.0, 0.0)]
+    api = in_files(spark.createDataFrame(rows, "postcode string, query_postcode string, district string, municipality string, locality string, lng double, lat double"), tmp_path / "api")
+    clean, shared = postcodes.clean_codes(api, api.drop("query_postcode"))
+    assert "Broadcast" not in plan(clean) + plan(shared)
+    assert [r.postcode for r in clean.collect()] == ["1000-003"] and sorted(map(tuple, shared.collect())) == [("1000-001", "1000-002"), ("1000-002", "1000-001")]
