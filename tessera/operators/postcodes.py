@@ -90,12 +90,12 @@ def with_localities(clean: DataFrame, aliases: DataFrame, api: DataFrame) -> Dat
     is_valid, correction_type, real_postcode. Names and positions are their own, or those of the code that stands for them."""
     own = clean.groupBy("postcode").agg(F.min(F.struct("district", "municipality", "lng", "lat")).alias("r")).select("postcode", "r.*")
     valid = own.withColumns({"is_valid": F.lit(True), "correction_type": F.lit("_exact"), "real_postcode": F.col("postcode")})
-    others = aliases.join(own.select("postcode"), "postcode", "left_anti").select("postcode", "correction_type", F.col("alias_postcode").alias("real_postcode"))
+    others = aliases.join(shuffled(own.select("postcode")), "postcode", "left_anti").select("postcode", "correction_type", F.col("alias_postcode").alias("real_postcode"))
     both = valid.unionByName(others.withColumn("is_valid", F.lit(False)), allowMissingColumns=True)
     places = ("district", "municipality", "lng", "lat")
     stands = both.select(F.col("postcode").alias("__real"), *[F.col(c).alias(f"__{c}") for c in places])
     looked_up = api.where("locality IS NOT NULL").groupBy(F.col("postcode").alias("__asked")).agg(F.min("locality").alias("locality"))
-    rows = both.join(stands, both.real_postcode == stands["__real"], "left").join(looked_up, F.col("postcode") == F.col("__asked"))
+    rows = both.join(shuffled(stands), F.col("real_postcode") == F.col("__real"), "left").join(shuffled(looked_up), F.col("postcode") == F.col("__asked"))
     found = {c: F.coalesce(c, f"__{c}") for c in places}
     return rows.select(
         "postcode", "locality", capitalize(found["district"]).alias("district"), capitalize(found["municipality"]).alias("municipality"), found["lng"].alias("lng"), found["lat"].alias("lat"),
@@ -110,7 +110,7 @@ def located(codes: DataFrame, areas: DataFrame, polygons: DataFrame, size: float
     keyed = chain.select(fold(F.col("locality_name")).alias("__l"), fold(F.col("municipality_name")).alias("__m"), "locality_osm_id")
     named = keyed.groupBy("__l", "__m").agg(F.min("locality_osm_id").alias("__by_name"))
     inside = _localities_at(codes.where("is_valid").select("postcode", "x", "y"), areas, polygons, size).withColumnRenamed("postcode", "__code").withColumnRenamed("osm_id", "__by_place")
-    rows = codes.join(named, (fold(F.col("locality")) == F.col("__l")) & (fold(F.col("municipality")) == F.col("__m")), "left").join(inside, F.col("postcode") == F.col("__code"), "left")
+    rows = codes.join(named, (fold(F.col("locality")) == F.col("__l")) & (fold(F.col("municipality")) == F.col("__m")), "left").join(shuffled(inside), F.col("postcode") == F.col("__code"), "left")
     rows = rows.withColumn("locality_id", F.coalesce("__by_name", "__by_place"))
     above = chain.withColumnRenamed("locality_osm_id", "__id")
     kept = ("postcode", F.col("locality_name").alias("locality"), "locality_id", "lng", "lat", "is_valid", "correction_type", "real_postcode")
@@ -143,23 +143,23 @@ def similar_codes(used: DataFrame, codes: DataFrame, areas: DataFrame, polygons:
     """Codes in use that postcode_chain() lacks -> the nearest of its codes with the same first four digits, and its locality: by the
     names from the region down, else by position. postcode, near_postcode, distance, locality_osm_id."""
     numbered = lambda df: df.withColumn("number", postcode_number(F.col("postcode")).cast("double")).withColumn("area4", F.substring("postcode", 1, 4)).where("number IS NOT NULL")
-    missing = numbered(used.select("postcode").where("postcode IS NOT NULL").distinct().join(codes.select("postcode"), "postcode", "left_anti"))
+    missing = numbered(used.select("postcode").where("postcode IS NOT NULL").distinct().join(shuffled(codes.select("postcode")), "postcode", "left_anti"))
     right = numbered(codes.select("postcode")).withColumnRenamed("postcode", "near_postcode")
     near = nearest_within(missing, right, "postcode", "near_postcode", "number", "number", [("area", ["area4"])]).drop("tier")
     chain = area_chain(areas)
     names = [fold(F.col(c)) for c in ("locality_name", "municipality_name", "region_name")]
     named = chain.select(*[k.alias(f"__{n}") for k, n in zip(names, "lmr")], "locality_osm_id").groupBy("__l", "__m", "__r").agg(F.min("locality_osm_id").alias("__by_name"))
-    rows = near.join(codes.select(F.col("postcode").alias("near_postcode"), "locality", "municipality_name", "region_name", "x", "y"), "near_postcode")
+    rows = near.join(shuffled(codes.select(F.col("postcode").alias("near_postcode"), "locality", "municipality_name", "region_name", "x", "y")), "near_postcode")
     on = (fold(F.col("locality")) == F.col("__l")) & (fold(F.col("municipality_name")) == F.col("__m")) & (fold(F.col("region_name")) == F.col("__r"))
     inside = _localities_at(rows.select("postcode", "x", "y"), areas, polygons, size).withColumnRenamed("postcode", "__code").withColumnRenamed("osm_id", "__by_place")
-    found = rows.join(named, on, "left").join(inside, F.col("postcode") == F.col("__code"), "left")
+    found = rows.join(named, on, "left").join(shuffled(inside), F.col("postcode") == F.col("__code"), "left")
     return found.select("postcode", "near_postcode", "distance", F.coalesce("__by_name", "__by_place").alias("locality_osm_id"))
 
 
 def shared_codes(bulk: DataFrame) -> DataFrame:
     """Codes at a position that another code has too (an EXISTS over two columns)."""
     shared = bulk.groupBy("lng", "lat").agg(F.count_distinct("postcode").alias("n")).where("n > 1")
-    return bulk.join(shared, ["lng", "lat"], "left_semi").select("postcode").distinct()
+    return bulk.join(shuffled(shared), ["lng", "lat"], "left_semi").select("postcode").distinct()
 
 
 def lookup_worklist(used: DataFrame, *known: DataFrame) -> DataFrame:

@@ -198,3 +198,7 @@ def test_codes_are_not_broadcast(spark, tmp_path):
     clean, shared = postcodes.clean_codes(api, api.drop("query_postcode"))
     assert "Broadcast" not in plan(clean) + plan(shared)
     assert [r.postcode for r in clean.collect()] == ["1000-003"] and sorted(map(tuple, shared.collect())) == [("1000-001", "1000-002"), ("1000-002", "1000-001")]
+    aliases = in_files(spark.createDataFrame([("1000-002", "1000-003", "all")], "postcode string, alias_postcode string, correction_type string"), tmp_path / "aliases")
+    placed = postcodes.with_localities(in_files(clean, tmp_path / "clean"), aliases, api)
+    assert "Broadcast" not in plan(placed)
+    assert sorted((r.postcode, r.is_valid, r.x) for r in placed.collect()) == [("1000-002", False, 1.0), ("1000-003", True, 1.0)]
