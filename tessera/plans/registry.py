@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import capitalize
 from tessera.operators import analytics, postcodes, staging
+from tessera.operators.relational import shuffled
 from tessera.plans import checks, marts
 from tessera.plans.domain import DOMAIN_SQL, table
 from tessera.plans.store import stored
@@ -138,9 +139,12 @@ def mapped_licences(spark, sf_dir):
 def lost_mapped(spark, sf_dir):
     """Licences that the last snapshot lacks, with the snapshot that lacked them first, and their areas, by their own code."""
     seen = staged_licences(spark, sf_dir)
-    gone = analytics.lost_licences(seen, "al_id", "etl_timestamp").select(F.col("id").alias("al_id"), "lost_in")
-    lost = seen.select("al_id", "locality", "municipality", "district", "postal_code").join(gone, "al_id")
-    return staging.map_licences(lost, marts.known(spark, sf_dir), postcode_chain(spark, sf_dir), similar_codes(spark, sf_dir), "postal_code", (104,))
+
+    def build():
+        gone = analytics.lost_licences(seen, "al_id", "etl_timestamp").select(F.col("id").alias("al_id"), "lost_in")
+        return seen.select("al_id", "locality", "municipality", "district", "postal_code").join(shuffled(gone), "al_id")
+
+    return staging.map_licences(stored(spark, "lost-licences", sf_dir, build), marts.known(spark, sf_dir), postcode_chain(spark, sf_dir), similar_codes(spark, sf_dir), "postal_code", (104,))
 
 
 def mapping_checks(spark, sf_dir):

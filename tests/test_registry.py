@@ -202,3 +202,11 @@ def test_codes_are_not_broadcast(spark, tmp_path):
     placed = postcodes.with_localities(in_files(clean, tmp_path / "clean"), aliases, api)
     assert "Broadcast" not in plan(placed)
     assert sorted((r.postcode, r.is_valid, r.x) for r in placed.collect()) == [("1000-002", False, 1.0), ("1000-003", True, 1.0)]
+
+
+def test_lost_licences_are_written_before_they_are_mapped(spark):
+    from conftest import SF
+
+    from tessera.plans import registry
+
+    assert "lost-licences" in plan(registry.QUERIES["lost_mapped"](spark, SF), optimized=False)
