@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import fold
 from tessera.operators.names import close_names
+from tessera.operators.relational import shuffled
 from tessera.operators.staging import area_chain
 
 
@@ -23,7 +24,7 @@ def several_parents(df: DataFrame, child: str, parent: str) -> DataFrame:
 def unknown(df: DataFrame, column: str, *known: DataFrame) -> DataFrame:
     """Values that none of the known one-column frames has."""
     for k in known:
-        df = df.join(k.select(F.col(k.columns[0]).alias(column)), column, "left_anti")
+        df = df.join(shuffled(k.select(F.col(k.columns[0]).alias(column))), column, "left_anti")
     return df
 
 
@@ -51,7 +52,7 @@ def far_names(licences: DataFrame, areas: DataFrame, limit: int = 1) -> DataFram
     near = close_names(keyed, chain, "own", ["m"], limit).select("m", F.col("name").alias("own"))
     far = keyed.select("m", "own").distinct().join(near.distinct(), ["m", "own"], "left_anti")
     far = far.join(chain.withColumnRenamed("own", "l"), "m").groupBy("m", "own").agg(F.min(F.levenshtein("own", "l")).alias("distance"))
-    return keyed.join(far, ["m", "own"]).select("al_id", "distance")
+    return keyed.join(shuffled(far), ["m", "own"]).select("al_id", "distance")
 
 
 def run_checks(checks: dict[str, DataFrame]) -> DataFrame:

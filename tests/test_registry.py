@@ -190,6 +190,8 @@ def test_no_broadcast_of_codes_and_licences(spark, areas, tmp_path):
     mapped = staging.map_licences(al, in_files(areas, tmp_path / "areas"), codes, like, excluded_regions=(77,))
     assert "SortMergeJoin [real_postcode" in plan(mapped)
     assert {r.al_id: r.locality_osm_id for r in mapped.collect()} == {"a": 111, "b": 121, "c": 122}
+    missing = checks.unknown(al.select("real_postcode"), "real_postcode", codes.select("postcode"))
+    assert "Broadcast" not in plan(missing) and missing.count() == 1
 
 
 def test_codes_are_not_broadcast(spark, tmp_path):
